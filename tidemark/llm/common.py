@@ -14,6 +14,7 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 _staged: dict[str, list[str]] = {}
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +48,9 @@ def drop_stage(df: DataFrame) -> None:
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again.
 
-    This cuts lineage and survives the loss of any executor. The tables of an
-    application are deleted when its Python driver ends.
+    This cuts lineage and survives the loss of any executor. Shuffle files of
+    the write are freed when it ends; the tables of an application are deleted
+    when its Python driver ends.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
@@ -56,7 +58,12 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if app not in _staged:
         _staged[app] = []
         atexit.register(_remove, spark, app)
@@ -73,3 +80,18 @@ def rows_per_batch(spark: SparkSession, n: int = 512) -> None:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def slices(batch, text_column: int, limit: int = 4 << 20):
+    """Splits an Arrow batch so that each part holds about ``limit`` bytes of text (a longer text stands alone)."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)

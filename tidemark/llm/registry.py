@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.substring import remove_repeats
+
+
+def op3_difference_cover(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_golay(spark, sf_dir):
@@ -12,6 +17,7 @@ def op10_simhash_golay(spark, sf_dir):
 
 def queries():
     return {
+        "op3_difference_cover": op3_difference_cover,
         "op10_simhash_golay": op10_simhash_golay,
     }
 
