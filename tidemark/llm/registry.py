@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from tidemark.llm.common import table
+from tidemark.llm.hilbert import hilbert_shards
+from tidemark.llm.html import extract
+from tidemark.llm.lempel_ziv import fingerprints
+from tidemark.llm.neighbours import near_vectors
+from tidemark.llm.packing import TOKENIZER, pack_documents
+from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.substring import remove_repeats
 
@@ -11,6 +17,36 @@ def op3_difference_cover(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_lempel_ziv(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_dom_boosting(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def tokenizer_file():
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op8_randomness_battery(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_hilbert_shards(spark, sf_dir):
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_golay(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -18,6 +54,12 @@ def op10_simhash_golay(spark, sf_dir):
 def queries():
     return {
         "op3_difference_cover": op3_difference_cover,
+        "op4_nn_descent": op4_nn_descent,
+        "op5_lempel_ziv": op5_lempel_ziv,
+        "op6_dom_boosting": op6_dom_boosting,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_randomness_battery": op8_randomness_battery,
+        "op9_hilbert_shards": op9_hilbert_shards,
         "op10_simhash_golay": op10_simhash_golay,
     }
 
