@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-TREES, DEPTH, BINS, RATE = 50, 3, 32, 0.3
+TREES, DEPTH, BINS, RATE = 60, 3, 24, 0.3
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray):

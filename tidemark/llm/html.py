@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import boosting
 from tidemark.llm.common import rows_per_batch, slices
 
-PAGES = 500
+PAGES = 800
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)([^>]*+)>""", re.DOTALL
@@ -310,8 +310,8 @@ def _made_page(rng: random.Random) -> str:
         return f"<{t}{no}{sure('comments', 'comment-list', 'discussion', 'replies', 'disqus_thread', 'respond')}>{inner}</{t}>"
 
     def foot():
-        inner = rng.choice([f"&copy; {words(2, 12)}", f"<p>{words(3, 30)}</p>", listed(rng.randint(2, 10)) + words(2, 8), f"<div>{words(2, 20)}</div><p>{link()}</p>"])
-        return rng.choice([f"<footer{no}>{inner}</footer>", f"<div{no}{sure('footer', 'site-footer', 'copyright')}>{inner}</div>"])
+        inner = rng.choice([f"&copy; {words(2, 40)}", words(3, 60), f"<p>{words(3, 60)}</p>", listed(rng.randint(2, 10)) + words(2, 8), f"<div>{words(2, 20)}</div><p>{link()}</p>"])
+        return rng.choice([f"<footer{no}>{inner}</footer>", f"<footer{no}>{inner}</footer>", f"<div{no}{sure('footer', 'site-footer', 'copyright')}>{inner}</div>"])
 
     def head():
         inner = rng.choice([f"<h1>{words(1, 4)}</h1>", f"<div class=logo>{link()}</div>", f"<p>{words(2, 10)}</p>", words(1, 5)]) + rng.choice(["", menu()])
@@ -322,7 +322,7 @@ def _made_page(rng: random.Random) -> str:
         return rng.choice([f"<p>{t}</p>"] * 8 + [f"<p><b>{t}<br>", f"<p>{t}", f"<p>{t[:40]}{link()} {t[40:]}</p>", f"<div>{t}</div>", f"<p class=lead>{t}</p>"])
 
     def body():
-        out = [paragraph() for _ in range(rng.choice([1, 2, 3, 5, 8, 15, 30]))]
+        out = [paragraph() for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8, 15]))]
         for _ in range(rng.randint(0, 2)):
             out.insert(rng.randint(0, len(out)), rng.choice([lambda: f"<h2>{words(2, 8)}</h2>", lambda: f"<ul>{''.join(f'<li>{words(2, 25)}</li>' for _ in range(rng.randint(2, 7)))}</ul>", lambda: f"<blockquote><p>{words(5, 50)}</p></blockquote>", lambda: f"<figure><img src=a><figcaption>{words(3, 15)}</figcaption></figure>", lambda: f"<pre>{words(5, 40)}</pre>", lambda: f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>"])())
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
@@ -336,7 +336,7 @@ def _made_page(rng: random.Random) -> str:
     if rng.random() < 0.5:
         article = f"<{(t := rng.choice(['div', 'main', 'section']))}{named('main', 'content', 'container', 'page', 'wrapper')}>{article}{rng.choice(['', side(), comments()])}</{t}>"
     before = "".join(f() for f in (head, menu, notice, advert, side, form) if rng.random() < 0.4)
-    after = "".join(f() for f in (comments, side, advert, share, menu, foot, notice) if rng.random() < 0.4)
+    after = "".join(f() for f in (comments, side, advert, share, menu, foot, notice) if rng.random() < (0.75 if f is foot else 0.35))
     whole = before + article + after
     if rng.random() < 0.4:
         whole = f"<div{named('container', 'page', 'wrapper', 'site')}>{whole}</div>"
@@ -348,7 +348,9 @@ def train(pages: int = PAGES, seed: int = 11):
     made = [Page(_made_page(rng)) for _ in range(pages)]
     y = np.array([v for p in made for v in p.label], dtype=np.float64)
     own = np.concatenate([np.bincount([i for i, _ in p.runs], [len(s) for _, s in p.runs], minlength=len(p.parent)) if p.runs else np.zeros(len(p.parent)) for p in made])
-    return boosting.fit(features(made), y, 0.5 + 0.25 * np.log1p(own))
+    tag = np.array([t for p in made for t in p.tag])
+    rare = np.sqrt(len(tag) / np.bincount(tag, minlength=N_TAGS)[tag])  # seldom used elements count as much
+    return boosting.fit(features(made), y, (0.5 + 0.25 * np.log1p(own)) * rare)
 
 
 def extract(pages: DataFrame, model=None) -> DataFrame:

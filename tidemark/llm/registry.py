@@ -6,11 +6,21 @@ from tidemark.llm.common import table
 from tidemark.llm.hilbert import hilbert_shards
 from tidemark.llm.html import extract
 from tidemark.llm.lempel_ziv import fingerprints
+from tidemark.llm.mixing import mixing_rates
 from tidemark.llm.neighbours import near_vectors
 from tidemark.llm.packing import TOKENIZER, pack_documents
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.substring import remove_repeats
+from tidemark.llm.toxicity import severity
+
+
+def op1_ordinal_toxicity(spark, sf_dir):
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_soft_mixing(spark, sf_dir):
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_difference_cover(spark, sf_dir):
@@ -53,6 +63,8 @@ def op10_simhash_golay(spark, sf_dir):
 
 def queries():
     return {
+        "op1_ordinal_toxicity": op1_ordinal_toxicity,
+        "op2_soft_mixing": op2_soft_mixing,
         "op3_difference_cover": op3_difference_cover,
         "op4_nn_descent": op4_nn_descent,
         "op5_lempel_ziv": op5_lempel_ziv,
