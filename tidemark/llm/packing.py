@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -38,11 +39,12 @@ class Encoder(dict):
 
     Chunks never share a token, so their ids join to those of the text. Parts
     that are new to this task are encoded in one call, joined by spaces: each
-    ends in the one token that carries a word end. Both caches forget
-    everything when full.
+    ends in the one token that carries a word end. When full, the caches keep
+    only what the texts at hand hold. ``encoder`` shares one between the tasks
+    of a worker process.
     """
 
-    def __init__(self, file: str, most: int = 400_000):
+    def __init__(self, file: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,13 +81,18 @@ class Encoder(dict):
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         words = [t.split() if t else [] for t in texts]
         if len(self) > self.most:
+            kept = {w: self[w] for w in set(chain.from_iterable(words)).intersection(self)}
             self.clear()
+            self.update(kept)
         new = set(chain.from_iterable(words)).difference(self)
         if new:
             self._learn(new)
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
+encoder = cache(Encoder)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian bytes).
 
@@ -96,11 +103,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     most = 4 * length
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for whole in batches:
             for b in slices(whole, 1):
                 doc, piece, start, size, crc, ids = [], [], [], [], [], []
-                for d, got in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).cast(pa.binary()).to_pylist())):
+                for d, got in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist())):
                     got += SEPARATOR.to_bytes(4, "little")
                     for i, at in enumerate(range(0, len(got), most)):
                         part = got[at : at + most]
