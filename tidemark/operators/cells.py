@@ -22,15 +22,20 @@ def cell_stats(df: DataFrame, keys: list[str], values: list[str], cluster: str =
     aggs = [F.sum("_n").alias("n"), F.count(cluster).alias("n_events")]
     for v in values:
         s, m = F.col(f"_s_{v}"), F.col(f"_n_{v}")
-        aggs += [F.sum(s).alias(f"_S_{v}"), F.sum(m).alias(f"_N_{v}")]
+        aggs += [F.sum(s).alias(f"_ts_{v}"), F.sum(m).alias(f"_tn_{v}")]
     totals = by.groupBy(*keys).agg(*aggs, *[F.sum(n).alias(n) for n in extra])
-    means = totals.select(*keys, "n", "n_events", *[F.try_divide(F.col(f"_S_{v}"), F.col(f"_N_{v}").cast("double")).alias(f"{v}_mean") for v in values], *[F.col(f"_N_{v}") for v in values], *extra)
+    means = totals.select(*keys, "n", "n_events", *[F.try_divide(F.col(f"_ts_{v}"), F.col(f"_tn_{v}").cast("double")).alias(f"{v}_mean") for v in values], *[F.col(f"_tn_{v}") for v in values], *extra)
     # Centred before squaring: the exact form keeps its digits where the expanded one would cancel.
-    joined = by.select(*keys, *[c for v in values for c in (f"_s_{v}", f"_n_{v}")]).join(means, keys) if keys else by.crossJoin(F.broadcast(means))
+    parts = by.select(*keys, *[c for v in values for c in (f"_s_{v}", f"_n_{v}")])
+    renamed = means.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = parts.join(renamed, same) if keys else parts.crossJoin(F.broadcast(renamed))  # one row without keys
     squares = [F.sum(F.pow(F.col(f"_s_{v}") - F.col(f"_n_{v}") * F.col(f"{v}_mean"), 2)).alias(f"_q_{v}") for v in values]
-    carried = [F.first(c).alias(c) for c in ("n", "n_events", *[f"{v}_mean" for v in values], *[f"_N_{v}" for v in values], *extra)]
+    carried = [F.first(c).alias(c) for c in ("n", "n_events", *[f"{v}_mean" for v in values], *[f"_tn_{v}" for v in values], *extra)]
     out = joined.groupBy(*keys).agg(*carried, *squares)
-    return out.select(*keys, "n", "n_events", *[x for v in values for x in (F.col(f"{v}_mean"), (F.sqrt(F.col(f"_q_{v}")) / F.col(f"_N_{v}")).alias(f"{v}_se"))], *extra)
+    return out.select(*keys, "n", "n_events", *[x for v in values for x in (F.col(f"{v}_mean"), (F.sqrt(F.col(f"_q_{v}")) / F.col(f"_tn_{v}")).alias(f"{v}_se"))], *extra)
 
 
 def residualise(df: DataFrame, match: list[str], value: str, out: str) -> DataFrame:

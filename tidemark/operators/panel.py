@@ -234,11 +234,11 @@ def rolling_calibration(forecasts: DataFrame, observations: DataFrame, least: in
     obs = observations.select("station", "weather_stat", "target_date", "observed_f", F.col("available_at").alias("_known"))
     err = forecasts.join(obs, ["station", "weather_stat", "target_date"]).withColumn("_e", F.col("observed_f") - F.col("forecast_f"))
     daily = err.groupBy(*groups, "target_date").agg(F.count(F.lit(1)).alias("_n"), F.sum("_e").alias("_s"), F.sum(F.col("_e") * F.col("_e")).alias("_q"), F.max("_known").alias("calibration_available_at"))
-    running = {"_N": F.col("_n"), "_S": F.col("_s"), "_Q": F.col("_q")}
+    running = {"_tn": F.col("_n"), "_ts": F.col("_s"), "_tq": F.col("_q")}
     got = asof_join(forecasts, daily.drop("target_date"), groups, "available_at", "calibration_available_at", running=running)
-    enough = F.col("_N") >= least
-    variance = F.try_divide(F.col("_Q") - F.col("_S") * F.col("_S") / F.col("_N"), (F.col("_N") - 1).cast("double"))
-    return got.withColumns({"calibration_bias_f": F.when(enough, F.col("_S") / F.col("_N")), "calibration_sigma_f": F.when(enough, F.sqrt(F.greatest(variance, F.lit(floor)))), "calibration_n": F.when(enough, F.col("_N"))}).drop("_n", "_s", "_q", "_N", "_S", "_Q")
+    enough = F.col("_tn") >= least
+    variance = F.try_divide(F.col("_tq") - F.col("_ts") * F.col("_ts") / F.col("_tn"), (F.col("_tn") - 1).cast("double"))
+    return got.withColumns({"calibration_bias_f": F.when(enough, F.col("_ts") / F.col("_tn")), "calibration_sigma_f": F.when(enough, F.sqrt(F.greatest(variance, F.lit(floor)))), "calibration_n": F.when(enough, F.col("_tn"))}).drop("_n", "_s", "_q", "_tn", "_ts", "_tq")
 
 
 #: Edges of the recalibration bins.
