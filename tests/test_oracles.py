@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tests.oracle import connect, difference
+from oracle import connect, difference
 from tidemark import catalog
 
 DATA = os.environ.get("SF_DIR", "/root/testdata/sf0.001")

@@ -11,8 +11,15 @@ from tidemark.functions.statistics import bracket_probability, erfc_sql, p_value
 from tidemark.operators.tables import any_cell, excluding, override
 from tidemark.sources import tables as S
 
-P = F.col("yes_price_cents")
-Y = F.col("result_yes")
+
+def P():
+    return F.col("yes_price_cents")
+
+
+def Y():
+    return F.col("result_yes")
+
+
 FEE = "(case when fee_type = 'quadratic_with_maker_fees' then (7 * yes_price_cents * (100 - yes_price_cents) + 39999) // 40000 else 0 end)"
 TAKER = "((7 * yes_price_cents * (100 - yes_price_cents) + 9999) // 10000)"
 
@@ -41,7 +48,7 @@ MOVES = ((-100, -10), (-9, -3), (-2, 2), (3, 9), (10, 100))
 @query("e01_fees", f"with {S.TRADES}, {S.MARKETS} select trade_id, {TAKER} as taker_fee, {FEE} as maker_fee from trades join markets using (ticker)")
 def fees(spark, d):
     df = S.trades(spark, d).join(S.markets(spark, d).select("ticker", "fee_type"), "ticker")
-    return df.select("trade_id", E.taker_fee(P).alias("taker_fee"), E.maker_fee(P, F.col("fee_type")).alias("maker_fee"))
+    return df.select("trade_id", E.taker_fee(P()).alias("taker_fee"), E.maker_fee(P(), F.col("fee_type")).alias("maker_fee"))
 
 
 RET = "({win} - {stake} - {fee}) / {stake}"
@@ -55,15 +62,15 @@ RET = "({win} - {stake} - {fee}) / {stake}"
     from (select *, least(yes_price_cents + 2, 99) as m from fills) group by category""",
 )
 def returns(spark, d):
-    m = F.least(P + 2, F.lit(99))
+    m = F.least(P() + 2, F.lit(99))
     return (
         S.fills(spark, d)
         .groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.round(F.sum(E.yes_return(P, Y, E.taker_fee(P))), 4).alias("yes_taker"),
-            F.round(F.sum(E.yes_return(m, Y, E.maker_fee(m, F.col("fee_type")))), 4).alias("yes_maker"),
-            F.round(F.sum(E.no_return(P, Y, E.maker_fee(P, F.col("fee_type")))), 4).alias("no_maker"),
+            F.round(F.sum(E.yes_return(P(), Y(), E.taker_fee(P()))), 4).alias("yes_taker"),
+            F.round(F.sum(E.yes_return(m, Y(), E.maker_fee(m, F.col("fee_type")))), 4).alias("yes_maker"),
+            F.round(F.sum(E.no_return(P(), Y(), E.maker_fee(P(), F.col("fee_type")))), 4).alias("no_maker"),
         )
     )
 
@@ -77,8 +84,8 @@ def returns(spark, d):
 def two_sided(spark, d):
     side = F.col("side")
     df = S.fills(spark, d).withColumn("side", F.explode(E.side_rows()))
-    df = df.withColumns({"price": E.side_price(side, P), "win": E.side_win(side, Y)})
-    hold = (100.0 * F.col("win") - F.col("price") - E.maker_fee(P, F.col("fee_type"))) / F.col("price")
+    df = df.withColumns({"price": E.side_price(side, P()), "win": E.side_win(side, Y())})
+    hold = (100.0 * F.col("win") - F.col("price") - E.maker_fee(P(), F.col("fee_type"))) / F.col("price")
     return df.groupBy("side", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price_sum"), F.sum("win").alias("wins"), F.round(F.sum(hold), 4).alias("hold"))
 
 
@@ -92,7 +99,7 @@ def two_sided(spark, d):
 def strategy(spark, d):
     side, entry = F.col("side"), F.col("entry")
     df = S.fills(spark, d).withColumn("side", F.explode(E.side_rows()))
-    df = df.withColumns({"win": E.side_win(side, Y), "entry": E.strategy_entry(side, P, 2)}).withColumn("fee", E.taker_fee(entry))
+    df = df.withColumns({"win": E.side_win(side, Y()), "entry": E.strategy_entry(side, P(), 2)}).withColumn("fee", E.taker_fee(entry))
     return df.groupBy("side", "entry").agg(
         F.min("fee").alias("fee"), F.count(F.lit(1)).alias("n"), F.sum("win").alias("wins"),
         F.round(F.avg((100.0 * F.col("win") - entry - F.col("fee")) / entry), 6).alias("hold"), F.round(F.avg((F.col("win") - 0.02) * 100 - entry - F.col("fee")), 6).alias("edge"),
@@ -106,9 +113,9 @@ def strategy(spark, d):
 )
 def fill_execution(spark, d):
     maker = F.col("taker_side") == "yes"
-    fee = F.when(maker, E.maker_fee(P, F.col("fee_type"))).otherwise(E.taker_fee(P))
+    fee = F.when(maker, E.maker_fee(P(), F.col("fee_type"))).otherwise(E.taker_fee(P()))
     df = S.fills(spark, d).withColumn("role", F.when(maker, "maker_no").otherwise("taker_no"))
-    return df.groupBy("role", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(E.no_return(P, Y, fee)), 4).alias("hold"))
+    return df.groupBy("role", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(E.no_return(P(), Y(), fee)), 4).alias("hold"))
 
 
 @query(
@@ -164,9 +171,9 @@ COARSE = {"01-5": "01-10", "05-10": "01-10", "10-20": "10-30", "20-30": "10-30",
     select screen, suite, move, band, flow, case {' '.join(f"when screen = '{a}' then '{b}'" for a, b in COARSE.items())} end as strict, case {' '.join(f"when screen = '{a}' then '{b}'" for a, b in COARSE.items())} else screen end as loose, count(*) as n from x group by all""",
 )
 def price_labels(spark, d):
-    screen = L.screen_bucket(P)
+    screen = L.screen_bucket(P())
     cols = {
-        "screen": screen, "suite": L.suite_bucket(P), "move": L.fixed_bin(P - 50, MOVES), "band": L.right_closed(P, (5, 50), ("low", "mid", "high")), "flow": L.flow_bucket(P),
+        "screen": screen, "suite": L.suite_bucket(P()), "move": L.fixed_bin(P() - 50, MOVES), "band": L.right_closed(P(), (5, 50), ("low", "mid", "high")), "flow": L.flow_bucket(P()),
         "strict": L.coarse_bucket(screen, COARSE, True), "loose": L.coarse_bucket(screen, COARSE, False),
     }
     return S.fills(spark, d).select(*[c.alias(n) for n, c in cols.items()]).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,13 @@ from tidemark.plans.labels import FEE, TAKER, edges_sql, period_sql
 from tidemark.plans.panels import HORIZONS, SNAPSHOTS
 from tidemark.sources import tables as S
 
-P, Y = F.col("yes_price_cents"), F.col("result_yes")
+
+def P():
+    return F.col("yes_price_cents")
+
+
+def Y():
+    return F.col("result_yes")
 
 
 def stats_sql(source: str, keys: str, values: list[str], cluster: str = "event_ticker", digits: int = 6) -> str:
@@ -43,8 +49,8 @@ FILL_RETURNS = f"""fr as (select *, horizon_days as h, (100.0 * (1 - result_yes)
 
 def fill_returns(spark, d):
     df = S.fills(spark, d)
-    maker = E.no_return(P, Y, E.maker_fee(P, F.col("fee_type")))
-    return df.withColumns({"maker": maker, "taker": E.no_return(P, Y, E.taker_fee(P)), "bucket": L.screen_bucket(P), "band": L.horizon_band(F.col("horizon_days"))})
+    maker = E.no_return(P(), Y(), E.maker_fee(P(), F.col("fee_type")))
+    return df.withColumns({"maker": maker, "taker": E.no_return(P(), Y(), E.taker_fee(P())), "bucket": L.screen_bucket(P()), "band": L.horizon_band(F.col("horizon_days"))})
 
 
 @query("a01_cell_stats", f"with {S.FILLS}, {FILL_RETURNS} {stats_sql('fr', 'category, band', ['maker'])}")
@@ -71,15 +77,15 @@ SNAP = f"""snap as (select s.ticker, s.event_ticker, s.series_ticker, s.category
 
 def snapshot_returns(spark, d):
     s = build_snapshots(S.markets(spark, d), S.trades(spark, d), HORIZONS).where("hold_days >= 1")
-    ret = E.no_return(P, Y, E.maker_fee(P, F.col("fee_type")))
+    ret = E.no_return(P(), Y(), E.maker_fee(P(), F.col("fee_type")))
     end = F.col("snap_ts") + F.make_dt_interval(F.col("hold_days").cast("int"))
-    s = s.withColumns({"ret_no": ret, "bucket": L.screen_bucket(P), "period": L.period(end, S.SPLIT)})
+    s = s.withColumns({"ret_no": ret, "bucket": L.screen_bucket(P()), "period": L.period(end, S.SPLIT)})
     return s.withColumn("ann_no", E.annualised(F.col("ret_no"), F.col("hold_days")))
 
 
 @query("x06_calibration", f"with {S.TRADES}, {S.MARKETS}, {SNAPSHOTS}, {SNAP}, c as (select *, yes_price_cents / 100.0 as implied, result_yes as realised from sa) {stats_sql('c', 'period, horizon_days, bucket', ['implied', 'realised', 'ret_no'], digits=4)}")
 def calibration(spark, d):
-    df = snapshot_returns(spark, d).withColumns({"implied": P / 100.0, "realised": Y})
+    df = snapshot_returns(spark, d).withColumns({"implied": P() / 100.0, "realised": Y()})
     return rounded(C.cell_stats(df, ["period", "horizon_days", "bucket"], ["implied", "realised", "ret_no"]), 4)
 
 
@@ -121,10 +127,10 @@ FAMILY = """fam as (select category, ticker % 50 as series_ticker, count(*) as n
     case when tail_rate >= implied and firing_events >= 2 then 'TRAP' when n_events < 8 or (tail_rate = 0 and q_hi > 2 * implied) then 'THIN' else 'NEUTRAL' end as label from q""",
 )
 def family_base_rates(spark, d):
-    df = S.fills(spark, d).where(P <= 15).withColumn("series_ticker", F.pmod("ticker", F.lit(50)))
+    df = S.fills(spark, d).where(P() <= 15).withColumn("series_ticker", F.pmod("ticker", F.lit(50)))
     keys = ["category", "series_ticker"]
     s = C.cell_stats(df, keys, ["result_yes"])
-    more = df.groupBy(*keys).agg(F.count_distinct("ticker").alias("n_markets"), (F.avg(P) / 100).alias("implied"), F.count_distinct(F.when(Y == 1, F.col("event_ticker"))).alias("firing_events"))
+    more = df.groupBy(*keys).agg(F.count_distinct("ticker").alias("n_markets"), (F.avg(P()) / 100).alias("implied"), F.count_distinct(F.when(Y() == 1, F.col("event_ticker"))).alias("firing_events"))
     j = s.join(more, keys).withColumnsRenamed({"result_yes_mean": "tail_rate", "result_yes_se": "tail_se"})
     hi = F.when(F.col("tail_rate") == 0, 3.0 / F.col("n_events")).otherwise(F.col("tail_rate") + 1.96 * F.col("tail_se"))
     j = j.withColumn("q_hi", F.least(F.lit(1.0), F.greatest(F.lit(0.0), hi)))
@@ -135,9 +141,9 @@ def family_base_rates(spark, d):
 @query("a06_persistence", f"with {S.FILLS} select category, period, count(*) as n, count(distinct event_ticker) as events, round(avg(yes_price_cents) / 100, 6) as implied, round(avg(result_yes), 6) as rate from fills where category in (select category from fills group by category having avg(result_yes) > 0.29) group by all")
 def persistence(spark, d):
     f = S.fills(spark, d)
-    keep = f.groupBy("category").agg(F.avg(Y).alias("r")).where("r > 0.29")
+    keep = f.groupBy("category").agg(F.avg(Y()).alias("r")).where("r > 0.29")
     df = f.join(keep, "category", "left_semi")
-    return rounded(df.groupBy("category", "period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_ticker").alias("events"), (F.avg(P) / 100).alias("implied"), F.avg(Y).alias("rate")))
+    return rounded(df.groupBy("category", "period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_ticker").alias("events"), (F.avg(P()) / 100).alias("implied"), F.avg(Y()).alias("rate")))
 
 
 @query(
@@ -147,7 +153,7 @@ def persistence(spark, d):
     count(*) filter (close_time > timestamp '2024-01-28') as future_end, count(*) filter (volume >= 60 and date_diff('day', open_time, close_time) < 20) as traded_short from markets""",
 )
 def corpus_audit(spark, d):
-    tape = S.trades(spark, d).where(P > 60).select("ticker").distinct().withColumn("has_tape", F.lit(True))
+    tape = S.trades(spark, d).where(P() > 60).select("ticker").distinct().withColumn("has_tape", F.lit(True))
     m = S.markets(spark, d).join(tape, "ticker", "left")
     life = F.timestamp_diff("DAY", F.col("open_time"), F.col("close_time"))
     return m.agg(
@@ -195,7 +201,7 @@ def pooling(spark, d):
 )
 def edge_health(spark, d):
     now = F.lit("1998-12-01").cast("timestamp_ntz")
-    df = fill_returns(spark, d).where(P.between(1, 20)).withColumn("days", F.explode(F.array(F.lit(90), F.lit(365)))).where(F.col("created_time") >= now - F.make_dt_interval(F.col("days")))
+    df = fill_returns(spark, d).where(P().between(1, 20)).withColumn("days", F.explode(F.array(F.lit(90), F.lit(365)))).where(F.col("created_time") >= now - F.make_dt_interval(F.col("days")))
     s = C.cell_stats(df, ["days", "category"], ["maker"])
     return s.select("days", "category", "n", "n_events", F.round("maker_mean", 6).alias("maker_mean"), E.health_light(F.col("maker_mean"), F.col("maker_se"), F.col("n")).alias("light"))
 
