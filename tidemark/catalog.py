@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import forecasts, labels, lookups, panels, screens, suites  # noqa: F401
+    from tidemark.plans import composites, forecasts, labels, lookups, panels, screens, suites  # noqa: F401
