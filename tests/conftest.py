@@ -1,7 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+# Python workers find the package wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH", "")])
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (
