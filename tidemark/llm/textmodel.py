@@ -46,11 +46,15 @@ class Hits(dict):
         return h
 
 
-def values(words: list[bytes], hits: Hits, size: int) -> np.ndarray:
-    """A document's feature values: one for presence, and the logarithm of the count per hundred words."""
+def values(words: list[bytes], hits: Hits, size: int, presence: float = 0.0) -> np.ndarray:
+    """A document's feature values: the logarithm of the count per hundred words, 0 if absent and 1 for one.
+
+    ``presence`` is added for every feature that occurs. Without it only density
+    counts, so that chance hits in a very long text add nothing.
+    """
     found = np.fromiter(chain.from_iterable(map(hits.__getitem__, words)), np.int64)
     counts = np.bincount(found, minlength=size)
-    return np.where(counts > 0, 1 + np.log1p(counts * (100 / max(1, len(words)))), 0.0)
+    return np.log1p(counts * (400 / max(1, len(words)))) / np.log(5) + presence * (counts > 0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -85,7 +89,7 @@ def choose_features(sample: DataFrame, size: int = FEATURES, least: int = 4) ->
     return [r["f"] for r in chosen.collect()]
 
 
-def matrix(sample: DataFrame, features: list[str]):
+def matrix(sample: DataFrame, features: list[str], presence: float = 0.0):
     """(rows, columns, values, y): the sample's nonzero features, bounded by its rows times the features."""
     index = {f: i for i, f in enumerate(features)}
 
@@ -95,7 +99,7 @@ def matrix(sample: DataFrame, features: list[str]):
             for b in slices(whole, 1):
                 ids, vals = [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():
-                    x = values((t or b"").split(), hits, len(index))
+                    x = values((t or b"").split(), hits, len(index), presence)
                     at = np.flatnonzero(x)
                     ids.append(at.astype(np.int32))
                     vals.append(x[at].astype(np.float32))
@@ -118,7 +122,7 @@ def minimise(loss_and_slope, start: np.ndarray, steps: int = 250, rate: float =
     return x
 
 
-def per_document(docs: DataFrame, columns: list[str], features: list[str], compute, schema: str) -> DataFrame:
+def per_document(docs: DataFrame, columns: list[str], features: list[str], compute, schema: str, presence: float = 0.0) -> DataFrame:
     """Applies ``compute(values, words) -> tuple`` to every whole text; ``columns`` are carried along."""
     rows_per_batch(docs.sparkSession)
     index = {f: i for i, f in enumerate(features)}
@@ -130,7 +134,7 @@ def per_document(docs: DataFrame, columns: list[str], features: list[str], compu
                 out = []
                 for t in b.column(len(columns)).cast(pa.binary()).to_pylist():
                     words = (t or b"").split()
-                    out.append(compute(values(words, hits, len(index)), words))
+                    out.append(compute(values(words, hits, len(index), presence), words))
                 cols = list(zip(*out))
                 fields = [pa.field(n, _ARROW[k]) for n, k in (x.split() for x in schema.split(", "))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *(pa.array(c, f.type) for c, f in zip(cols, fields))], names=[*columns, *(f.name for f in fields)])

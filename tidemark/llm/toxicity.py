@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
-from tidemark.llm.textmodel import FEATURES, SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
+from tidemark.llm.textmodel import SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
 
 GRADES, REJECT = 4, 0.5
+#: Fewer features than other classifiers take: markers are rare and strong. One that occurs counts in a long text too.
+FEATURES, PRESENCE, RIDGE = 600, 0.5, 1e-3
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(rows, cols, vals, grade, size: int, grades: int, ridge: float = 1e-4):
+def fit_ordinal(rows, cols, vals, grade, size: int, grades: int, ridge: float = RIDGE):
     """Shared weights and rising thresholds. Thresholds are a first value and positive steps, so they stay ordered."""
     n = len(grade)
     weight = n / (grades * np.maximum(1, np.bincount(grade, minlength=grades)))[grade]
@@ -72,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, size: int = FEA
     """
     sample = stage(labelled_sample(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("y")), limit))
     features = choose_features(sample, size)
-    rows, cols, vals, y = matrix(sample, features)
+    rows, cols, vals, y = matrix(sample, features, PRESENCE)
     if len(set(y.tolist())) < 2 or not features:
         return features, np.zeros(len(features)), 40.0 + np.arange(grades - 1)
     toxic = y > 0
@@ -103,7 +105,7 @@ def severity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, reject: fl
         return s, int(p.argmax()), float(above[0])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = per_document(typed, ["doc_id"], features, compute, "severity double, grade int, p_toxic double")
+    scored = per_document(typed, ["doc_id"], features, compute, "severity double, grade int, p_toxic double", PRESENCE)
     return scored.withColumn("toxic", F.col("severity") >= reject)
 
 
@@ -112,5 +114,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Da
     features, w, b = fit(docs, labels)
     columns = [c for c in docs.columns if c != "text"]
     rows = docs.withColumn("_text", F.col("text"))
-    scored = per_document(rows, [*columns, "_text"], features, lambda x, words: (expected(w, b, x)[0],), "_severity double")
+    scored = per_document(rows, [*columns, "_text"], features, lambda x, words: (expected(w, b, x)[0],), "_severity double", PRESENCE)
     return scored.where(F.col("_severity") < reject).withColumnRenamed("_text", "text").select(*docs.columns)
