@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -19,10 +20,23 @@ _LETTERS = regex.compile(r"[^\p{L}]+")
 _SHAPE = regex.compile(r"(\p{Lu}+)|(\p{L}+)|(\p{N}+)|(.)\4*", regex.DOTALL)
 
 
+_TAIL = ".,;:!?%&$*#\"')"
+
+
+def _outline(m) -> str:
+    return "A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] * min(len(m[0]), 2)
+
+
 def word_features(word: str) -> tuple[str, ...]:
     """The lower-cased letters, their first four and five, and the outline of a word."""
-    low = _LETTERS.sub("", word).lower()
-    shape = _SHAPE.sub(lambda m: "A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] * min(len(m[0]), 2), word)
+    core = word.rstrip(_TAIL)
+    if core.isalpha():  # most words
+        low = core.lower()
+        tail = word[len(core) :]
+        shape = ("a" if not core[0].isupper() else "A" if core.isupper() else "Aa") + (tail if len(tail) < 2 else _SHAPE.sub(_outline, tail))
+    else:
+        low = _LETTERS.sub("", word).lower()
+        shape = _SHAPE.sub(_outline, word)
     out = ["s:" + shape[:8]]
     if low:
         out.append("w:" + low[:40])
@@ -32,20 +46,25 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 class Hits(dict):
-    """Word -> indices of its kept features; forgets everything when full."""
+    """Word -> indices of its kept features; forgets everything when full. ``hits_of`` shares one between tasks."""
 
     def __init__(self, index: dict[str, int]):
         super().__init__()
         self.index = index
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 800_000:
             self.clear()
         i = self.index
         h = self[word] = tuple(i[f] for f in word_features(word.decode(errors="replace")) if f in i)
         return h
 
 
+@lru_cache(maxsize=2)
+def hits_of(features: tuple[str, ...]) -> Hits:
+    return Hits({f: i for i, f in enumerate(features)})
+
+
 def values(words: list[bytes], hits: Hits, size: int, presence: float = 0.0) -> np.ndarray:
     """A document's feature values: the logarithm of the count per hundred words, 0 if absent and 1 for one.
 
@@ -91,15 +110,15 @@ def choose_features(sample: DataFrame, size: int = FEATURES, least: int = 4) ->
 
 def matrix(sample: DataFrame, features: list[str], presence: float = 0.0):
     """(rows, columns, values, y): the sample's nonzero features, bounded by its rows times the features."""
-    index = {f: i for i, f in enumerate(features)}
+    kept = tuple(features)
 
     def run(batches):
-        hits = Hits(index)
+        hits = hits_of(kept)
         for whole in batches:
             for b in slices(whole, 1):
                 ids, vals = [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():
-                    x = values((t or b"").split(), hits, len(index), presence)
+                    x = values((t or b"").split(), hits, len(kept), presence)
                     at = np.flatnonzero(x)
                     ids.append(at.astype(np.int32))
                     vals.append(x[at].astype(np.float32))
@@ -125,16 +144,16 @@ def minimise(loss_and_slope, start: np.ndarray, steps: int = 250, rate: float =
 def per_document(docs: DataFrame, columns: list[str], features: list[str], compute, schema: str, presence: float = 0.0) -> DataFrame:
     """Applies ``compute(values, words) -> tuple`` to every whole text; ``columns`` are carried along."""
     rows_per_batch(docs.sparkSession)
-    index = {f: i for i, f in enumerate(features)}
+    kept = tuple(features)
 
     def run(batches):
-        hits = Hits(index)
+        hits = hits_of(kept)
         for whole in batches:
             for b in slices(whole, len(columns)):
                 out = []
                 for t in b.column(len(columns)).cast(pa.binary()).to_pylist():
                     words = (t or b"").split()
-                    out.append(compute(values(words, hits, len(index), presence), words))
+                    out.append(compute(values(words, hits, len(kept), presence), words))
                 cols = list(zip(*out))
                 fields = [pa.field(n, _ARROW[k]) for n, k in (x.split() for x in schema.split(", "))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *(pa.array(c, f.type) for c, f in zip(cols, fields))], names=[*columns, *(f.name for f in fields)])
