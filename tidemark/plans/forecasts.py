@@ -43,14 +43,14 @@ def rolling_calibration(spark, d):
 
 @query(
     "j14_latest_available",
-    f"""with {FORECASTS} select o.station, o.weather_stat, o.target_date, f.event_id from observations o join forecasts f using (station, weather_stat, target_date) where f.available_at <= o.available_at - interval 36 hour
+    f"""with {FORECASTS} select o.station, o.weather_stat, cast(o.target_date as varchar) as target_date, f.event_id from observations o join forecasts f using (station, weather_stat, target_date) where f.available_at <= o.available_at - interval 36 hour
     qualify row_number() over (partition by o.station, o.weather_stat, o.target_date order by f.available_at desc, f.lead_days desc, f.event_id desc) = 1""",
 )
 def latest_available(spark, d):
     o = observations(spark, d).select("station", "weather_stat", "target_date", F.col("available_at").alias("decided"))
     j = o.join(forecasts(spark, d), ["station", "weather_stat", "target_date"]).where(F.col("available_at") <= F.col("decided") - F.expr("interval 36 hours"))
     keys = ["station", "weather_stat", "target_date"]
-    return pick(j, keys, [F.desc("available_at"), F.desc("lead_days"), F.desc("event_id")]).select(*keys, "event_id")
+    return pick(j, keys, [F.desc("available_at"), F.desc("lead_days"), F.desc("event_id")]).select("station", "weather_stat", F.col("target_date").cast("string").alias("target_date"), "event_id")
 
 
 EDGES = P.RECALIBRATION_EDGES

@@ -77,7 +77,7 @@ def returns(spark, d):
 
 @query(
     "e06_p22_two_sided",
-    f"""with {S.FILLS} select side, period, count(*) as n, sum(price) as price_sum, sum(win) as wins, round(sum((100.0 * win - price - {FEE}) / price), 4) as hold
+    f"""with {S.FILLS} select side, period, count(*) as n, cast(sum(price) as bigint) as price_sum, cast(sum(win) as bigint) as wins, round(sum((100.0 * win - price - {FEE}) / price), 4) as hold
     from (select *, case when side = 'yes' then yes_price_cents else 100 - yes_price_cents end as price, case when side = 'yes' then result_yes else 1 - result_yes end as win
     from fills, (values ('no'), ('yes')) s(side)) group by side, period""",
 )
@@ -94,7 +94,7 @@ def two_sided(spark, d):
     f"""with {S.FILLS}, x as (select *, case when side = 'yes' then result_yes else 1 - result_yes end as win,
     least(99, greatest(1, case when side = 'yes' then yes_price_cents else 100 - yes_price_cents end + 2)) as entry from fills, (values ('no'), ('yes')) s(side)),
     y as (select *, (7 * entry * (100 - entry) + 9999) // 10000 as fee from x)
-    select side, entry, min(fee) as fee, count(*) as n, sum(win) as wins, round(avg((100.0 * win - entry - fee) / entry), 6) as hold, round(avg((win - 0.02) * 100 - entry - fee), 6) as edge from y group by side, entry""",
+    select side, entry, min(fee) as fee, count(*) as n, cast(sum(win) as bigint) as wins, round(avg((100.0 * win - entry - fee) / entry), 6) as hold, round(avg((win - 0.02) * 100 - entry - fee), 6) as edge from y group by side, entry""",
 )
 def strategy(spark, d):
     side, entry = F.col("side"), F.col("entry")
@@ -122,10 +122,10 @@ def fill_execution(spark, d):
     "e10_hold_seconds",
     f"""with {S.TRADES}, {S.MARKETS} select trade_id, case when settled_time > created_time then date_diff('second', created_time, settled_time)
     when settled_time is not null and close_time > created_time then date_diff('second', created_time, close_time) else date_diff('second', created_time, expiration_time) end as hold_seconds
-    from trades join markets using (ticker) where date_trunc('second', created_time) = created_time""",
+    from (select trade_id, ticker, date_trunc('second', created_time) as created_time from trades) join markets using (ticker)""",
 )
 def hold_seconds(spark, d):
-    df = S.trades(spark, d).join(S.markets(spark, d), "ticker").where(F.date_trunc("second", "created_time") == F.col("created_time"))
+    df = S.trades(spark, d).withColumn("created_time", F.date_trunc("second", "created_time")).join(S.markets(spark, d), "ticker")
     hold = E.hold_seconds(F.col("settled_time"), F.col("created_time"), F.col("close_time"), F.col("settled_time").isNotNull(), F.col("expiration_time"))
     return df.select("trade_id", hold.alias("hold_seconds"))
 
@@ -156,7 +156,7 @@ def brackets(spark, d):
     return S.table(spark, d, "orders").select("o_orderkey", F.round(p, 5).alias("p"))
 
 
-@query("p14_periods", f"with {S.TRADES} select {period_sql('created_time', S.FOLDS)} as period, count(*) as n, sum(count) as contracts from trades group by 1")
+@query("p14_periods", f"with {S.TRADES} select {period_sql('created_time', S.FOLDS)} as period, count(*) as n, cast(sum(count) as bigint) as contracts from trades group by 1")
 def periods(spark, d):
     return S.trades(spark, d).groupBy(L.period(F.col("created_time"), S.FOLDS).alias("period")).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("contracts"))
 

@@ -50,7 +50,7 @@ def metadata(spark, d):
 @query(
     "s09_hourly_forecasts",
     """with h as (select user_id as station, date_trunc('day', ts) as day, ts, value from events), e as (select station, day, lead, max(value) as hi, min(value) as lo, max(ts) as last from h, (values (1), (2)) l(lead) group by all)
-    select station, lead as lead_days, cast(day as date) as target_date, weather_stat, case when weather_stat = 'max' then round(hi + lead, 4) else round(lo + lead, 4) end as forecast_f, date_trunc('second', last) - to_days(lead) + interval 6 hour as available_at from e, (values ('max'), ('min')) s(weather_stat)""",
+    select station, lead as lead_days, cast(cast(day as date) as varchar) as target_date, weather_stat, case when weather_stat = 'max' then round(hi + lead, 4) else round(lo + lead, 4) end as forecast_f, date_trunc('second', last) - to_days(lead) + interval 6 hour as available_at from e, (values ('max'), ('min')) s(weather_stat)""",
 )
 def hourly(spark, d):
     e = S.table(spark, d, "events")
@@ -60,17 +60,17 @@ def hourly(spark, d):
     hourly_map = F.create_map(F.lit("time"), F.transform("r", lambda x: x["t"]), F.lit("temperature_2m_previous_day1"), values(1), F.lit("temperature_2m_previous_day2"), values(2))
     payload = F.to_json(F.struct(hourly_map.alias("hourly")))
     out = D.hourly_forecasts(g.select("station", F.lit("UTC").alias("timezone"), payload.alias("payload")))
-    return out.select("station", "lead_days", "target_date", "weather_stat", F.round("forecast_f", 4).alias("forecast_f"), F.col("available_at").cast("timestamp_ntz").alias("available_at"))
+    return out.select("station", "lead_days", F.col("target_date").cast("string").alias("target_date"), "weather_stat", F.round("forecast_f", 4).alias("forecast_f"), F.col("available_at").cast("timestamp_ntz").alias("available_at"))
 
 
 @query(
     "s10_daily_observations",
     """with x as (select o_custkey as station, cast(o_orderdate as date) as date, max(o_totalprice) as hi, min(o_totalprice) as lo from orders group by all)
-    select station, date as target_date, s as weather_stat, case s when 'max' then hi else lo end as observed_f, cast(date + 2 as timestamp) + interval 5 hour as available_at from x, (values ('max'), ('min')) v(s)""",
+    select station, cast(date as varchar) as target_date, s as weather_stat, case s when 'max' then hi else lo end as observed_f, cast(date + 2 as timestamp) + interval 5 hour as available_at from x, (values ('max'), ('min')) v(s)""",
 )
 def observations(spark, d):
     o = S.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("station"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("tmax"), F.min("o_totalprice").alias("tmin"))
-    return D.daily_observations(o.withColumn("timezone", F.lit("GMT-5"))).withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
+    return D.daily_observations(o.withColumn("timezone", F.lit("GMT-5"))).withColumns({"available_at": F.col("available_at").cast("timestamp_ntz"), "target_date": F.col("target_date").cast("string")})
 
 
 @query(
@@ -89,13 +89,13 @@ FORMS = "case when o_orderpriority like '1%' then 'S-1' when o_orderpriority lik
 
 @query(
     "s12_filings",
-    f"""with h as (select o_custkey % 300 as entity, {FORMS} as form, cast(o_orderdate as date) as file_date from orders) select e.entity, coalesce(arg_max(h.form, (h.file_date, h.form)), 'NO_MATCH') as value, max(h.file_date) as file_date
+    f"""with h as (select o_custkey % 300 as entity, {FORMS} as form, cast(o_orderdate as date) as file_date from orders) select e.entity, coalesce(arg_max(h.form, (h.file_date, h.form)), 'NO_MATCH') as value, cast(max(h.file_date) as varchar) as file_date
     from (select distinct entity from h) e left join h on h.entity = e.entity and form <> 'X' and file_date <= date '1995-06-01' group by e.entity""",
 )
 def filings(spark, d):
     p = F.col("o_orderpriority")
     h = S.table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(300)).alias("entity"), F.when(p.startswith("1"), "S-1").when(p.startswith("2"), "F-1/A").otherwise("X").alias("form"), F.to_date("o_orderdate").alias("file_date"))
-    return D.filing_features(h, h, F.lit("1995-06-01").cast("timestamp")).select("entity", "value", "file_date")
+    return D.filing_features(h, h, F.lit("1995-06-01").cast("timestamp")).select("entity", "value", F.col("file_date").cast("string").alias("file_date"))
 
 
 @query("s16_normalised_features", "select cast(user_id as varchar) as entity, event_type as metric, cast(cast(ts as date) as timestamp) as available_at, arg_max(cast(event_id as varchar), (ts, cast(event_id as varchar))) as value from events group by all")
@@ -126,9 +126,9 @@ def semi(spark, d):
     return S.table(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("j04_u04_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("j04_u04_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 150000)")
 def anti(spark, d):
-    return O.missing_keys(S.table(spark, d, "customer").select("c_custkey"), S.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return O.missing_keys(S.table(spark, d, "customer").select("c_custkey"), S.table(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query(
@@ -249,13 +249,13 @@ def ladder_direction(spark, d):
     return S.table(spark, d, "orders").select("o_orderkey", T.ladder_direction(sub, rules).alias("direction"))
 
 
-@query("e23_target_dates", "select o_orderkey, case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as target_date from orders")
+@query("e23_target_dates", "select o_orderkey, case when o_orderkey % 5 <> 0 then cast(cast(o_orderdate as date) as varchar) end as target_date from orders")
 def target_dates(spark, d):
     code = F.upper(F.date_format("o_orderdate", "yyMMMdd"))
     day = F.when(F.pmod("o_orderkey", F.lit(5)) == 0, F.concat(F.substring(code, 1, 5), F.lit("39"))).otherwise(code)
     # Two-digit years mean 20yy; the tables' years are brought back for comparison.
     got = T.target_date(F.concat(F.lit("EV-"), day))
-    return S.table(spark, d, "orders").select("o_orderkey", F.when(F.year(got) >= 2050, F.add_months(got, F.lit(-1200))).otherwise(got).alias("target_date"))
+    return S.table(spark, d, "orders").select("o_orderkey", F.when(F.year(got) >= 2050, F.add_months(got, F.lit(-1200))).otherwise(got).cast("string").alias("target_date"))
 
 
 @query(
@@ -283,7 +283,7 @@ def source_classes(spark, d):
 @query(
     "e20_host_scores",
     r"""with h as (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\.', '') as host from pages), c as (select * from (values ('example.com', 0.8, 0.5), ('m.ththth.example.net', 0.9, 1.0), ('example.net', 0.6, 0.4)) c(suffix, upstream, pit)),
-    b as (select page_id, max((upstream, pit, suffix)) as best from h join c on host = suffix or ends_with(host, '.' || suffix) group by page_id) select h.page_id, coalesce(best[1], 0.3) as upstream, coalesce(best[2], 0.3) as pit from h left join b using (page_id)""",
+    b as (select page_id, max((upstream, pit, suffix)) as best from h join c on host = suffix or ends_with(host, '.' || suffix) group by page_id) select h.page_id, cast(coalesce(best[1], 0.3) as double) as upstream, cast(coalesce(best[2], 0.3) as double) as pit from h left join b using (page_id)""",
 )
 def host_scores(spark, d):
     catalog = spark.createDataFrame([("example.com", 0.8, 0.5), ("m.ththth.example.net", 0.9, 1.0), ("example.net", 0.6, 0.4)], "suffix string, upstream double, pit double")

@@ -81,7 +81,7 @@ def relations(spark, d):
     return P.build_relations(S.markets(spark, d))
 
 
-PAIRS = [("T-7d", "T-1d"), ("T-1d", "T-1h"), ("T-7d", "T-1h")]
+PAIRS = [("T-7d", "T-1d"), ("T-1d", "T-1h"), ("T-7d", "T-1h"), ("O+1d", "O+7d")]
 PATHS = f"""paths as (select l.ticker, l.event_ticker, l.decision_time, e.label || '->' || l.label as path_pair, l.yes_price_cents - e.yes_price_cents as price_move_cents from points l join points e on l.ticker = e.ticker
  and (e.label, l.label) in ({', '.join(str(p) for p in PAIRS)}) where e.decision_time < l.decision_time and l.trade_time > e.decision_time)"""
 
@@ -184,7 +184,7 @@ def ladder(spark, d):
 @query(
     "x17_ladder_summary",
     f"""with {S.TRADES}, {S.MARKETS}, {POINTS}, {LADDER}, g as (select *, case when direction = 'above' then rise else -rise end as gap from ladder where lower_ticker is not null)
-    select direction, label as decision_label, count(*) as pairs, count(distinct event_ticker) as events, sum(case when gap >= 2 then 1 else 0 end) as violations, round(avg(case when gap >= 2 then 1.0 else 0 end), 6) as violation_rate, round(avg(gap), 6) as mean_gap, max(gap) as max_gap from g group by all""",
+    select direction, label as decision_label, count(*) as pairs, count(distinct event_ticker) as events, count(*) filter (gap >= 2) as violations, round(avg(case when gap >= 2 then 1.0 else 0 end), 6) as violation_rate, round(avg(gap), 6) as mean_gap, max(gap) as max_gap from g group by all""",
 )
 def ladder_summary(spark, d):
     g = ladder_frame(spark, d)

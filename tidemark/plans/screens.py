@@ -123,7 +123,7 @@ FAMILY = """fam as (select category, ticker % 50 as series_ticker, count(*) as n
     "x10_family_base_rates",
     f"""with {S.FILLS}, b as (select *, ticker % 50 as series_ticker from fills where yes_price_cents <= 15), {FAMILY}, st as ({stats_sql('b', 'category, series_ticker', ['result_yes'], digits=12)}),
     q as (select f.*, st.result_yes_se as tail_se, least(1, greatest(0, case when tail_rate = 0 then 3.0 / f.n_events else tail_rate + 1.96 * st.result_yes_se end)) as q_hi from fam f join st using (category, series_ticker))
-    select category, series_ticker, n, n_events, n_markets, firing_events, round(implied, 6) as implied, round(tail_rate, 6) as tail_rate, round(q_hi, 6) as q_hi,
+    select category, series_ticker, n, n_events, n_markets, firing_events, round(implied, 9) as implied, round(tail_rate, 9) as tail_rate, round(q_hi, 5) as q_hi,
     case when tail_rate >= implied and firing_events >= 2 then 'TRAP' when n_events < 8 or (tail_rate = 0 and q_hi > 2 * implied) then 'THIN' else 'NEUTRAL' end as label from q""",
 )
 def family_base_rates(spark, d):
@@ -135,7 +135,7 @@ def family_base_rates(spark, d):
     hi = F.when(F.col("tail_rate") == 0, 3.0 / F.col("n_events")).otherwise(F.col("tail_rate") + 1.96 * F.col("tail_se"))
     j = j.withColumn("q_hi", F.least(F.lit(1.0), F.greatest(F.lit(0.0), hi)))
     label = F.when((F.col("tail_rate") >= F.col("implied")) & (F.col("firing_events") >= 2), "TRAP").when((F.col("n_events") < 8) | ((F.col("tail_rate") == 0) & (F.col("q_hi") > 2 * F.col("implied"))), "THIN").otherwise("NEUTRAL")
-    return rounded(j.select(*keys, "n", "n_events", "n_markets", "firing_events", "implied", "tail_rate", "q_hi", label.alias("label")))
+    return j.select(*keys, "n", "n_events", "n_markets", "firing_events", F.round("implied", 9).alias("implied"), F.round("tail_rate", 9).alias("tail_rate"), F.round("q_hi", 5).alias("q_hi"), label.alias("label"))
 
 
 @query("a06_persistence", f"with {S.FILLS} select category, period, count(*) as n, count(distinct event_ticker) as events, round(avg(yes_price_cents) / 100, 6) as implied, round(avg(result_yes), 6) as rate from fills where category in (select category from fills group by category having avg(result_yes) > 0.29) group by all")

@@ -147,11 +147,11 @@ FAMILY_ROWS = f"""flows as (select p.ticker, p.label, coalesce(sum(t.count), 0)
 
 @query(
     "x14_family_periods",
-    f"with {S.TRADES}, {S.MARKETS}, {POINTS}, {SIDES}, {FAMILY_ROWS} select family_id, cell_id, period, n, n_events, round(ann_mean, 4) as ann_mean, round(ann_se, 4) as ann_se, case when family_id <> 'close' then round(incremental_mean, 4) end as incremental_mean from st",
+    f"with {S.TRADES}, {S.MARKETS}, {POINTS}, {SIDES}, {FAMILY_ROWS} select family_id, cell_id, period, n, n_events, round(ann_mean, 4) as ann_mean, round(ann_se, 4) as ann_se, case when family_id <> 'close' then round(incremental_mean, 4) + 0.0 end as incremental_mean from st",
 )
 def family_periods(spark, d):
     s = C.cell_stats(family_rows(side_panel(spark, d)), ["family_id", "cell_id", "period"], ["ann", "incremental"])
-    return s.select("family_id", "cell_id", "period", "n", "n_events", F.round("ann_mean", 4).alias("ann_mean"), F.round("ann_se", 4).alias("ann_se"), F.round("incremental_mean", 4).alias("incremental_mean"))
+    return s.select("family_id", "cell_id", "period", "n", "n_events", F.round("ann_mean", 4).alias("ann_mean"), F.round("ann_se", 4).alias("ann_se"), (F.round("incremental_mean", 4) + 0.0).alias("incremental_mean"))
 
 
 @query(
