@@ -139,8 +139,9 @@ def simhash_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class, with all columns of ``docs``.
 
-    Of repeated rows of the kept doc_id, one stays.
+    Of repeated rows of the kept doc_id, one stays. Rows with a null doc_id, which
+    nothing can name, all stay.
     """
     kept = simhash_components(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     once = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    return once.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
