@@ -90,7 +90,9 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
-encoder = cache(Encoder)
+@cache
+def encoder(file: str) -> Encoder:
+    return Encoder(file)
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
