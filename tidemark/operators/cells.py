@@ -97,17 +97,27 @@ def registered_cells(cells: DataFrame, registered: DataFrame, keys=("family_id",
 
 def pooling_cascade(df: DataFrame, levels: list[tuple[str, list[str]]], value: str, least: int) -> DataFrame:
     """Cells of the finest level with enough rows in both periods; leftovers fall to
-    the next level, and what is left at the end is ``insufficient``."""
-    rest, parts = df, []
+    the next level, and what is left at the end is ``insufficient``.
+
+    Which level a fine cell falls to depends on counts alone, so it is settled on
+    the table of fine cells (as many rows as labels combine to) and the rows are
+    read once for all levels.
+    """
+    fine = levels[0][1]
+    cells = df.groupBy(*fine).agg(F.count_if(F.col("period") == "discovery").alias("_d"), F.count_if(F.col("period") == "confirmation").alias("_c")).withColumn("level", F.lit(None).cast("string"))
     for name, keys in levels:
-        s = cell_stats(rest, [*keys, "period"], [value])
-        wide = s.groupBy(*keys).agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{p}_{c}") for p in ("discovery", "confirmation") for c in ("n", "n_events", f"{value}_mean", f"{value}_se")])
-        good = (F.coalesce("discovery_n", F.lit(0)) >= least) & (F.coalesce("confirmation_n", F.lit(0)) >= least)
-        enough = wide.where(good)
-        parts.append(enough.withColumn("level", F.lit(name)))
-        rest = rest.join(enough.select(*keys), keys, "left_anti")
-    left = rest.groupBy(*levels[0][1]).agg(F.count(F.lit(1)).alias("leftover_n")).withColumn("level", F.lit("insufficient"))
-    out = parts[0]
-    for p in [*parts[1:], left]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        w = Window.partitionBy(*keys)
+        free = F.col("level").isNull()
+        enough = (F.sum(F.when(free, F.col("_d"))).over(w) >= least) & (F.sum(F.when(free, F.col("_c"))).over(w) >= least)
+        cells = cells.withColumn("level", F.when(free & enough, name).otherwise(F.col("level")))
+    cells = cells.select(*[F.col(k).alias(f"_{k}") for k in fine], F.coalesce("level", F.lit("insufficient")).alias("level"))
+    same = F.lit(True)
+    for k in fine:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = df.join(F.broadcast(cells), same)  # one row a fine cell
+    kept = {k: ["insufficient", *[n for n, keys in levels if k in keys]] for k in fine}
+    rows = rows.withColumns({k: F.when(F.col("level").isin(*kept[k]), F.col(k)) for k in fine})
+    s = cell_stats(rows, ["level", *fine, "period"], [value])
+    pooled = F.col("level") != "insufficient"
+    wide = [F.max(F.when(pooled & (F.col("period") == p), F.col(c))).alias(f"{p}_{c}") for p in ("discovery", "confirmation") for c in ("n", "n_events", f"{value}_mean", f"{value}_se")]
+    return s.groupBy("level", *fine).agg(*wide, F.sum(F.when(~pooled, F.col("n"))).alias("leftover_n"))
