@@ -27,17 +27,22 @@ def _outline(m) -> str:
     return "A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] * min(len(m[0]), 2)
 
 
-def word_features(word: str) -> tuple[str, ...]:
-    """The lower-cased letters, their first four and five, and the outline of a word."""
+def _parts(word: str) -> tuple[str, str]:
+    """The lower-cased letters and the outline of a word."""
+    if word.isalpha() and word.islower():
+        return word, "a"
     core = word.rstrip(_TAIL)
-    if core.isalpha():  # most words
-        low = core.lower()
+    if core.isalpha():
         tail = word[len(core) :]
-        shape = ("a" if not core[0].isupper() else "A" if core.isupper() else "Aa") + (tail if len(tail) < 2 else _SHAPE.sub(_outline, tail))
-    else:
-        low = _LETTERS.sub("", word).lower()
-        shape = _SHAPE.sub(_outline, word)
-    out = ["s:" + shape[:8]]
+        head = "a" if not core[0].isupper() else "A" if core.isupper() else "Aa"
+        return core.lower(), (head + (tail if len(tail) < 2 else tail[0] * 2 if tail.count(tail[0]) == len(tail) else _SHAPE.sub(_outline, tail)))[:8]
+    return _LETTERS.sub("", word).lower(), _SHAPE.sub(_outline, word)[:8]
+
+
+def word_features(word: str) -> tuple[str, ...]:
+    """The lower-cased letters, their first four and five, and the outline of a word."""
+    low, shape = _parts(word)
+    out = ["s:" + shape]
     if low:
         out.append("w:" + low[:40])
     if len(low) > 4:
@@ -51,12 +56,20 @@ class Hits(dict):
     def __init__(self, index: dict[str, int]):
         super().__init__()
         self.index = index
+        # The same by kind, so that a word's features need not be spelled out.
+        self.shapes, self.words, self.four, self.five = ({f[2:]: i for f, i in index.items() if f[0] == k} for k in "sw45")
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= 800_000:
             self.clear()
-        i = self.index
-        h = self[word] = tuple(i[f] for f in word_features(word.decode(errors="replace")) if f in i)
+        text = word.decode(errors="replace")
+        low, shape = _parts(text)
+        found = [self.shapes.get(shape)]
+        if low:
+            found.append(self.words.get(low[:40]))
+            if len(low) > 4:
+                found += [self.four.get(low[:4]), self.five.get(low[:5])]
+        h = self[word] = tuple([i for i in found if i is not None])
         return h
 
 
