@@ -95,3 +95,13 @@ def slices(batch, text_column: int, limit: int = 4 << 20):
         total += n
     if at < len(sizes):
         yield batch.slice(at)
+
+
+_word_caches: dict[str, object] = {}
+
+
+def only_word_cache(name: str, clear) -> None:
+    """A worker process serves many stages: of their word caches, only the latest stage's stays in memory."""
+    for other in [n for n in _word_caches if n != name]:
+        _word_caches.pop(other)()
+    _word_caches[name] = clear

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stage, rows_per_batch, slices, stage
+from tidemark.llm.common import drop_stage, only_word_cache, rows_per_batch, slices, stage
 
 LENGTH, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
@@ -44,7 +44,7 @@ class Encoder(dict):
     of a worker process.
     """
 
-    def __init__(self, file: str, most: int = 600_000):
+    def __init__(self, file: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     most = 4 * length
 
     def run(batches):
+        only_word_cache("encoder", encoder.cache_clear)
         encode = encoder(tokenizer).encode
         for whole in batches:
             for b in slices(whole, 1):

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_per_batch, slices, stage
+from tidemark.llm.common import only_word_cache, rows_per_batch, slices, stage
 
 #: Labelled rows that a classifier is fitted on, and features that it keeps.
 SAMPLE, FEATURES = 6000, 2000
@@ -60,7 +60,7 @@ class Hits(dict):
         self.shapes, self.words, self.four, self.five = ({f[2:]: i for f, i in index.items() if f[0] == k} for k in "sw45")
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 800_000:
+        if len(self) >= 400_000:
             self.clear()
         text = word.decode(errors="replace")
         low, shape = _parts(text)
@@ -73,7 +73,7 @@ class Hits(dict):
         return h
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def hits_of(features: tuple[str, ...]) -> Hits:
     return Hits({f: i for i, f in enumerate(features)})
 
@@ -126,6 +126,7 @@ def matrix(sample: DataFrame, features: list[str], presence: float = 0.0):
     kept = tuple(features)
 
     def run(batches):
+        only_word_cache("hits", hits_of.cache_clear)
         hits = hits_of(kept)
         for whole in batches:
             for b in slices(whole, 1):
@@ -160,6 +161,7 @@ def per_document(docs: DataFrame, columns: list[str], features: list[str], compu
     kept = tuple(features)
 
     def run(batches):
+        only_word_cache("hits", hits_of.cache_clear)
         hits = hits_of(kept)
         for whole in batches:
             for b in slices(whole, len(columns)):
