@@ -64,7 +64,11 @@ class Encoder(dict):
         for c in chunks:
             s = c.decode(errors="replace")
             if _PLAIN.fullmatch(s) and "<|" not in s:
-                split[c] = found = _PARTS.findall(s.lower())
+                core = s.rstrip(".,")
+                if core.isalpha():  # most chunks: letters, and perhaps a stop
+                    split[c] = found = [core.lower(), s[len(core) :]] if len(core) < len(s) else [core.lower()]
+                else:
+                    split[c] = found = _PARTS.findall(s.lower())
                 new.update((p, None) for p in found if p not in self.parts)
             else:
                 self[c] = self._ids(s).tobytes()
