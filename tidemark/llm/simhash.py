@@ -31,18 +31,25 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 BUCKET = 32
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of UTF-8 bytes as an unsigned number; 0 if there are no words."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """A hash of each run of ``shingle`` words (of all words, if there are fewer); empty if there are none."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII breaks
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words))
     last = (ends[k - 1 :] - 1).tolist()
     first = [0, *ends[: len(words) - k].tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), dtype="<u8", count=len(last))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), dtype="<u8", count=len(last))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of UTF-8 bytes as an unsigned number; 0 if there are no words."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     octets = h.view(np.uint8).reshape(-1, 8) + _LANES
     seen = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256)
     ones = seen @ _BITS
@@ -136,12 +143,12 @@ def simhash_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate class, with all columns of ``docs``.
+def keep_first(docs: DataFrame, classes=simhash_components) -> DataFrame:
+    """One document of each near-duplicate class (by ``classes``), with all columns of ``docs``.
 
     Of repeated rows of the kept doc_id, one stays. Rows with a null doc_id, which
     nothing can name, all stay.
     """
-    kept = simhash_components(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = classes(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     once = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
     return once.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
