@@ -33,5 +33,25 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_dense_groups_joined_by_one_link(spark):
+    rng = np.random.default_rng(6)
+
+    def turned(degrees):  # from the first axis towards the second
+        v = np.zeros(16)
+        v[:2] = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        return v
+
+    def group(degrees):
+        noise = rng.normal(size=(150, 16)) * [0, 0, *[0.02] * 14]
+        return [(turned(degrees) + x).tolist() for x in noise]
+
+    rows = list(enumerate(group(0) + group(40) + [turned(12).tolist(), turned(28).tolist()]))
+    want = brute(rows)
+    # The link lies behind 150 nearer vectors on both sides.
+    assert {c for _, c in want.values()} == {0} and want[300][0] == want[301][0] == 151
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()} == want
+
+
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -1,11 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
 A neighbour graph with lists of ``K`` starts from sorted runs of random
-hyperplane codes and is refined by joins of neighbours' neighbours. Lists whose
-last entry still reaches the threshold are saturated and grow. Edges at or over
-the threshold give components; inside components too large for the lists the
-links are counted block by block. A sample of vectors is compared with all rows
-to audit recall; below ``RECALL`` the search runs again with more tables.
+hyperplane codes and is refined by joins of neighbours' neighbours until few new
+links appear. Lists full of links grow and never shrink, and a link once found
+stays even outside the list. Links give components. Vectors whose list may lack
+links are compared with all rows of other components, block by block,
+and inside components the links are counted in blocks. A sample of vectors is
+compared with all rows to audit recall; below ``RECALL`` the search runs again
+with more tables, and in the end all rows are compared.
 
 Equal directions are one class with a multiplicity, so copies cost nothing.
 Lists, runs and blocks are bounded; no group is gathered whole.
@@ -23,8 +25,12 @@ from tidemark.llm.common import stage
 from tidemark.llm.graph import components
 
 THRESHOLD, K, MOST_K = 0.9, 10, 40
-#: Sorted runs of the first graph, and how many places ahead a vector is compared in each.
+#: Sorted runs of the first graph, how many places ahead a vector is compared in each, and least rounds.
 TABLES, REACH, ROUNDS = 10, 12, 3
+#: Rounds go on, up to these, while the links found grow by more than this part.
+MOST_ROUNDS, GROWTH = 10, 0.001
+#: Members of a block when vectors are compared with all rows.
+SEARCH_BLOCK = 4096
 #: Vectors of the audit, the recall it asks for, and members of a block when links are counted.
 AUDIT, RECALL, BLOCK = 256, 0.95, 512
 
@@ -105,14 +111,13 @@ def first_graph(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFram
     return coded.repartitionByRange("run", "dim", "code", "along").sortWithinPartitions("run", "dim", "code", "along").mapInPandas(runs, "a long, b long, s float")
 
 
-def _top(edges: DataFrame, width: DataFrame | None) -> DataFrame:
-    """The best ``k`` neighbours of each vector; ``width`` (a, k) names those with longer lists."""
+def _top(edges: DataFrame, threshold: float, width: DataFrame | None) -> DataFrame:
+    """The best ``k`` neighbours of each vector (a, b, s, rank, k), and all links found; ``width`` (a, k) names those with longer lists."""
     one = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    ranked = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_K)
-    if width is None:
-        return ranked.where(F.col("rank") <= K)
-    return ranked.join(width, "a", "left").where(F.col("rank") <= F.coalesce("k", F.lit(K))).drop("k")
+    ranked = one.withColumn("rank", F.row_number().over(order))
+    ranked = ranked.withColumn("k", F.lit(K)) if width is None else ranked.join(width, "a", "left").fillna({"k": K})
+    return ranked.where((F.col("rank") <= F.col("k")) | (F.col("s") >= threshold - 1e-4))
 
 
 def _local_join(batches):
@@ -128,6 +133,7 @@ def _local_join(batches):
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """One round: every vector compares its neighbours, and those it is a neighbour of, with each other."""
+    graph = graph.where("rank <= k")
     order = Window.partitionBy("b").orderBy(F.desc("s"), "a")
     back = graph.withColumn("r", F.row_number().over(order)).where(F.col("r") <= K).select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = graph.select("a", "b").union(back).distinct()
@@ -136,11 +142,41 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.select("ids", "units").mapInArrow(_local_join, "a long, b long, s float")
 
 
-def _saturated(graph: DataFrame, threshold: float) -> DataFrame:
-    """Vectors whose whole list is at the threshold, with a list twice as long."""
-    lists = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("low"))
-    full = lists.where((F.col("n") >= K) & (F.col("low") >= threshold - 1e-4))
-    return full.select("a", F.least(F.lit(MOST_K), 2 * F.col("n")).cast("int").alias("k"))
+def _widths(graph: DataFrame, threshold: float) -> DataFrame:
+    """Lists longer than ``K``: a list full of links is doubled, no list gets shorter."""
+    lists = graph.groupBy("a").agg(F.count_if(F.col("s") >= threshold - 1e-4).alias("n"), F.max("k").alias("k"))
+    grown = F.when(F.col("n") >= F.col("k"), F.least(F.lit(MOST_K), 2 * F.col("k"))).otherwise(F.col("k")).cast("int")
+    return lists.select("a", grown.alias("k")).where(F.col("k") > K)
+
+
+def bridges(nodes: DataFrame, comp: DataFrame, queries: DataFrame, threshold: float, block: int = SEARCH_BLOCK) -> DataFrame:
+    """Links (u, v) of ``queries`` (c) with rows of other components, by comparing them with all rows.
+
+    Each pair of blocks gives one link for each pair of components that it joins.
+    """
+    labelled = nodes.select("c", "unit").join(comp, "c", "left").select("c", "unit", F.coalesce("component", "c").alias("label"))
+    asked = labelled.join(queries, "c", "left_semi")
+    lefts, rights = (max(1, -(-x.count() // block)) for x in (queries, nodes))
+    deal = lambda n: F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("c", "unit", "label", F.lit(True).alias("asks"), deal(lefts).alias("l"), spread(rights).alias("r"))
+    right = labelled.select("c", "unit", "label", F.lit(False).alias("asks"), spread(lefts).alias("l"), deal(rights).alias("r"))
+
+    def compare(f):
+        out = []
+        for _, g in f.groupby(f["unit"].str.len()):
+            a, b = g[g["asks"]], g[~g["asks"]]
+            if not len(a) or not len(b):
+                continue
+            y, ids, labels = _matrix(b["unit"].tolist()), b["c"].to_numpy(), b["label"].to_numpy()
+            for at in range(0, len(a), 512):
+                part = a.iloc[at : at + 512]
+                i, j = np.nonzero((_matrix(part["unit"].tolist()) @ y.T >= threshold) & (part["label"].to_numpy()[:, None] != labels))
+                found = pd.DataFrame({"u": part["c"].to_numpy()[i], "v": ids[j], "lu": part["label"].to_numpy()[i], "lv": labels[j]})
+                out.append(found.drop_duplicates(["lu", "lv"]))
+        return pd.concat(out).drop_duplicates(["lu", "lv"])[["u", "v"]] if out else pd.DataFrame({"u": [], "v": []})
+
+    return left.union(right).groupBy("l", "r").applyInPandas(compare, "u long, v long")
 
 
 def _verify(batches):
@@ -230,24 +266,46 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
     bits = int(min(40, max(1, np.ceil(np.log2(max(2, n) / 8)))))
     sample = nodes.orderBy(F.xxhash64("c", F.lit(seed))).limit(AUDIT).select("c", "unit").collect()
     truth = _true_links(nodes, sample, threshold)
+
+    def settled(links):
+        comp = stage(components(links).withColumnRenamed("id", "c"))
+        counted = stage(count_links(comp.join(nodes.select("c", "unit", "m"), "c"), threshold))
+        each = truth.join(counted, "c", "left").join(nodes.select("c", "m"), "c").select((F.col("truth") - 1).alias("t"), (F.coalesce("links", "m") - 1).alias("f"))
+        got = each.agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.avg(F.try_divide("f", "t")).alias("each")).first()
+        recall = 1.0 if not got["t"] else got["f"] / got["t"]
+        # A large component must not hide vectors of small ones: recall is asked of links and of vectors.
+        return comp, counted, recall, min(recall, 1.0 if got["each"] is None else got["each"]) >= RECALL
+
     graph = None
     for attempt in range(3):
         new = first_graph(nodes, bits, TABLES << attempt, seed + attempt)
-        graph = stage(_top(new if graph is None else new.union(graph.select("a", "b", "s")), None))
-        for _ in range(ROUNDS):
-            better = _top(descend(graph, nodes).union(graph.select("a", "b", "s")), _saturated(graph, threshold))
-            graph = stage(better)
+        wide = None if graph is None else _widths(graph, threshold)
+        graph = stage(_top(new if graph is None else new.union(graph.select("a", "b", "s")), threshold, wide))
+        before = 0
+        for i in range(MOST_ROUNDS):
+            graph = stage(_top(descend(graph, nodes).union(graph.select("a", "b", "s")), threshold, _widths(graph, threshold)))
+            found = graph.where(F.col("s") >= threshold - 1e-4).count()
+            if i + 1 >= ROUNDS and found - before <= GROWTH * found:
+                break
+            before = found
         close = graph.where(F.col("s") >= threshold - 1e-4).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         one, two = nodes.select(F.col("c").alias("u"), F.col("unit").alias("pu")), nodes.select(F.col("c").alias("v"), F.col("unit").alias("pv"))
         links = stage(close.join(one, "u").join(two, "v").select("u", "v", "pu", "pv").mapInArrow(_verify, "u long, v long, cos double").where(F.col("cos") >= threshold).select("u", "v"))
-        comp = stage(components(links).withColumnRenamed("id", "c"))
-        members = comp.join(nodes.select("c", "unit", "m"), "c")
-        counted = stage(count_links(members, threshold))
-        audit = truth.join(counted, "c", "left").join(nodes.select("c", "m"), "c")
-        got = audit.agg(F.sum(F.col("truth") - 1).alias("t"), F.sum(F.coalesce("links", "m") - 1).alias("f")).first()
-        recall = 1.0 if not got["t"] else got["f"] / got["t"]
-        if recall >= RECALL:
+        comp, counted, recall, enough = settled(links)
+        # Lists without an entry below the threshold, and those that lack links counted in the component, are searched whole.
+        ends = links.union(links.select("v", "u")).toDF("c", "o")
+        have = ends.join(nodes.select(F.col("c").alias("o"), "m"), "o").groupBy("c").agg(F.sum("m").alias("have"))
+        lack = counted.join(have, "c").join(nodes.select("c", "m"), "c").where(F.col("links") - F.col("m") > F.col("have")).select("c")
+        full = graph.groupBy(F.col("a").alias("c")).agg(F.min("s").alias("low")).where(F.col("low") >= threshold - 1e-4).select("c")
+        queries = stage(full.union(lack).distinct())
+        if not queries.isEmpty():
+            more = stage(bridges(nodes, comp, queries, threshold))
+            if not more.isEmpty():
+                comp, counted, recall, enough = settled(links.union(more))
+        if enough:
             break
+    else:
+        comp, counted, recall, _ = settled(links.union(bridges(nodes, comp, nodes.select("c"), threshold)))
 
     named = nodes.select("c", "m", "low").join(comp, "c", "left").withColumn("root", F.coalesce("component", "c"))
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
