@@ -58,7 +58,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", q: str = "q", by: list[str]
     """Adds adjusted q values within ``by`` (or over all rows).
 
     For tables of tested cells, which are small; without ``by`` one task ranks
-    them. Ties get equal values in whatever order they are ranked.
+    them (``benjamini_hochberg_ranges`` is for tables of any size). Ties get equal values in whatever order they are ranked.
     """
     keys = by or [F.lit(1)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
@@ -66,3 +66,33 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", q: str = "q", by: list[str]
     ranked = df.withColumn("_rank", rank).withColumn("_m", m)
     from_last = Window.partitionBy(*keys).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(from_last))).drop("_rank", "_m")
+
+
+def benjamini_hochberg_ranges(df: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
+    """The same values over all rows of a table of any size, with no task over all of it.
+
+    Equal p have equal q, so distinct values are ranked, in ranges between
+    quantiles (as many as shuffle partitions); only counts and least values of
+    the ranges are brought together. A null p ranks first and has no say in
+    others' values. Values are told apart by the quantiles alone, so that every
+    evaluation deals them alike.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = sorted(set(distinct.select(F.col("_p").cast("double").alias("_p")).approxQuantile("_p", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    limits = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    dealt = distinct.withColumn("_range", F.when(F.col("_p").isNull(), -1).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("_p").cast("double")))))
+    # One row a range.
+    counts = dealt.groupBy("_range").agg(F.sum("_n").alias("_k"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(1))
+    counts = counts.select("_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_m"))
+    upto = Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(F.broadcast(counts), "_range").withColumn("_rank", F.col("_before") + F.sum("_n").over(upto))
+    ranked = ranked.withColumn("_value", F.col("_p") * F.col("_m") / F.col("_rank"))
+    least = ranked.groupBy("_range").agg(F.min("_value").alias("_least"))
+    after = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select("_range", F.min("_least").over(after).alias("_after"))
+    down = Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranked.join(F.broadcast(least), "_range").select("_p", F.least(F.lit(1.0), F.min("_value").over(down), F.col("_after")).alias(q))
+    return df.join(found, F.col(p).eqNullSafe(F.col("_p"))).drop("_p")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions import economics as E
 from tidemark.functions import labels as L
-from tidemark.functions.statistics import benjamini_hochberg, p_value, p_value_sql
+from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value, p_value_sql
 from tidemark.operators import cells as C
 from tidemark.plans.labels import FEE, bins_sql, period_sql, ranges_sql
 from tidemark.plans.panels import PAIRS, PATHS, POINTS, points
@@ -92,7 +92,7 @@ def structural_atlas(spark, d):
 )
 def false_discovery(spark, d):
     o = S.table(spark, d, "orders").select("o_orderkey").distinct().withColumn("p", F.pmod(F.col("o_orderkey") * 7919, F.lit(100003)) / 100003.0)
-    return benjamini_hochberg(o).select("o_orderkey", F.round("q", 6).alias("q"))
+    return benjamini_hochberg_ranges(o).select("o_orderkey", F.round("q", 6).alias("q"))
 
 
 # The families below differ in their cells and in what a cell's rows are compared with.
