@@ -54,10 +54,13 @@ def metadata(spark, d):
 )
 def hourly(spark, d):
     e = S.table(spark, d, "events")
-    row = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.col("value").alias("v"))
-    g = e.groupBy(F.col("user_id").alias("station")).agg(F.sort_array(F.collect_list(row)).alias("r"))
-    values = lambda k: F.transform("r", lambda x: (x["v"] + k).cast("string"))
-    hourly_map = F.create_map(F.lit("time"), F.transform("r", lambda x: x["t"]), F.lit("temperature_2m_previous_day1"), values(1), F.lit("temperature_2m_previous_day2"), values(2))
+    # A payload holds one hour of a station, and of each second the extremes: at most 7,200 values, however many events there are.
+    second = e.groupBy(F.col("user_id").alias("station"), F.date_trunc("second", "ts").alias("at")).agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    row = F.struct(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "hi", "lo")
+    g = second.groupBy("station", F.date_trunc("hour", "at").alias("hour")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    values = lambda k: F.concat(F.transform("r", lambda x: (x["hi"] + k).cast("string")), F.transform("r", lambda x: (x["lo"] + k).cast("string")))
+    times = F.transform("r", lambda x: x["t"])
+    hourly_map = F.create_map(F.lit("time"), F.concat(times, times), F.lit("temperature_2m_previous_day1"), values(1), F.lit("temperature_2m_previous_day2"), values(2))
     payload = F.to_json(F.struct(hourly_map.alias("hourly")))
     out = D.hourly_forecasts(g.select("station", F.lit("UTC").alias("timezone"), payload.alias("payload")))
     return out.select("station", "lead_days", F.col("target_date").cast("string").alias("target_date"), "weather_stat", F.round("forecast_f", 4).alias("forecast_f"), F.col("available_at").cast("timestamp_ntz").alias("available_at"))
