@@ -24,3 +24,10 @@ def test_hourly_payloads_are_bounded(spark, tmp_path, monkeypatch):
                     want[station, lead, str(day), stat] = (f(r[3] for r in of) + lead, last - dt.timedelta(days=lead) + dt.timedelta(hours=6))
     assert got == want
     assert seen[0].agg(F.max(F.length("payload"))).first()[0] < 2000
+
+
+def test_tiers_read_whole_texts(spark, tmp_path):
+    rows = [(1, "plain words " * 100 + "football", "en", "src1"), (2, "plain words " * 100, "en", "src1"), (3, "tennis", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["tier"] for r in lookups.tiers(spark, str(tmp_path)).collect()}
+    assert got == {1: "instrumentation", 2: "deployment", 3: "instrumentation"}

@@ -224,7 +224,7 @@ WORDS = "regexp_matches(lower(text), '{}')"
     or source = 'src3' then 'instrumentation' else 'deployment' end as tier from documents""",
 )
 def tiers(spark, d):
-    t = T.tier(F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")), F.lit(None).cast("string"), F.substring("text", 1, 400), F.array(F.when(F.col("source") == "src3", "Sports ").otherwise("none")), excluded=("ES-1",))
+    t = T.tier(F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")), F.lit(None).cast("string"), F.col("text"), F.array(F.when(F.col("source") == "src3", "Sports ").otherwise("none")), excluded=("ES-1",))
     return S.table(spark, d, "documents").select("doc_id", t.alias("tier"))
 
 
