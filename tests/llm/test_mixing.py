@@ -31,6 +31,25 @@ def test_rates_meet_targets(spark):
         assert r.min() >= 0 and np.abs(reached - share).max() < 2e-3
 
 
+def test_rates_of_skewed_domains(spark):
+    rng = np.random.default_rng(4)
+    for share in ([0.98, 0.018, 0.002], [0.1, 0.899, 0.001]):
+        p = np.full((4000, 3), 0.015)
+        p[np.arange(4000), rng.choice(3, 4000, p=share)] = 0.97
+        df = spark.createDataFrame([(100, x.tolist()) for x in p], "tokens long, p array<double>")
+        fitted = fit_rates(df, [s * 400_000 for s in (0.10, 0.88, 0.02)])
+        r = np.array([x["rate"] for x in fitted.collect()])
+        reached = r @ p / 4000
+        assert r.min() >= 0 and np.abs(reached - [0.10, 0.88, 0.02]).max() < 2e-4
+        assert np.allclose(np.array(fitted.reached) / 400_000, reached, atol=1e-6)
+
+
+def test_targets_out_of_reach_are_told(spark, caplog):
+    df = spark.createDataFrame([(100, [0.6, 0.4, 0.0])] * 50, "tokens long, p array<double>")
+    fitted = fit_rates(df, [0.0, 5000.0, 0.0])
+    assert "out of reach" in caplog.text and abs(fitted.reached[0] - fitted.reached[1] * 1.5) < 1
+
+
 def test_mixing(spark):
     docs, labels = corpus()
     df = spark.createDataFrame(docs + [(900, None, "x"), (901, "", "x"), (None, "alpha beta", "x"), (3, docs[3][1], "x")], "doc_id long, text string, rate string")

@@ -10,6 +10,8 @@ each step sends one number a domain to the executors and gets as many back.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stage
 from tidemark.llm.textmodel import FEATURES, SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
 
-STEPS, TOLERANCE = 40, 1e-4
+#: Steps after which a fit that neither meets its targets nor stands still is an error.
+STEPS, TOLERANCE = 300, 1e-4
+#: Movement of a plain gradient step (part of all tokens) at which rates stand still: the targets are out of reach.
+STILL = 1e-7
 #: Domains of the labels table, and their target shares of all tokens.
 DOMAINS = ("low", "high", "toxic")
 TARGETS = {"low": 0.10, "high": 0.88, "toxic": 0.02}
@@ -65,6 +70,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, columns: list[str], limit: in
     return per_document(docs, columns, features, compute, "tokens long, p array<double>")
 
 
+log = logging.getLogger(__name__)
+
+
 def _fold(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the given steps (momentum, scaled residuals) from 1, and those before the last step."""
     r = last = np.ones(len(p))
@@ -89,14 +97,18 @@ def _rate(steps: list[tuple[float, np.ndarray]], k: int):
 def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``known`` (tokens, p, ...) with ``rate``: nonnegative, starting from 1, meeting ``targets`` (tokens of each domain).
 
-    Accelerated projected gradient; the step length comes from the Gram matrix
-    of the posteriors. Every step is one pass that replays the few numbers of
-    the steps before it, so no rates are written in between and a lost executor
-    costs only its own tasks.
+    Accelerated projected gradient; residuals are weighted by the inverse Gram
+    matrix of the posteriors, so that small domains move as fast as large ones
+    (a domain with target zero keeps the plain weight). Steps go on until the
+    rates themselves meet the targets, or stand still: then these are out of
+    reach, which is logged. Every step is one pass that replays the few numbers
+    of the steps before it, so no rates are written in between and a lost
+    executor costs only its own tasks. The result's ``reached`` holds the tokens
+    of each domain.
     """
     k = len(targets)
     pairs = known.select(F.col("tokens").cast("double").alias("t"), "p")
-    names = [f"g{i}" for i in range(k * k)]
+    names = [f"g{i}" for i in range(max(k * k, 2 * k + 1))]
 
     def summed(compute, n):
         def run(batches):
@@ -109,23 +121,44 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolera
 
     total = float(known.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return known.withColumn("rate", F.lit(1.0))
+        out = known.withColumn("rate", F.lit(1.0))
+        out.reached = [0.0] * k
+        return out
     gram = summed(lambda t, p: ((p * t[:, None]).T @ p).ravel(), k * k).reshape(k, k) / total
-    length = 1 / np.linalg.eigvalsh(gram)[-1]
     goal = np.array(targets) / total
+    plain = 1 / np.linalg.eigvalsh(gram)[-1]
+    weight = np.eye(k) * plain
+    wanted = np.flatnonzero(goal > 0)
+    weight[np.ix_(wanted, wanted)] = np.linalg.pinv(gram[np.ix_(wanted, wanted)], rcond=1e-9, hermitian=True)
+    weight /= np.linalg.eigvals(weight @ gram).real.max()
     done: list[tuple[float, np.ndarray]] = []
-    for i in range(steps):
-        momentum = i / (i + 3)
+    age, worst = 0, np.inf
+    for _ in range(steps):
+        momentum = age / (age + 3)
 
         def ahead(t, p, done=tuple(done), momentum=momentum):
             r, last = _fold(p, done)
-            return (t * (r + momentum * (r - last))) @ p
+            return np.concatenate([(t * r) @ p, (t * (r + momentum * (r - last))) @ p, [t @ np.abs(r - last)]])
 
-        miss = summed(ahead, k) / total - goal
-        if i and np.abs(miss).max() < tolerance * goal.sum():
+        sums = summed(ahead, 2 * k + 1) / total
+        miss = sums[:k] - goal
+        if np.abs(miss).max() < tolerance * goal.sum():
+            break
+        if done and done[-1][0] == 0 and sums[-1] < STILL and len(done) > 1:
+            log.warning("mixing: targets out of reach; shares wanted %s, reached %s", goal.tolist(), sums[:k].tolist())
             break
-        done.append((momentum, length * miss))
-    return known.withColumn("rate", _rate(done, k))
+        # Momentum starts anew where the residual grows or the rates hardly move.
+        size = float(miss @ weight @ miss)
+        push = sums[k : 2 * k] - goal
+        if size > worst or sums[-1] < STILL and done:
+            age, momentum, push = 0, 0.0, miss
+        done.append((momentum, weight @ push))
+        age, worst = age + 1, size
+    else:
+        raise RuntimeError(f"mixing: rates not settled after {steps} steps; shares wanted {goal.tolist()}, reached {sums[:k].tolist()}")
+    out = known.withColumn("rate", _rate(done, k))
+    out.reached = (sums[:k] * total).tolist()
+    return out
 
 
 def scaled_targets(known: DataFrame, targets: dict[str, float]) -> list[float]:
