@@ -69,7 +69,14 @@ def test_mixing(spark):
         assert abs(sum(r["tokens"] * r["rate"] * r[f"p_{d}"] for r in got) / total - share) < 0.01
     out = repeat_to_targets(df, known, {"low": 0.2, "high": 0.6, "toxic": 0.2})
     assert out.columns == df.columns
+    for d, share, n in zip(DOMAINS, (0.2, 0.6, 0.2), out.reached):
+        assert abs(n / sum(out.reached) - share) < 1e-3
     rows = out.collect()
+    # The rows written hold these shares too, but for the rounding of rates.
+    p = {r["doc_id"]: (r["tokens"], [r[f"p_{d}"] for d in DOMAINS]) for r in got}
+    have = sum(p[r["doc_id"]][0] * np.array(p[r["doc_id"]][1]) for r in rows)
+    assert np.abs(have / have.sum() - [0.2, 0.6, 0.2]).max() < 0.03
+    assert {r["rate"] for r in rows} == {"x"}
     assert {(r["doc_id"], r["text"]) for r in rows} == {(d, t) for d, t, *_ in docs} | {(900, None), (901, ""), (None, "alpha beta")}
 
 
@@ -80,3 +87,15 @@ def test_empty(spark):
     assert mixing_rates(docs, known).count() == 0 and repeat_to_targets(docs, known).count() == 0
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert mixing_rates(some, known).collect()[0]["p_low"] == 1 / 3
+
+
+def test_clashing_columns_and_long_text(spark):
+    docs, labels = corpus(60)
+    long = "alpha beta " * 1_000_000  # 11 MB
+    df = spark.createDataFrame([(i, t, "r", i, "p", t) for i, t, _ in docs] + [(700, long, "r", 700, "p", "")], "doc_id long, text string, rate string, tokens long, p string, _text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = repeat_to_targets(df, known)
+    assert out.columns == df.columns
+    got = out.selectExpr("doc_id", "rate", "tokens", "p", "length(text) as n", "length(_text) as m").distinct().collect()
+    assert {tuple(r) for r in got} == {(i, "r", i, "p", len(t), len(t)) for i, t, _ in docs} | {(700, "r", 700, "p", len(long), 0)}
+    assert [r["tokens"] for r in mixing_rates(df, known).where("doc_id = 700").collect()] == [2_000_000]

@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all tasks run on this machine, one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-stage-')}")
 
 
@@ -84,8 +89,6 @@ def text_or_empty(col: str = "text"):
 
 def slices(batch, text_column: int, limit: int = 4 << 20):
     """Splits an Arrow batch so that each part holds about ``limit`` bytes of text (a longer text stands alone)."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
     at = total = 0
     for i, n in enumerate(sizes):
@@ -97,6 +100,38 @@ def slices(batch, text_column: int, limit: int = 4 << 20):
         yield batch.slice(at)
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words of a column of texts (null: none): each word's place in the list of distinct words, words per text, that list."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    flat = split.flatten().dictionary_encode()
+    codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+    lens = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if "" in words:  # left by white space at the ends of a text
+        real = codes != words.index("")
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[real], minlength=len(lens))
+        codes = codes[real]
+    return codes, lens, words
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads unsigned 64-bit numbers over all bits; one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the runs (start, count), one run after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def hidden_names(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with names that clash with nothing, and the columns that give the caller's names back."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*own), [F.col(o).alias(c) for o, c in zip(own, docs.columns)]
+
+
 _word_caches: dict[str, object] = {}
 
 

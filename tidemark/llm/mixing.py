@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import hidden_names, stage
 from tidemark.llm.textmodel import FEATURES, SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
 
 #: Steps after which a fit that neither meets its targets nor stands still is an error.
@@ -54,34 +54,34 @@ def fit_softmax(rows, cols, vals, y, size: int, k: int, ridge: float = 1e-4) ->
     return minimise(slope, np.zeros((size + 1) * k), steps=150).reshape(size + 1, k)
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int = SAMPLE, size: int = FEATURES) -> DataFrame:
-    """``columns`` of ``docs``, tokens (words) and p (posterior of each domain)."""
-    sample = stage(labelled_sample(docs, domain_labels(labels), limit))
+def posteriors(docs: DataFrame, sample: DataFrame, text: str = "text", size: int = FEATURES) -> DataFrame:
+    """``docs`` with tokens (words) and p (posterior of each domain); ``sample`` (doc_id, y, text) is bounded."""
+    sample = stage(sample)
     features = choose_features(sample, size)
     rows, cols, vals, y = matrix(sample, features)
     k = len(DOMAINS)
     w = fit_softmax(rows, cols, vals, y, len(features), k) if len(y) else np.zeros((len(features) + 1, k))
 
-    def compute(x, words):
-        e = x @ w[:-1] + w[-1]
-        e = np.exp(e - e.max())
-        return len(words), (e / e.sum()).tolist()
+    def compute(x):
+        e = x.dot(w[:-1]) + w[-1]
+        e = np.exp(e - e.max(1, keepdims=True))
+        return x.words, e / e.sum(1, keepdims=True)
 
-    return per_document(docs, columns, features, compute, "tokens long, p array<double>")
+    return per_document(docs, text, features, compute, "tokens long, p array<double>")
 
 
 log = logging.getLogger(__name__)
 
 
-def _fold(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _fold(p: np.ndarray, steps: list[tuple[float, np.ndarray]], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the given steps (momentum, scaled residuals) from 1, and those before the last step."""
     r = last = np.ones(len(p))
     for momentum, miss in steps:
-        r, last = np.maximum(0.0, r + momentum * (r - last) - p @ miss), r
+        r, last = np.maximum(least, r + momentum * (r - last) - p @ miss), r
     return r, last
 
 
-def _rate(steps: list[tuple[float, np.ndarray]], k: int):
+def _rate(steps: list[tuple[float, np.ndarray]], k: int, least: float):
     """``_fold`` as a column over ``p``."""
     if not steps:
         return F.lit(1.0)
@@ -89,13 +89,13 @@ def _rate(steps: list[tuple[float, np.ndarray]], k: int):
 
     def step(a, s):
         push = sum((F.col("p")[i] * s[i + 1] for i in range(k)), F.lit(0.0))
-        return F.struct(F.greatest(F.lit(0.0), a["r"] + s[0] * (a["r"] - a["last"]) - push).alias("r"), a["r"].alias("last"))
+        return F.struct(F.greatest(F.lit(float(least)), a["r"] + s[0] * (a["r"] - a["last"]) - push).alias("r"), a["r"].alias("last"))
 
     return F.aggregate(each, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("last")), step, lambda a: a["r"])
 
 
-def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``known`` (tokens, p, ...) with ``rate``: nonnegative, starting from 1, meeting ``targets`` (tokens of each domain).
+def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, least: float = 0.0) -> DataFrame:
+    """``known`` (tokens, p, ...) with ``rate``: at least ``least``, starting from 1, meeting ``targets`` (tokens of each domain).
 
     Accelerated projected gradient; residuals are weighted by the inverse Gram
     matrix of the posteriors, so that small domains move as fast as large ones
@@ -137,7 +137,7 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolera
         momentum = age / (age + 3)
 
         def ahead(t, p, done=tuple(done), momentum=momentum):
-            r, last = _fold(p, done)
+            r, last = _fold(p, done, least)
             return np.concatenate([(t * r) @ p, (t * (r + momentum * (r - last))) @ p, [t @ np.abs(r - last)]])
 
         sums = summed(ahead, 2 * k + 1) / total
@@ -156,7 +156,7 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolera
         age, worst = age + 1, size
     else:
         raise RuntimeError(f"mixing: rates not settled after {steps} steps; shares wanted {goal.tolist()}, reached {sums[:k].tolist()}")
-    out = known.withColumn("rate", _rate(done, k))
+    out = known.withColumn("rate", _rate(done, k, least))
     out.reached = (sums[:k] * total).tolist()
     return out
 
@@ -177,27 +177,40 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     An empty ``labels`` gives equal posteriors, an empty table an empty one.
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = stage(posteriors(typed, labels, ["doc_id"]))
+    known = stage(posteriors(typed, labelled_sample(typed, domain_labels(labels), SAMPLE)).drop("text"))
     fitted = fit_rates(known, scaled_targets(known, targets))
     return fitted.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
 
 
-def repeat_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with every row repeated by its rate; all columns stay.
+def repeated_targets(known: DataFrame, targets: dict[str, float]) -> list[float]:
+    """Target tokens of each domain at the smallest corpus that has the target shares and all rows at least once.
 
-    Rates are scaled so that the smallest domain-wide rate is one: the mix meets
-    the target shares by repetition alone and no row goes. The fraction of a
-    rate is rounded by a hash of doc_id and text. Posteriors come with the rows
-    in one pass over the texts.
+    A domain without a share keeps its tokens, as no row goes.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    known = stage(posteriors(docs.withColumn("_text", F.col("text")), labels, [*columns, "_text"]))
-    fitted = fit_rates(known, scaled_targets(known, targets))
-    own = [F.sum(F.col("p")[i] * F.col("rate") * F.col("tokens")) / F.greatest(F.sum(F.col("p")[i] * F.col("tokens")), F.lit(1e-9)) for i in range(len(DOMAINS))]
-    low = fitted.agg(*own).first()
-    least = min((x for d, x in zip(DOMAINS, low) if x and targets[d] > 0), default=1.0)
-    scaled = F.col("rate") / float(least)
-    draw = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.greatest(F.lit(1), F.floor(scaled + draw)).cast("int")
-    out = fitted.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.withColumnRenamed("_text", "text").select(*docs.columns)
+    own = known.agg(*[F.sum(F.col("p")[i] * F.col("tokens")) for i in range(len(DOMAINS))]).first()
+    own = [x or 0.0 for x in own]
+    share = sum(targets.values())
+    size = max((n / (targets[d] / share) for d, n in zip(DOMAINS, own) if targets[d] > 0), default=0.0)
+    return [max(n, targets[d] / share * size) for d, n in zip(DOMAINS, own)]
+
+
+def repeat_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with every row repeated by its rate; all columns stay, whatever their names.
+
+    Rates are fitted to be 1 or more, so the mix meets the target shares by
+    repetition alone and no row goes; the result's ``reached`` holds the tokens
+    of each domain. The fraction of a rate is rounded by a hash of doc_id and
+    text, so repeated rows get equal copies. Posteriors come with the rows in
+    one pass over the texts. A null or empty text, or one of any length, is one
+    row like any other; null doc_ids are repeated but never trained on. Empty
+    ``labels`` give equal posteriors, an empty table an empty one.
+    """
+    hidden, names = hidden_names(docs)
+    own_id, own_text = (f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    known = stage(posteriors(hidden, labelled_sample(docs, domain_labels(labels), SAMPLE), own_text))
+    fitted = fit_rates(known, repeated_targets(known, targets), least=1.0)
+    draw = F.pmod(F.xxhash64(own_id, own_text), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col("rate") + draw).cast("int")
+    out = fitted.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*names)
+    out.reached = fitted.reached
+    return out

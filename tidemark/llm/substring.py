@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stage, rows_per_batch, slices, stage, text_or_empty
+from tidemark.llm.common import drop_stage, mixed, rows_per_batch, slices, stage, text_or_empty
 
 WINDOW = 35
 #: A perfect difference set; its differences are all residues of the period.
@@ -72,18 +72,12 @@ class _Rolling:
         self.sums = []
         for lane in (0, 1):
             s = np.zeros(n + 1, np.uint64)
-            np.cumsum((x if lane == 0 else _mix(x + np.uint64(_BASES[1]))) * self.powers[lane][:n], out=s[1:])
+            np.cumsum((x if lane == 0 else mixed(x + np.uint64(_BASES[1]))) * self.powers[lane][:n], out=s[1:])
             self.sums.append(s)
 
     def hashes(self, where: np.ndarray, width: int, lane: int) -> np.ndarray:
         s = self.sums[lane]
-        return _mix((s[where + width] - s[where]) * self.powers[2 + lane][where]).view(np.int64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        return mixed((s[where + width] - s[where]) * self.powers[2 + lane][where]).view(np.int64)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.ListArray:

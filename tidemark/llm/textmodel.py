@@ -1,17 +1,24 @@
-"""Sparse text features and their selection on a bounded sample of labelled rows."""
+"""Sparse text features and their selection on a bounded sample of labelled rows.
+
+Features of a word: its letters (of very long words the first 40), their first
+four and five, and its outline (of the first eight signs). The texts themselves
+are read whole.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import only_word_cache, rows_per_batch, slices, stage
+from tidemark.llm.common import coded_words, gathered, only_word_cache, rows_per_batch, slices, stage
 
 #: Labelled rows that a classifier is fitted on, and features that it keeps.
 SAMPLE, FEATURES = 6000, 2000
@@ -59,11 +66,10 @@ class Hits(dict):
         # The same by kind, so that a word's features need not be spelled out.
         self.shapes, self.words, self.four, self.five = ({f[2:]: i for f, i in index.items() if f[0] == k} for k in "sw45")
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= 400_000:
             self.clear()
-        text = word.decode(errors="replace")
-        low, shape = _parts(text)
+        low, shape = _parts(word)
         found = [self.shapes.get(shape)]
         if low:
             found.append(self.words.get(low[:40]))
@@ -78,15 +84,38 @@ def hits_of(features: tuple[str, ...]) -> Hits:
     return Hits({f: i for i, f in enumerate(features)})
 
 
-def values(words: list[bytes], hits: Hits, size: int, presence: float = 0.0) -> np.ndarray:
-    """A document's feature values: the logarithm of the count per hundred words, 0 if absent and 1 for one.
+class Sparse(NamedTuple):
+    """The nonzero feature values of some texts, and how many words each has."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+    words: np.ndarray
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Per text the product with a vector, or with each column of a matrix."""
+        if w.ndim == 1:
+            return np.bincount(self.rows, self.vals * w[self.cols], minlength=len(self.words))
+        return np.stack([self.dot(c) for c in w.T], 1)
+
+
+def values(texts: pa.Array, hits: Hits, size: int, presence: float = 0.0) -> Sparse:
+    """Feature values of a batch: the logarithm of the count per hundred words, 0 if absent and 1 for one.
 
     ``presence`` is added for every feature that occurs. Without it only density
     counts, so that chance hits in a very long text add nothing.
     """
-    found = np.fromiter(chain.from_iterable(map(hits.__getitem__, words)), np.int64)
-    counts = np.bincount(found, minlength=size)
-    return np.log1p(counts * (400 / max(1, len(words)))) / np.log(5) + presence * (counts > 0)
+    codes, lens, words = coded_words(texts)
+    found = [hits[w] for w in words]
+    many = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int64, int(many.sum()))
+    at = flat[gathered((np.cumsum(many) - many)[codes], many[codes])]
+    row = np.repeat(np.repeat(np.arange(len(lens)), lens), many[codes])
+    counts = np.bincount(row * size + at, minlength=1)
+    cells = np.flatnonzero(counts)
+    rows, cols = np.divmod(cells, max(1, size))
+    vals = np.log1p(counts[cells] * (400 / np.maximum(1, lens[rows]))) / np.log(5) + presence
+    return Sparse(rows, cols, vals, lens)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -100,7 +129,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 def _distinct(batches):
     for whole in batches:
         for b in slices(whole, 1):
-            sets = [list(set(chain.from_iterable(map(word_features, {w.decode(errors="replace") for w in (t or b"").split()})))) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            codes, lens, words = coded_words(b.column(1))
+            of = [word_features(w) for w in words]
+            sets = [list(set(chain.from_iterable([of[i] for i in np.unique(c)]))) for c in np.split(codes, np.cumsum(lens)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.string()))], names=["y", "f"])
 
 
@@ -130,13 +161,10 @@ def matrix(sample: DataFrame, features: list[str], presence: float = 0.0):
         hits = hits_of(kept)
         for whole in batches:
             for b in slices(whole, 1):
-                ids, vals = [], []
-                for t in b.column(1).cast(pa.binary()).to_pylist():
-                    x = values((t or b"").split(), hits, len(kept), presence)
-                    at = np.flatnonzero(x)
-                    ids.append(at.astype(np.int32))
-                    vals.append(x[at].astype(np.float32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], names=["y", "i", "v"])
+                x = values(b.column(1), hits, len(kept), presence)
+                ends = pa.array(np.searchsorted(x.rows, np.arange(b.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(x.cols, pa.int32()), pa.array(x.vals, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["y", "i", "v"])
 
     got = sample.select("y", "text").mapInArrow(run, "y int, i array<int>, v array<float>").toPandas()
     got = got.sort_values(["y"], kind="stable").reset_index(drop=True)
@@ -155,26 +183,26 @@ def minimise(loss_and_slope, start: np.ndarray, steps: int = 250, rate: float =
     return x
 
 
-def per_document(docs: DataFrame, columns: list[str], features: list[str], compute, schema: str, presence: float = 0.0) -> DataFrame:
-    """Applies ``compute(values, words) -> tuple`` to every whole text; ``columns`` are carried along."""
+def per_document(docs: DataFrame, text: str, features: list[str], compute, added: str, presence: float = 0.0) -> DataFrame:
+    """``docs`` with the columns ``added`` (a schema), which ``compute`` makes from the ``Sparse`` values of each batch.
+
+    Whole texts are read, in batches of bounded bytes; a longer text stands alone.
+    """
     rows_per_batch(docs.sparkSession)
-    kept = tuple(features)
+    kept, place = tuple(features), docs.columns.index(text)
+    kinds = [(n, _ARROW[k]) for n, k in (x.split() for x in added.split(", "))]
+    schema = StructType(docs.schema.fields + StructType.fromDDL(added).fields)
 
     def run(batches):
         only_word_cache("hits", hits_of.cache_clear)
         hits = hits_of(kept)
         for whole in batches:
-            for b in slices(whole, len(columns)):
-                out = []
-                for t in b.column(len(columns)).cast(pa.binary()).to_pylist():
-                    words = (t or b"").split()
-                    out.append(compute(values(words, hits, len(kept), presence), words))
-                cols = list(zip(*out))
-                fields = [pa.field(n, _ARROW[k]) for n, k in (x.split() for x in schema.split(", "))]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *(pa.array(c, f.type) for c, f in zip(cols, fields))], names=[*columns, *(f.name for f in fields)])
-
-    carried = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{carried}, {schema}")
+            for b in slices(whole, place):
+                new = compute(values(b.column(place), hits, len(kept), presence))
+                new = [pa.array(list(c) if c.ndim > 1 else c, k) for c, (_, k) in zip(new, kinds)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(n for n, _ in kinds)])
+
+    return docs.mapInArrow(run, schema)
 
 
 _ARROW = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}

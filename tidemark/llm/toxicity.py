@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import hidden_names, stage
 from tidemark.llm.textmodel import SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
 
 GRADES, REJECT = 4, 0.5
@@ -61,10 +61,10 @@ def fit_ordinal(rows, cols, vals, grade, size: int, grades: int, ridge: float =
     return w, b
 
 
-def expected(w: np.ndarray, b: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """The expected grade and P(grade > j) for every threshold."""
-    above = 1 - _sigmoid(b - float(x @ w))
-    return float(above.sum()), above
+def expected(w: np.ndarray, b: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per score (w.x) the expected grade, and P(grade > j) for every threshold."""
+    above = 1 - _sigmoid(b[None, :] - score[:, None])
+    return above.sum(1), above
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, size: int = FEATURES, grades: int = GRADES):
@@ -99,20 +99,27 @@ def severity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, reject: fl
     """
     features, w, b = fit(docs, labels, limit)
 
-    def compute(x, words):
-        s, above = expected(w, b, x)
-        p = -np.diff(np.concatenate([[1.0], above, [0.0]]))
-        return s, int(p.argmax()), float(above[0])
+    def compute(x):
+        s, above = expected(w, b, x.dot(w))
+        edge = np.ones((len(s), 1))
+        p = -np.diff(np.hstack([edge, above, 0 * edge]), axis=1)
+        return s, p.argmax(1), above[:, 0]
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = per_document(typed, ["doc_id"], features, compute, "severity double, grade int, p_toxic double", PRESENCE)
+    scored = per_document(typed, "text", features, compute, "severity double, grade int, p_toxic double", PRESENCE).drop("text")
     return scored.withColumn("toxic", F.col("severity") >= reject)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """``docs`` without the rows whose expected severity reaches ``reject``; all columns stay."""
+    """``docs`` (doc_id, text, ...) without the rows whose expected severity reaches ``reject``.
+
+    All columns stay, whatever their names. Texts are read whole, whatever their
+    length; a null or empty one takes the model's base severity. Repeated rows
+    go or stay together; rows with a null doc_id are judged like any other. An
+    empty ``labels`` rejects nothing; an empty table gives an empty one.
+    """
     features, w, b = fit(docs, labels)
-    columns = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_text", F.col("text"))
-    scored = per_document(rows, [*columns, "_text"], features, lambda x, words: (expected(w, b, x)[0],), "_severity double", PRESENCE)
-    return scored.where(F.col("_severity") < reject).withColumnRenamed("_text", "text").select(*docs.columns)
+    hidden, names = hidden_names(docs)
+    text = f"_c{docs.columns.index('text')}"
+    scored = per_document(hidden, text, features, lambda x: (expected(w, b, x.dot(w))[0],), "severity double", PRESENCE)
+    return scored.where(F.col("severity") < reject).select(*names)
