@@ -44,3 +44,26 @@ def test_extract(spark, model):
     assert [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+def test_text_behind_letters_that_grow_in_lower_case():
+    p = Page("<p>" + "İ" * 6 + "<SCRIPT>var a;</Script >abcdefghij</p><style>p{}</STYLE\n><p>end")
+    assert [s for _, s in p.runs] == ["İ" * 6 + "abcdefghij", "end"]
+
+
+@pytest.mark.parametrize("name", "noscript template iframe object svg math canvas audio video select button head".split())
+def test_unclosed_elements_keep_the_rest(name):
+    p = Page(f"<div>x<{name} src=a><p>rest</p><{name}>of it</div>")
+    assert " ".join(s for _, s in p.runs) == "x rest of it"
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title"])
+def test_unclosed_raw_text_lasts_to_the_end(name):
+    assert [s for _, s in Page(f"<p>x</p><{name}><p>rest</p></{name}x>").runs] == ["x"]
+
+
+def test_long_page_with_clashing_columns(spark, model):
+    body = "<p>Some long text, with commas and stops. It goes on for a while.</p>" * 160_000  # 11 MB
+    df = spark.createDataFrame([(1, "u", f"<html><body><article><h1>Title</h1>{body}</article></body></html>", "t", 0)], "page_id long, url string, html string, text string, n_chars long")
+    got = extract(df, model).collect()
+    assert got[0]["text"] == "Title " + " ".join(["Some long text, with commas and stops. It goes on for a while."] * 160_000)

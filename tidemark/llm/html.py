@@ -39,6 +39,9 @@ GROUPS = (
 )
 BLOCKS = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select button head".split())
+#: Without an end tag, these last to the end of the page; of the others only the tag goes.
+TO_END = frozenset("script style textarea title".split())
+_CLOSE = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*>?", re.IGNORECASE) for name in RAW}
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
@@ -72,7 +75,8 @@ class Page:
         stack, names = [0], ["html"]
         text: list[str] = []
         linked = link_chars = 0
-        at, lower, size = 0, html.lower() if "<" in html else "", len(html)
+        at, size = 0, len(html)
+        never_closed: set[str] = set()
 
         def flush():
             nonlocal link_chars
@@ -118,13 +122,14 @@ class Page:
                 continue
             name, attributes = name.lower(), m[3] or m[5] or ""
             if name in RAW:
-                if not attributes.endswith("/"):
-                    close = lower.find(f"</{name}", at)
-                    if close < 0:
-                        if name == "head":
-                            continue
+                if not attributes.endswith("/") and name not in never_closed:
+                    close = _CLOSE[name].search(html, at)
+                    if close:
+                        at = close.end()
+                    elif name in TO_END:
                         break
-                    at = lower.find(">", close) + 1 or size
+                    else:
+                        never_closed.add(name)
                 continue
             if name not in BLOCKS:
                 if name == "br":
@@ -358,7 +363,9 @@ def extract(pages: DataFrame, model=None) -> DataFrame:
     page_id, url, text (empty if none) and n_chars.
 
     A null or empty html, or one without text, gives an empty text; html without
-    any element is judged as one block. Broken markup is read leniently.
+    any element is judged as one block. Broken markup is read leniently, pages
+    of any length whole: an element that is never closed loses its tag only
+    (script, style, textarea and title last to the end, as browsers have it).
     Repeated rows and null ids are extracted like any other; an empty table
     gives an empty one.
     """
