@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
+from tidemark.llm import jaccard
 from tidemark.llm.simhash import keep_first, links, simhash_components
 
 
@@ -87,9 +88,23 @@ def test_components_of_documents(spark):
     kept = keep_first(df)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == sorted(set(want.values()))
+    assert None not in ids and sorted(ids) == sorted(set(want.values()))  # the row without an id is a copy of row 10
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).where(F.lit(True)).count() == 0
+
+
+def test_keep_first_judges_texts_not_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randint(0, 999)}" for _ in range(60)) for _ in range(3))
+    long = " ".join(f"q{i}" for i in range(1_500_000))  # 11 MB
+    rows = [(1, a, 1, "x"), (1, b, 2, "x"), (None, c, 3, "x"), (None, c, 4, "x"), (None, c, 5, "x"), (None, a, 6, "x"), (4, b, 7, "x"), (9, None, 8, "x"), (8, "", 9, "x"), (5, long, 10, "x"), (6, long, 11, "x")]
+    for keep in (keep_first, lambda d: keep_first(d, jaccard.text_classes)):
+        df = spark.createDataFrame(rows, "doc_id long, text string, h int, root string")
+        got = keep(df)
+        assert got.columns == df.columns
+        found = sorted((str(r["doc_id"]), (r["text"] or "")[:50]) for r in got.collect())
+        assert found == sorted([("1", a[:50]), ("1", b[:50]), ("None", c[:50]), ("8", ""), ("5", long[:50])])
+        assert keep(df.limit(0)).count() == 0

@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_per_batch, stage
+from tidemark.llm.common import hidden_names, rows_per_batch, slices, stage
 from tidemark.llm.golay import codeword_keys
 from tidemark.llm.graph import components
 
@@ -62,15 +62,21 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp): a signed long holding the 64 bits; a null text has no words."""
+    return _with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+
+
+def _with_fingerprints(docs: DataFrame, key: str) -> DataFrame:
+    """(key, text) -> (key, fp), whole texts of any length."""
     rows_per_batch(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            fp = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        for whole in batches:
+            for b in slices(whole, 1):
+                texts = b.column(1).cast(pa.binary()).to_pylist()
+                fp = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, f"{key} long, fp long")
 
 
 def golay_keys(words: DataFrame) -> DataFrame:
@@ -118,6 +124,23 @@ def links(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars)
 
 
+def _rooted(words: DataFrame, bucket: int) -> DataFrame:
+    """Distinct fingerprints (fp, ...) with the smallest one that each reaches."""
+    groups = components(links(words, bucket)).withColumnRenamed("id", "fp")
+    return words.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
+def text_classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(h, root): near-duplicate class of each distinct text, known by its ``text_hash``."""
+    fps = stage(_with_fingerprints(docs.select(text_hash().alias("h"), "text"), "h").distinct())
+    return fps.join(_rooted(fps.select("fp").distinct(), bucket), "fp").select("h", "root")
+
+
+def text_hash(text: str = "text") -> Column:
+    """Names equal texts; null ones are empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def simhash_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -131,9 +154,7 @@ def simhash_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     repeated rows share a class; an empty table gives an empty one.
     """
     fps = stage(fingerprints(docs))
-    words = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = components(links(words, bucket)).withColumnRenamed("id", "fp")
-    joined = words.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    joined = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), bucket)
     named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
         "doc_id",
@@ -143,12 +164,20 @@ def simhash_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, classes=simhash_components) -> DataFrame:
-    """One document of each near-duplicate class (by ``classes``), with all columns of ``docs``.
+def keep_first(docs: DataFrame, classes=text_classes) -> DataFrame:
+    """One row of each near-duplicate class of texts (by ``classes``), with all columns of ``docs``, whatever their names.
 
-    Of repeated rows of the kept doc_id, one stays. Rows with a null doc_id, which
-    nothing can name, all stay.
+    The row of the smallest doc_id stays; rows with a null doc_id are members
+    of their text's class and stay only where it has no others. Different texts
+    of one doc_id are judged like any others; of rows with equal doc_id and text,
+    one stays. Null and empty texts are one class. Texts of any length are read
+    whole; an empty table gives an empty one.
     """
-    kept = classes(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    no_id = -(1 << 63)
+    hidden, names = hidden_names(docs)
+    own_id, own_text = (f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = hidden.withColumn("k", F.coalesce(F.col(own_id).cast("long"), F.lit(no_id))).withColumn("h", text_hash(own_text))
+    # Rows of one text are combined before any of them moves.
+    low = keyed.groupBy("h").agg(F.min(F.struct(F.col("k") == no_id, "k")).alias("low"))
+    first = low.join(classes(docs), "h").groupBy("root").agg(F.min(F.struct("low", "h")).alias("first")).select("first.low.k", "first.h")
+    return keyed.join(first, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select(*names)
