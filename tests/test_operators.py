@@ -195,3 +195,20 @@ def test_dedupe_and_sets(spark):
     assert {r["k"]: r["v"] for r in O.latest(df, "k", F.col("v")).collect()} == {"a": 2, "b": 3, None: 4}
     assert {r["v"] for r in O.excluding(df, df.where("k = 'a'"), "k").collect()} == {3, 4}
     assert {r["v"] for r in O.pick(df, ["k"], [F.col("v")]).collect()} == {1, 3, 4}
+
+
+def test_shock_gate_needs_every_metric_in_both_periods(spark):
+    from tidemark.plans.composites import shock_gate
+
+    schema = "period string, n long, ret_no_mean double, ret_no_se double, uplift_mean double, uplift_se double"
+    good = {p: [p, 200, 0.30, 0.05, 0.20, 0.05] for p in ("discovery", "confirmation")}
+
+    def verdict(rows):
+        return tuple(shock_gate(spark.createDataFrame(rows, schema), 30, 0.07).first())
+
+    assert verdict(list(good.values())) == ("GREEN", "")
+    assert verdict([good["discovery"], ["confirmation", 200, 0.30, 0.05, 0.05, 0.04]]) == ("RED", "confirmation: uplift")
+    assert verdict([good["discovery"], ["confirmation", 200, 0.30, 0.05, None, None]]) == ("RED", "confirmation: uplift")
+    assert verdict([good["discovery"], ["confirmation", 200, None, 0.05, 0.2, 0.05]]) == ("RED", "confirmation: return")
+    assert verdict([good["discovery"]]) == ("RED", "confirmation: support")
+    assert verdict([]) == ("RED", "confirmation: support; discovery: support")

@@ -18,7 +18,6 @@ def cell_stats(df: DataFrame, keys: list[str], values: list[str], cluster: str =
     extra = extra or {}
     sums = [F.sum(v).alias(f"_s_{v}") for v in values] + [F.count(v).alias(f"_n_{v}") for v in values]
     by = df.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("_n"), *sums, *[F.sum(e).alias(n) for n, e in extra.items()])
-    # Residual sums expand to plain sums of products, so one more aggregation suffices.
     aggs = [F.sum("_n").alias("n"), F.count(cluster).alias("n_events")]
     for v in values:
         s, m = F.col(f"_s_{v}"), F.col(f"_n_{v}")

@@ -73,16 +73,26 @@ def shock_screen(shocks: DataFrame, bars: DataFrame, markets: DataFrame, split)
     return hit.join(base, "bucket", "left").withColumn("uplift", F.col("ret_no") - F.col("baseline"))
 
 
-def shock_gate(stats: DataFrame, least: int, hurdle: float) -> DataFrame:
-    """GREEN if both periods have the support and clear return and uplift at two errors, else RED with the reasons."""
+def shock_gate(stats: DataFrame, least: int, hurdle: float, periods=("discovery", "confirmation")) -> DataFrame:
+    """GREEN if every period has the support and clears return and uplift at two errors, else RED with the reasons.
+
+    What is unknown has not passed: a null statistic fails its test, and a period
+    without a row fails for want of support.
+    """
+    def fails(passed):
+        return ~F.coalesce(passed, F.lit(False))
+
+    wanted = stats.sparkSession.createDataFrame([(p,) for p in periods], "period string")
+    seen = wanted.join(stats, "period", "left")
+    known = F.col("n").isNotNull()
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("n") < least, F.concat("period", F.lit(": support"))),
-            F.when(~(F.col("ret_no_mean") - 2 * F.col("ret_no_se") > hurdle), F.concat("period", F.lit(": return"))),
-            F.when(~(F.col("uplift_mean") - 2 * F.col("uplift_se") > 0), F.concat("period", F.lit(": uplift"))),
+            F.when(fails(F.col("n") >= least), F.concat("period", F.lit(": support"))),
+            F.when(known & fails(F.col("ret_no_mean") - 2 * F.col("ret_no_se") > hurdle), F.concat("period", F.lit(": return"))),
+            F.when(known & fails(F.col("uplift_mean") - 2 * F.col("uplift_se") > 0), F.concat("period", F.lit(": uplift"))),
         )
     )
-    one = stats.select(F.explode_outer(reasons).alias("r"))
+    one = seen.select(F.explode_outer(reasons).alias("r"))
     listed = F.array_sort(F.collect_list("r"))
     return one.agg(F.when(F.size(listed) == 0, "GREEN").otherwise("RED").alias("verdict"), F.array_join(listed, "; ").alias("reasons"))
 

@@ -191,7 +191,8 @@ def _level(name, keys, source, rest):
 )
 def pooling(spark, d):
     out = C.pooling_cascade(fill_returns(spark, d), LEVELS, "maker", 60)
-    return out.select("level", "category", "bucket", "band", F.col("discovery_n").alias("dn"), F.col("confirmation_n").alias("cn"), F.round("discovery_maker_mean", 6).alias("dm"), F.round("confirmation_maker_se", 6).alias("cs"), "leftover_n")
+    six = lambda c: F.round(F.round(c, 9), 6)  # noqa: E731  statistics have nine digits, the map shows six of them
+    return out.select("level", "category", "bucket", "band", F.col("discovery_n").alias("dn"), F.col("confirmation_n").alias("cn"), six("discovery_maker_mean").alias("dm"), six("confirmation_maker_se").alias("cs"), "leftover_n")
 
 
 @query(
