@@ -1,8 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm.lempel_ziv import SIZE, edited, fingerprints, signature
 
@@ -52,3 +54,13 @@ def test_repeated_rows_null_ids_and_empty(spark):
     one = fingerprints(spark.createDataFrame([(5, "abcabc")], schema), 4).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0 and signature("abcabc").size
     assert fingerprints(spark.createDataFrame([], schema), 4).count() == 0
+
+
+def test_hot_id_is_split_and_long_text(spark):
+    rows = [(7, f"text {i} of one id") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(1, "abc déf 🙂 " * 1_000_000)]  # 14 MB
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fingerprints(df, 8).select("*", F.spark_partition_id().alias("at")).collect()
+    assert len(found) == len(rows) and max(Counter(r["at"] for r in found).values()) < 200
+    long = [r for r in found if r["doc_id"] == 1]
+    assert [r["n_chars"] for r in long] == [len(rows[-1][1])] and long[0]["fingerprint"] == "".join(f"{h:08x}" for h in plain(rows[-1][1]))
+    assert {r["fingerprint"] for r in found} == {"".join(f"{h:08x}" for h in signature(t)) for _, t in rows}

@@ -36,8 +36,7 @@ def _parse(text: str, seen: set[str], rest: str = "") -> tuple[list[str], str]:
 
 
 def _hashes(phrases: list[str]) -> np.ndarray:
-    digest = xxhash.xxh32_intdigest
-    return np.fromiter((digest(p) for p in phrases), dtype=np.uint32, count=len(phrases))
+    return np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))
 
 
 def _smallest(*hashes: np.ndarray) -> np.ndarray:
@@ -63,18 +62,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
 
 
-def _both(text: str, other: str, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, str]:
-    """Signatures of the text and its edited form; the half that they share is parsed once."""
-    half = len(text) // 2
-    seen: set[str] = set()
-    head, rest = _parse(text[: len(text) - half], seen)
-    shared = _hashes(head)
-    if known is None:
-        tail, _ = _parse(text[len(text) - half :], seen, rest)
-        known = _smallest(shared, _hashes(tail))
-        seen.difference_update(tail)
-    tail, _ = _parse(other[:half], seen, rest)
-    return known, _smallest(shared, _hashes(tail)), text[: len(text) - half] + other[:half]
+class _Parsed:
+    """A text's signature, and those of its edited forms; the half that they share is parsed once."""
+
+    def __init__(self, text: str):
+        self.text, self.kept = text, len(text) - len(text) // 2
+        self.seen: set[str] = set()
+        head, self.rest = _parse(text[: self.kept], self.seen)
+        self.shared = _hashes(head)
+        self.tail, _ = _parse(text[self.kept :], self.seen, self.rest)
+        self.own = _smallest(self.shared, _hashes(self.tail))
+
+    def changed(self, other: str) -> tuple[str, np.ndarray]:
+        start = other[: len(self.text) - self.kept]
+        self.seen.difference_update(self.tail)
+        self.tail, _ = _parse(start, self.seen, self.rest)
+        return self.text[: self.kept] + start, _smallest(self.shared, _hashes(self.tail))
 
 
 def _show(s: np.ndarray) -> str:
@@ -99,16 +102,14 @@ def _fingerprint(batches):
     for b in batches:
         for part, guest, doc, text in zip(*(c.to_pylist() for c in b.columns)):
             if waiting is not None and waiting[0] == part:
-                _, mine, before, known = waiting
-                own, other, changed = _both(before, text, known)
-                following = own if text == before else None
-                if following is None:
-                    following = signature(text)
+                _, mine, now = waiting
+                following = now if text == now.text else _Parsed(text)
+                changed, other = now.changed(text)
                 sha = hashlib.sha256(changed.encode(errors="replace")).hexdigest()
-                out.append((mine, len(before), sha, _show(own), _show(other), likeness(own, other), likeness(own, following)))
-                waiting = None if guest else (part, doc, text, following)
+                out.append((mine, len(now.text), sha, _show(now.own), _show(other), likeness(now.own, other), likeness(now.own, following.own)))
+                waiting = None if guest else (part, doc, following)
             elif not guest:
-                waiting = (part, doc, text, None)
+                waiting = (part, doc, _Parsed(text))
             if len(out) >= 256:
                 yield flush()
     yield flush()
@@ -125,43 +126,36 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     A null text is empty: it has no phrases, and is wholly like another empty
     one. An empty table gives an empty one.
 
-    The table moves once, into ranges of doc_id whose heads are real ids (one
-    number for each range, chosen from the ids alone); the rows of a head also
-    go to the range before it, where they end the last document's wait.
+    The table moves once, into ranges of (doc_id, hash of the text) whose heads
+    are rows of it (two numbers for each range, from a range sort of these
+    numbers alone); the rows of a head also go to the range before it, where
+    they end the last document's wait. So the rows of one doc_id, or of none,
+    are split like others. Texts are parsed whole, whatever their length.
     """
     spark = docs.sparkSession
     rows_per_batch(spark, 256)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    shares = ",".join(str(i / parts) for i in range(1, parts)) or "0.5"
-    ids = docs.select(key.alias("k")).agg(F.max("k").alias("top"), F.expr(f"percentile_approx(k, array({shares}), {max(10000, 20 * parts)})").alias("cuts")).first()
-    if ids["top"] is None:
+    text = text_or_empty()
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("tie"))
+    ranges = docs.select(key.alias("key")).repartitionByRange(parts, F.desc("key")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("head"))
+    cuts = sorted({(r["head"]["k"], r["head"]["tie"]) for r in ranges.collect()}, reverse=True)  # one a range
+    if not cuts:
         return spark.createDataFrame([], _OUT)
-    cuts = sorted({ids["top"], *(int(x) for x in ids["cuts"])}, reverse=True)
-    cuts = cuts[:parts] if parts > 1 else cuts[:1]
     n = len(cuts)
-    listed = F.array(*[F.lit(c).cast("long") for c in cuts])
+    listed = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("tie")) for k, t in cuts])
+    middle = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+
+    def halve(a, _):
+        above = F.element_at(listed, middle(a) + 1) >= F.col("key")
+        return F.struct(F.when(above, middle(a)).otherwise(a["lo"]).alias("lo"), F.when(above, a["hi"]).otherwise(middle(a)).alias("hi"))
+
     # Binary search: the last cut that is not below the key.
-    search = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))),
-        F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")),
-        lambda a, _: F.when(
-            a["hi"] - a["lo"] > 1,
-            F.when(F.element_at(listed, F.expr("1") + F.floor((a["lo"] + a["hi"]) / 2).cast("int")) >= F.col("k"), F.struct(F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("lo"), a["hi"].alias("hi"))).otherwise(
-                F.struct(a["lo"].alias("lo"), F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("hi"))
-            ),
-        ).otherwise(a),
-        lambda a: a["lo"],
-    )
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("k")).withColumn("part", search)
-    head = F.element_at(listed, F.col("part") + 1) == F.col("k")
+    steps, whole = F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    search = F.aggregate(steps, whole, lambda a, i: F.when(a["hi"] - a["lo"] > 1, halve(a, i)).otherwise(a), lambda a: a["lo"])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key")).withColumn("part", search)
+    head = F.element_at(listed, F.col("part") + 1) == F.col("key")
     home = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     away = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("guest"))
     placed = keyed.withColumn("at", F.explode(F.when(head, F.array(home, away)).otherwise(F.array(home))))
-    ordered = (
-        placed.select("at.part", "at.guest", "k", "doc_id", "text")
-        .repartitionById(n, "part")
-        .withColumn("tie", F.xxhash64("text"))
-        .sortWithinPartitions("part", "guest", F.desc("k"), "tie")
-    )
+    ordered = placed.select("at.part", "at.guest", "key", "doc_id", "text").repartitionById(n, "part").sortWithinPartitions("part", "guest", F.desc("key"))
     return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_fingerprint, _OUT)
