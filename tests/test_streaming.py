@@ -59,3 +59,41 @@ def test_latest_book_and_upsert(spark, tmp_path):
         q = jobs.incremental_upsert(spark.readStream.schema(rows.schema).parquet(src), str(tmp_path / "t"), str(tmp_path / "c"), ["key"], "ts")
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_running_extremes_and_late_features(spark, tmp_path):
+    from tidemark.sources.landed import FEATURES
+
+    at = lambda h, d=1: dt.datetime(2026, 1, d, h)
+    src = str(tmp_path / "r")
+    readings = spark.createDataFrame([("s", at(1), at(1), 5.0), ("s", at(3), at(3), 9.0), ("s", at(2), at(2), 1.0), ("s", at(1, 2), at(1, 2), 4.0)], "station string, local_time timestamp, ts timestamp, value double")
+    readings.write.parquet(src)
+    got = drain(jobs.running_extremes(spark.readStream.schema(readings.schema).parquet(src)), "extremes", "complete").collect()
+    assert sorted((r["local_date"].day, r["max_so_far"], r["min_so_far"], r["available_at"]) for r in got) == [(1, 9.0, 1.0, at(4)), (2, 4.0, 4.0, at(2, 2))]
+
+    names = [f.name for f in FEATURES.fields]
+    rows = [("s", "e", "m", at(5, 20), at(5, 20), at(6, 20), "new", "r2", "x"), ("s", "e", "m", at(5), at(5), at(6), "late", "r1", "x"), ("s", "e", "m", at(5), at(5), at(7), "again", "r1", "x")]
+    for i, r in enumerate(rows):  # the second lands weeks behind the first
+        spark.createDataFrame([r], names).select([F.col(f.name).cast(f.dataType) for f in FEATURES.fields]).write.mode("append").parquet(str(tmp_path / "f"))
+        q = jobs.feature_append(spark.readStream.schema(FEATURES).parquet(str(tmp_path / "f")), str(tmp_path / "t"), str(tmp_path / "c"))
+        q.awaitTermination(120)
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["again", "new"]
+
+
+def test_rebuild_runs_in_order_and_refuses_gaps(spark):
+    from tidemark.plans.composites import rebuild
+
+    keys = spark.createDataFrame([(1,), (2,)], "ticker int")
+    seen = []
+
+    def step(name):
+        def run(done):
+            seen.append((name, sorted(done)))
+            return keys
+
+        return run
+
+    out = rebuild({n: step(n) for n in ("survivors", "families", "relations", "outcomes", "decision_points")}, keys, keys, "ticker", lambda name, df: df)
+    assert [n for n, _ in seen] == ["decision_points", "outcomes", "relations", "families", "survivors"] and set(out) == {n for n, _ in seen}
+    with pytest.raises(RuntimeError, match="incomplete"):
+        rebuild({}, keys, keys.limit(1), "ticker", lambda name, df: df)

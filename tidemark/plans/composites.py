@@ -111,6 +111,26 @@ def shock_summary(spark, d):
     return rounded(C.cell_stats(s, ["period"], ["ret_no", "uplift"]))
 
 
+def category_breakdown(screen: DataFrame, least_events: int) -> DataFrame:
+    """Support and means of a shock screen by period and category; rows without uplift and thin cells are left out."""
+    cells = screen.where("uplift is not null").groupBy("period", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_ticker").alias("events"), F.round(F.avg("shock_price"), 2).alias("shock_price"), F.round(F.avg("ret_no"), 3).alias("ret_no"),
+        F.round(F.avg("uplift"), 3).alias("uplift"), F.round(F.avg("result_yes"), 4).alias("tail_rate"),
+    )
+    return cells.where(F.col("events") >= least_events)
+
+
+@query(
+    "a23_category_breakdown",
+    f"""with {BLOCKLESS}, {S.MARKETS}, {BARS}, {SHOCKS}, {SCREEN} select period, ticker % 5 as category, count(*) as n, count(distinct event_ticker) as events, round(avg(p), 2) as shock_price, round(avg(ret_no), 3) as ret_no, round(avg(uplift), 3) as uplift, round(avg(y), 4) as tail_rate
+    from up where uplift is not null group by 1, 2 having count(distinct event_ticker) >= 2""",
+)
+def categories(spark, d):
+    f, m = shaped(spark, d), S.markets(spark, d)
+    s = shock_screen(P.select_shocks(f, **RULE), f, m, S.SPLIT).join(m.select("ticker", "category"), "ticker")
+    return category_breakdown(s, 2)
+
+
 @query(
     "e17_shock_gate",
     f"""with {BLOCKLESS}, {S.MARKETS}, {BARS}, {SHOCKS}, {SCREEN}, st as ({stats_sql('up', 'period', ['ret_no', 'uplift'], digits=12)}),

@@ -207,6 +207,22 @@ def cells(spark, d):
     return any_cell(S.fills(spark, d), spec).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def health_cell(df, category: int, horizon: int, lo: int, hi: int, series: str = "event_ticker", excluded=()):
+    """Rows of one health cell, without the excluded series."""
+    sub = df.where((F.col("category") == category) & (F.col("horizon_days") == horizon) & P().between(lo, hi))
+    return sub.where(~F.col(series).isin(*excluded)) if excluded else sub
+
+
+@query(
+    "p09_health_cells",
+    f"with {S.FILLS} select category, horizon_days, count(*) as n, count(distinct event_ticker) as events from fills where (category = 1 and horizon_days = 30 and yes_price_cents between 1 and 20) or (category = 3 and horizon_days = 90 and yes_price_cents between 5 and 40 and event_ticker not in (7, 8, 9, 100)) group by all",
+)
+def health_cells(spark, d):
+    f = S.fills(spark, d)
+    both = health_cell(f, 1, 30, 1, 20).union(health_cell(f, 3, 90, 5, 40, excluded=(7, 8, 9, 100)))
+    return both.groupBy("category", "horizon_days").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_ticker").alias("events"))
+
+
 @query(
     "p10_p12_eligible",
     f"with {S.MARKETS} select ticker, date_diff('day', open_time, close_time) as life from markets where volume >= 60 and date_diff('day', open_time, close_time) >= 20 and close_time > timestamp '2024-01-25' and close_time <= timestamp '2024-01-28'",

@@ -218,6 +218,22 @@ def subset(spark, d):
 WORDS = "regexp_matches(lower(text), '{}')"
 
 
+@query(
+    "s08_series_catalogue",
+    """with p as (select c_custkey, 'KX' || (c_custkey % 400) as ticker, case c_custkey % 6 when 0 then 'deployment' when 1 then 'instrumentation' when 2 then 'instrumentation' when 3 then 'instrumentation' when 4 then 'excluded' else 'deployment' end as tier, c_custkey % 6 as k from customer)
+    select ticker, case when k = 4 then 'excluded' else tier end as tier, 'Title ' || k as title from (select case when k = 4 then 'XX' || ticker else ticker end as ticker, tier, k, c_custkey from p) qualify row_number() over (partition by ticker order by c_custkey) = 1""",
+)
+def catalogue(spark, d):
+    c = S.table(spark, d, "customer").withColumn("k", F.pmod("c_custkey", F.lit(6)))
+    k = F.col("k")
+    ticker = F.concat(F.when(k == 4, "XX").otherwise(""), F.lit("KX"), F.pmod("c_custkey", F.lit(400)).cast("string"))
+    category = F.when(k == 1, "Sports").when(k == 2, "Crypto").otherwise("Politics")
+    tags = F.when(k == 3, F.array(F.lit(" Sports "), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    payload = F.to_json(F.struct(ticker.alias("ticker"), F.concat(F.lit("Title "), k.cast("string")).alias("title"), category.alias("category"), tags.alias("tags")))
+    landed = c.select(F.col("c_custkey").alias("landed"), payload.alias("payload"))
+    return D.series_catalogue(landed, excluded=("XX",)).select("ticker", "tier", "title")
+
+
 @query(
     "p03_tiers",
     r"""select doc_id, case when upper(lang || '-' || doc_id) like 'ES-1%' then 'excluded' when regexp_matches(lower(substr(text, 1, 400)), '\b(?:sports?|esports|athlete|baseball|basketball|football|hockey|soccer|tennis|golf|golfer|cricket|boxing|wrestling|wrestler|olympics?|super bowl|world cup|stanley cup|mlb|nba|nfl|nhl|wnba|ncaa|cfb|atp|uefa|fifa|ufc|madden|btc|eth|bitcoin)\b')

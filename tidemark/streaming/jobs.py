@@ -12,11 +12,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.sources.landed import FEATURE_KEY, merge_partition, normalise_features
 
 
-def incremental_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, overlap: str = "48 hours"):
-    """Landed rows, deduplicated within the overlap, upserted into ``path``; the checkpoint is the high-water mark."""
-    once = stream.withWatermark(ts, overlap).dropDuplicatesWithinWatermark(keys)
-    sink = lambda df, _: merge_partition(df, path, keys, [F.desc(ts)])
-    return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def incremental_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, partition: str | None = None):
+    """Landed rows upserted into ``path``; the checkpoint is the high-water mark.
+
+    The merge is idempotent by key, so rows may come again and as late as they
+    like. With ``partition``, a batch rewrites only the partitions it touches.
+    """
+    sink = lambda df, _: merge_partition(df, path, keys, [F.desc(ts)], partition)
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_books(stream: DataFrame) -> DataFrame:
@@ -80,8 +83,7 @@ def running_extremes(readings: DataFrame) -> DataFrame:
     return g.agg(F.max("value").alias("max_so_far"), F.min("value").alias("min_so_far"), (F.max("ts") + F.expr("interval 1 hour")).alias("available_at"))
 
 
-def feature_append(stream: DataFrame, path: str, checkpoint: str, late: str = "7 days"):
-    """Point-in-time features, idempotent by key; a late row lands without changing past decisions."""
-    once = stream.withWatermark("available_at", late).dropDuplicates(FEATURE_KEY)
+def feature_append(stream: DataFrame, path: str, checkpoint: str):
+    """Point-in-time features, idempotent by key; a row lands however late it is, without changing past decisions."""
     sink = lambda df, _: merge_partition(normalise_features(df), path, FEATURE_KEY, [F.desc("retrieved_at"), F.desc("value")])
-    return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
