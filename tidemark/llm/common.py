@@ -78,6 +78,25 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+#: Keys that ``join_dealt`` may take for hot, and rows that never make a key hot.
+HOT_KEYS, NEVER_HOT = 2000, 1000
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, keys: list[str], by: str, many: str = "n") -> DataFrame:
+    """``rows`` joined with ``side`` (written; one row a key), whose column ``many`` counts the rows of the key.
+
+    A key with more than one in ``HOT_KEYS`` of all rows is dealt over several
+    tasks by a hash of the column ``by``. There are fewer than ``HOT_KEYS`` of
+    these, whatever the tables hold, so they are broadcast.
+    """
+    share = max(NEVER_HOT, (side.agg(F.sum(many)).first()[0] or 0) // HOT_KEYS)
+    deals = F.ceil(F.col(many) / F.lit(share)).cast("int")
+    hot = side.where(F.col(many) > share).select(*keys, deals.alias("_deals"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("_deals")), F.lit(0)).cast("int")).drop("_deals")
+    copies = side.withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    return dealt.join(copies, [*keys, "_deal"]).drop("_deal")
+
+
 def rows_per_batch(spark: SparkSession, n: int = 512) -> None:
     """Bounds the Arrow batches of Python stages over whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
@@ -100,17 +119,30 @@ def slices(batch, text_column: int, limit: int = 4 << 20):
         yield batch.slice(at)
 
 
-def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The words of a column of texts (null: none): each word's place in the list of distinct words, words per text, that list."""
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of a column of texts (null: none): each word's place among the distinct words, words per text, the distinct words."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     flat = split.flatten().dictionary_encode()
-    codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+    codes = flat.indices.to_numpy(zero_copy_only=False)
     lens = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    if "" in words:  # left by white space at the ends of a text
-        real = codes != words.index("")
+    empty = pc.index(flat.dictionary, "").as_py() if len(flat.dictionary) else -1
+    if empty >= 0:  # left by white space at the ends of a text
+        real = codes != empty
         lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[real], minlength=len(lens))
         codes = codes[real]
-    return codes, lens, words
+    return codes, lens, flat.dictionary
+
+
+def listed(words: pa.Array) -> list[str]:
+    """Words without spaces as a list: one string joined and split again is read faster than single values."""
+    ends = pa.array([0, len(words)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, words), " ")[0].as_py().split(" ") if len(words) else []
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``coded`` with the distinct words as a list."""
+    codes, lens, words = coded(texts)
+    return codes, lens, listed(words)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
