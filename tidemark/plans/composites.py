@@ -11,11 +11,11 @@ from tidemark.catalog import query
 from tidemark.functions import economics as E
 from tidemark.functions import labels as L
 from tidemark.functions import text as T
-from tidemark.functions.statistics import normal_cdf
+from tidemark.functions.statistics import erfc_sql, normal_cdf
 from tidemark.operators import cells as C
 from tidemark.operators import panel as P
 from tidemark.operators.tables import pick
-from tidemark.plans.forecasts import forecasts, observations
+from tidemark.plans.forecasts import DAILY, FORECASTS, forecasts, observations
 from tidemark.plans.panels import BARS, BLOCKLESS, POINTS, RULE, SHOCKS, points, shaped
 from tidemark.plans.screens import FILL_RETURNS, fill_returns, rounded, stats_sql
 from tidemark.plans.suites import SIDES, side_panel
@@ -195,16 +195,25 @@ def forecast_panel(calibrated: DataFrame, contracts: DataFrame, reserve: int = 2
     return j.withColumn("edge", (F.col("p_win") - 0.02) * 100 - F.col("entry") - E.taker_fee(F.col("entry")))
 
 
-@query("x21_forecast_panel")
+_P_YES = f"(1 - 0.5 * {erfc_sql('(-(floor_strike + 0.5 - mean) / (sigma * sqrt(2.0)))')})"
+
+
+@query(
+    "x21_forecast_panel",
+    f"""with {FORECASTS}, {DAILY}, cal as (select f.*, case when c.n >= 30 then c.s / c.n end as bias, case when c.n >= 30 then sqrt(greatest(2.25, (c.q - c.s * c.s / c.n) / (c.n - 1))) end as sigma from forecasts f asof left join cum c on f.station = c.station and f.weather_stat = c.weather_stat and f.lead_days = c.lead_days and f.available_at >= c.known),
+    ct as (select station || '-' || weather_stat || '-' || cast(target_date as varchar) as contract, station, weather_stat, target_date, available_at - interval 30 hour as decision_time, floor(observed_f) as floor_strike, cast(1 + cast(floor(observed_f * 7) as bigint) % 99 as bigint) as yes_price_cents from observations),
+    j as (select contract, floor_strike, yes_price_cents, forecast_f + bias as mean, sigma from ct join cal using (station, weather_stat, target_date) where cal.available_at <= decision_time qualify row_number() over (partition by contract order by cal.available_at desc, lead_days desc, event_id desc) = 1),
+    s as (select contract, side, case when side = 'yes' then {_P_YES} else 1 - {_P_YES} end as p_win, least(99, greatest(1, (case when side = 'yes' then yes_price_cents else 100 - yes_price_cents end) + 2)) as entry from j, (values ('no'), ('yes')) x(side) where sigma is not null)
+    select contract, side, entry, round(p_win, 3) as p_win, round((p_win - 0.02) * 100 - entry - (7 * entry * (100 - entry) + 9999) // 10000, 1) as edge from s""",
+)
 def panel_query(spark, d):
-    """Rows only: the normal tail of DuckDB's and Spark's exponentials differs in the last digits of the edge."""
     cal = P.rolling_calibration(forecasts(spark, d), observations(spark, d), least=30)
     o = observations(spark, d)
     contracts = o.select(
         F.concat_ws("-", "station", "weather_stat", "target_date").alias("contract"), "station", "weather_stat", "target_date", (F.col("available_at") - F.expr("interval 30 hours")).alias("decision_time"),
         F.floor("observed_f").cast("double").alias("floor_strike"), (1 + F.pmod(F.floor(F.col("observed_f") * 7).cast("long"), F.lit(99))).alias("yes_price_cents"),
     )
-    return forecast_panel(cal, contracts).select("contract", "side", "entry", F.round("p_win", 4).alias("p_win"), F.round("edge", 2).alias("edge"))
+    return forecast_panel(cal, contracts).select("contract", "side", "entry", F.round("p_win", 3).alias("p_win"), F.round("edge", 1).alias("edge"))
 
 
 @query("x23_tail_veto_families", f"with {S.FILLS}, {FILL_RETURNS}, t as (select 'p<=' || th || '|' || bucket as cell, period, event_ticker, maker from fr, (values (0.05), (0.10), (0.20)) x(th) where yes_price_cents / 100.0 <= th) {stats_sql('t', 'cell, period', ['maker'])}")

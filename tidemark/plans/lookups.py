@@ -236,7 +236,7 @@ def catalogue(spark, d):
 
 @query(
     "p03_tiers",
-    r"""select doc_id, case when upper(lang || '-' || doc_id) like 'ES-1%' then 'excluded' when regexp_matches(lower(substr(text, 1, 400)), '\b(?:sports?|esports|athlete|baseball|basketball|football|hockey|soccer|tennis|golf|golfer|cricket|boxing|wrestling|wrestler|olympics?|super bowl|world cup|stanley cup|mlb|nba|nfl|nhl|wnba|ncaa|cfb|atp|uefa|fifa|ufc|madden|btc|eth|bitcoin)\b')
+    r"""select doc_id, case when upper(lang || '-' || doc_id) like 'ES-1%' then 'excluded' when regexp_matches(lower(text), '\b(?:sports?|esports|athlete|baseball|basketball|football|hockey|soccer|tennis|golf|golfer|cricket|boxing|wrestling|wrestler|olympics?|super bowl|world cup|stanley cup|mlb|nba|nfl|nhl|wnba|ncaa|cfb|atp|uefa|fifa|ufc|madden|btc|eth|bitcoin)\b')
     or source = 'src3' then 'instrumentation' else 'deployment' end as tier from documents""",
 )
 def tiers(spark, d):
