@@ -33,3 +33,49 @@ def test_few_and_no_rows(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert hilbert_shards(spark.createDataFrame([], schema)).count() == 0
     assert [r["slot"] for r in hilbert_shards(spark.createDataFrame([(1, None, None, None), (2, "a", "b", "c")], schema)).collect()] == [0, 0]
+
+
+def test_cells_against_brute_force(spark):
+    rng = random.Random(7)
+    sources = [f"https://www.example.org/section_{i:03d}" for i in range(60)]  # one long common start
+    rows = [(i, "x" * rng.choice([1, 5, rng.randint(0, 900)]), rng.choice(["en", "en", "en", "de", "fr", None]), rng.choice(sources[:1] * 30 + sources + [None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    bits = 3
+
+    def cells(values):
+        n, known, before, out = Counter(v for v in values if v is not None), sum(v is not None for v in values), 0, {None: 0}
+        for v in sorted(n, key=lambda v: v.encode() if isinstance(v, str) else v):
+            out[v] = before * (1 << bits) // known
+            before += n[v]
+        return [out[v] for v in values]
+
+    dims = [cells([r[2] for r in rows]), cells([r[3] for r in rows]), cells([len(r[1]) for r in rows])]
+    index = {r["cell"]: r["h"] for r in curve(spark, 3, bits).collect()}
+    want = {r[0]: index[a << 2 * bits | b << bits | c] for r, a, b, c in zip(rows, *dims)}
+    got = hilbert_shards(df, bits=bits).collect()
+    assert {r["doc_id"]: r["hilbert"] for r in got} == want
+    place = {r["doc_id"]: r["shard"] for r in got}
+    order = sorted(want, key=lambda d: (want[d], d))
+    assert [place[d] for d in order] == [k * 24 // len(rows) for k in range(len(rows))]
+
+    # Files of shards are skipped more often than files of equal size in doc_id order.
+    def read(shard_of):
+        ranges = {}
+        for (d, t, lang, source), s in ((r, shard_of(r[0])) for r in rows):
+            ranges.setdefault(s, []).append((lang or "", source or "", len(t)))
+        hit = 0
+        for lo, hi in ((0, 50), (400, 450), (800, 900)):
+            hit += sum(min(v[2] for v in x) <= hi and max(v[2] for v in x) >= lo for x in ranges.values())
+        for source in sources[::10]:
+            hit += sum(min(v[1] for v in x) <= source <= max(v[1] for v in x) for x in ranges.values())
+        for lang in ("de", "fr"):
+            hit += sum(min(v[0] for v in x) <= lang <= max(v[0] for v in x) for x in ranges.values())
+        return hit
+
+    assert read(place.get) < 0.75 * read(lambda d: d * 24 // len(rows))
+
+
+def test_long_text(spark):
+    df = spark.createDataFrame([(1, "é" * 6_000_000, "en", "a"), (2, "b", "en", "a")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in hilbert_shards(df).collect()}
+    assert got[1]["size"] == 12_000_008 and got[1]["text_crc32"] == zlib.crc32(("é" * 6_000_000).encode())

@@ -1,10 +1,12 @@
 """Shards of equal row counts along a Hilbert curve over metadata dimensions.
 
-DataFrame functions only. Every dimension is quantised by its range to ``BITS``
-bits; the curve index of all cells is a table made by Spark (2 ** (BITS * 3)
-rows, whatever the corpus holds) and broadcast. Rows are range-sorted by curve
-index and doc_id, so a cell that holds a third of all rows is split over as
-many ranges as it needs; ranks come from the row counts of the ranges.
+DataFrame functions only. Every dimension is quantised to ``BITS`` bits by rank,
+so that cells hold near equal rows whatever the values look like; a dimension's
+cells are known by at most 2 ** ``BITS`` values that they begin with. The curve
+index of all cells is a table made by Spark (2 ** (BITS * 3) rows, whatever the
+corpus holds) and broadcast. Rows are range-sorted by curve index and doc_id, so
+a cell that holds a third of all rows is split over as many ranges as it needs;
+ranks come from the row counts of the ranges.
 """
 
 from __future__ import annotations
@@ -54,9 +56,30 @@ def curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
     return df.select("cell", h.alias("h"))
 
 
-def prefix_number(c: Column) -> Column:
-    """The first six UTF-8 bytes as a number, so that the order of strings is kept."""
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def range_ranks(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` range-sorted and written, with ``_before`` (weight ``_n`` of all rows before) and ``_total``."""
+    sorted_ = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    # One row for each range: bounded by the number of partitions.
+    ranges = sorted_.groupBy("_part").agg(F.sum("_n").alias("_k"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.select("_part", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_ahead"), F.sum("_k").over(whole).alias("_total"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sorted_.join(F.broadcast(ranges), "_part")
+    return placed.withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).drop("_at", "_part", "_ahead")
+
+
+def quantised(df: DataFrame, column: str, bits: int) -> Column:
+    """The cell of a column's value by rank: rows with smaller values, in ``2 ** bits`` parts of all; null takes the lowest."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("_n"))
+    cells = range_ranks(values, "v").select("v", F.expr(f"cast((_before * {1 << bits}) div _total as int)").alias("cell"))
+    first = sorted((r["cell"], r["v"]) for r in cells.groupBy("cell").agg(F.min("v").alias("v")).collect())  # one row a cell
+    if not first:
+        return F.lit(0).cast("long")
+    kind = df.schema[column].dataType
+    starts, names = F.array(*[F.lit(v).cast(kind) for _, v in first]), F.array(*[F.lit(c).cast("long") for c, _ in first])
+    below = F.size(F.filter(starts, lambda b: b <= F.col(column)))
+    return F.when(F.col(column).isNull(), F.lit(0).cast("long")).otherwise(F.element_at(names, below))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -64,10 +87,10 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     ignored): doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard
     (null under this law) and hilbert.
 
-    Dimensions: lang, source and the square root of the text's length. Null
-    dimensions take the lowest cell, a null text is empty. Ties in the curve go
-    by doc_id; repeated rows and null doc_ids (first in their cell) take slots
-    of their own. An empty table gives an empty one.
+    Dimensions: lang, source and the length of the text (of any length, whole),
+    each by rank. Null dimensions take the lowest cell, a null text is empty.
+    Ties in the curve go by doc_id; repeated rows and null doc_ids (first in
+    their cell) take slots of their own. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -76,33 +99,18 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            prefix_number(F.col("lang").cast("string")).alias("d0"),
-            prefix_number(F.col("source").cast("string")).alias("d1"),
-            F.floor(F.sqrt(F.char_length(text).cast("double")) * 16).cast("long").alias("d2"),
+            F.col("lang").cast("string").alias("d0"),
+            F.col("source").cast("string").alias("d1"),
+            F.char_length(text).cast("long").alias("d2"),
         )
     )
     dims = ["d0", "d1", "d2"]
-    ends = base.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
     cell = F.lit(0).cast("long")
     for d in dims:
-        lo, hi = ends[f"lo_{d}"] or 0, ends[f"hi_{d}"] or 0
-        q = F.floor(((F.col(d) - lo) * (1 << bits)) / F.lit(hi - lo + 1)).cast("long")
-        cell = F.shiftleft(cell, bits).bitwiseOR(F.coalesce(q, F.lit(0).cast("long")))
+        cell = F.shiftleft(cell, bits).bitwiseOR(quantised(base, d, bits))
     keyed = base.withColumn("cell", cell).join(F.broadcast(curve(spark, len(dims), bits)), "cell")
-    ordered = stage(
-        keyed.select("doc_id", "size", "text_crc32", "h")
-        .repartitionByRange("h", "doc_id")
-        .sortWithinPartitions("h", "doc_id")
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.spark_partition_id())
-    )
-    # One row for each range: bounded by the number of partitions.
-    ranges = ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranges = ranges.select("_part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
-    rank = F.col("before") + F.col("_at") - F.col("first")
-    placed = ordered.join(F.broadcast(ranges), "_part").withColumn("_rank", rank).withColumn("shard", F.expr(f"cast((_rank * {shards}) div total as int)"))
+    ordered = range_ranks(keyed.select("doc_id", "size", "text_crc32", "h", F.lit(1).cast("long").alias("_n")), "h", "doc_id")
+    placed = ordered.withColumnsRenamed({"_before": "_rank", "_total": "total"}).withColumn("shard", F.expr(f"cast((_rank * {shards}) div total as int)"))
     return placed.select(
         "doc_id",
         "size",
