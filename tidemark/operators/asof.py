@@ -1,4 +1,9 @@
-"""As-of joins and trailing flows in one pass over a union of both sides."""
+"""As-of joins and trailing flows over a union of both sides, in buckets of a key and a day.
+
+No task sorts the whole history of a key: rows are sorted within (key, day), and
+what was last or summed before the day is carried over from one row for each key
+and day, which is aggregated on the map side.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _carried(both: DataFrame, by: list[str], bucket: str, running: list[str], record: bool) -> DataFrame:
+    """``both`` (by, _ts, _side, _tie, _run_*, and _right) with _match, the last _right so far, and the sums _run_* so far."""
+    sums = [f"_run_{n}" for n in running]
+    times = {"timestamp", "timestamp_ntz", "date"}
+    bucketed = bucket and dict(both.dtypes)["_ts"] in times
+    rows = both.withColumn("_bucket", F.date_trunc(bucket, F.col("_ts").cast("timestamp_ntz")) if bucketed else F.lit(0))
+    keys = [*by, "_bucket"]
+    inside = Window.partitionBy(*keys).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows
+    if record:
+        seen = seen.withColumn("_match", F.last("_right", ignorenulls=True).over(inside))
+    seen = seen.withColumns({c: F.sum(c).over(inside) for c in sums})
+    if not bucketed:
+        return seen
+    last = [F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))).alias("_last")] if record else []
+    per = rows.groupBy(*keys).agg(*last, *[F.sum(c).alias(c) for c in sums])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, *([F.last("_last", ignorenulls=True).over(before).alias("_earlier")] if record else []), *[F.sum(c).over(before).alias(f"_past{c}") for c in sums])
+    out = seen.join(carry, keys, "left")  # null keys match nothing anyway
+    if record:
+        out = out.withColumn("_match", F.coalesce("_match", "_earlier"))
+    total = lambda c: F.when(F.col(c).isNull(), F.col(f"_past{c}")).otherwise(F.col(c) + F.coalesce(F.col(f"_past{c}"), F.lit(0)))
+    return out.withColumns({c: total(c) for c in sums})
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -16,12 +46,13 @@ def asof_join(
     prefix: str = "",
     running: dict[str, Column] | None = None,
     inner: bool = False,
+    bucket: str = "day",
 ) -> DataFrame:
     """Every left row with the last right row at or before its time.
 
-    Both sides are united and sorted once by (by, time, side), so there is one
-    exchange and no join: a key's rows are streamed through the window, and a
-    left side of many decision times costs its rows only. Right rows of equal
+    Both sides are united and sorted by (by, ``bucket`` of the time, time,
+    side), so nothing is paired and a left side of many decision times costs its
+    rows only; a shorter bucket splits hotter keys. Right rows of equal
     time go by ``tiebreak``, the last wins. ``running`` adds sums over all right
     rows up to that time. Left rows without a match stay, with nulls, unless
     ``inner``. Null keys or times match nothing.
@@ -38,11 +69,7 @@ def asof_join(
     sums = {n: r.schema[f"_run_{n}"].dataType for n in running}
     l = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(tie).alias("_tie"), F.lit(None).cast(kind).alias("_right"), *[F.lit(None).cast(t).alias(f"_run_{n}") for n, t in sums.items()], left_record.alias("_left"))
     both = r.withColumn("_left", F.lit(None).cast(l.schema["_left"].dataType)).unionByName(l)
-    order = Window.partitionBy(*by).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_match", F.last("_right", ignorenulls=True).over(order))
-    for n in running:
-        seen = seen.withColumn(f"_run_{n}", F.sum(f"_run_{n}").over(order))
-    out = seen.where("_side = 1")
+    out = _carried(both, by, bucket, list(running), True).where("_side = 1")
     known = F.lit(True)
     for c in by:
         known = known & F.col(f"`{c}`").isNotNull()
@@ -53,16 +80,18 @@ def asof_join(
     return out.select(*[F.col(f"_left.`{c}`").alias(c) for c in tail], *[F.col(f"_match.`{c}`").alias(prefix + c) for c in columns], *[F.when(F.col("_match").isNotNull(), F.col(f"_run_{n}")).alias(n) for n in running])
 
 
-def trailing_sums(points: DataFrame, tape: DataFrame, by: list[str], point_ts: str, tape_ts: str, hours: int, sums: dict[str, Column]) -> DataFrame:
-    """Adds sums of the tape over ``(t - hours, t]`` at every point, by a range window on the union."""
-    r = tape.where(F.col(tape_ts).isNotNull()).select(*by, F.col(tape_ts).alias("_ts"), *[e.alias(n) for n, e in sums.items()])
-    kinds = {n: r.schema[n].dataType for n in sums}
-    l = points.select(*by, F.col(point_ts).alias("_ts"), *[F.lit(None).cast(t).alias(n) for n, t in kinds.items()], F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point"))
+def trailing_sums(points: DataFrame, tape: DataFrame, by: list[str], point_ts: str, tape_ts: str, hours: int, sums: dict[str, Column], bucket: str = "day") -> DataFrame:
+    """Adds sums of the tape over ``(t - hours, t]`` at every point.
+
+    A tape row counts from its time on and is taken off again ``hours`` later,
+    so the sum so far is that of the span.
+    """
+    taken = tape.where(F.col(tape_ts).isNotNull()).select(*by, F.col(tape_ts).alias("_from"), *[e.alias(f"_run_{n}") for n, e in sums.items()])
+    kinds = {n: taken.schema[f"_run_{n}"].dataType for n in sums}
+    turn = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign")
+    moved = F.when(F.col("_sign") > 0, F.col("_from")).otherwise(F.col("_from") + F.make_dt_interval(F.lit(0), F.lit(hours)))
+    r = taken.select("*", turn).select(*by, moved.alias("_ts"), F.lit(0).alias("_side"), F.lit(0).alias("_tie"), *[(F.col(f"_run_{n}") * F.col("_sign")).cast(k).alias(f"_run_{n}") for n, k in kinds.items()])
+    l = points.select(*by, F.col(point_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).alias("_tie"), *[F.lit(None).cast(k).alias(f"_run_{n}") for n, k in kinds.items()], F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point"))
     both = r.withColumn("_point", F.lit(None).cast(l.schema["_point"].dataType)).unionByName(l)
-    # One microsecond short of the whole span, as the start is excluded.
-    micros = F.expr("unix_micros(cast(_ts as timestamp))")
-    order = Window.partitionBy(*by).orderBy("_us").rangeBetween(-(hours * 3_600_000_000 - 1), 0)
-    seen = both.withColumn("_us", micros)
-    for n in sums:
-        seen = seen.withColumn(n, F.coalesce(F.sum(n).over(order), F.lit(0).cast(kinds[n])))
-    return seen.where("_point is not null").select(*[F.col(f"_point.`{c}`").alias(c) for c in points.columns], *sums)
+    out = _carried(both, by, bucket, list(sums), False).where("_side = 1")
+    return out.select(*[F.col(f"_point.`{c}`").alias(c) for c in points.columns], *[F.coalesce(F.col(f"_run_{n}"), F.lit(0)).cast(k).alias(n) for n, k in kinds.items()])

@@ -152,16 +152,15 @@ def select_shocks(features: DataFrame, volume: float = 200, multiple: float = 5,
 
 
 def forward_changes(shocks: DataFrame, tape: DataFrame, hours=(24, 168)) -> DataFrame:
-    """The latest price after the signal and by each horizon, less the shock price; null without one, and zero-imputed."""
+    """The latest price after the signal and by each horizon, less the shock price; null without one, and zero-imputed. Equal shock rows are one."""
     right = tape.select("ticker", F.col("created_time").alias("_t"), "trade_id", F.col("yes_price_cents").alias("_p"))
-    out = shocks
-    for h in hours:
-        left = out.withColumn("_target", F.col("signal_ts") + F.make_dt_interval(F.lit(0), F.lit(h)))
-        got = asof_join(left, right, ["ticker"], "_target", "_t", ["trade_id"])
-        valid = F.coalesce(F.col("_t") > F.col("signal_ts"), F.lit(False))
-        change = F.when(valid, F.col("_p") - F.col("shock_price"))
-        out = got.withColumns({f"has_followup_{h}h": valid, f"change_{h}h": change, f"change_{h}h_zero": F.coalesce(change, F.lit(0))}).drop("_t", "trade_id", "_p", "_target")
-    return out
+    each = shocks.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in hours]))).withColumn("_target", F.col("signal_ts") + F.make_dt_interval(F.lit(0), F.col("_h")))
+    got = asof_join(each, right, ["ticker"], "_target", "_t", ["trade_id"])  # one exchange of the tape for all horizons
+    valid = F.coalesce(F.col("_t") > F.col("signal_ts"), F.lit(False))
+    got = got.withColumns({"_valid": valid, "_change": F.when(valid, F.col("_p") - F.col("shock_price"))})
+    of = lambda h, c: F.max(F.when(F.col("_h") == h, F.col(c)))
+    out = got.groupBy(*shocks.columns).agg(*[x for h in hours for x in (of(h, "_valid").alias(f"has_followup_{h}h"), of(h, "_change").alias(f"change_{h}h"))])
+    return out.withColumns({f"change_{h}h_zero": F.coalesce(f"change_{h}h", F.lit(0)) for h in hours})
 
 
 def ladder_pairs(frame: DataFrame) -> DataFrame:
