@@ -21,8 +21,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(
+    return trades_of(table(spark, d, "events"))
+
+
+def trades_of(events: DataFrame) -> DataFrame:
+    """Events, landed or streamed, as trades."""
+    return events.select(
         F.col("event_id").alias("trade_id"),
         F.col("user_id").alias("ticker"),
         F.col("ts").alias("created_time"),
