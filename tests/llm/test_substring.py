@@ -46,3 +46,12 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts(spark):
+    one = " ".join(f"w{i}" for i in range(1_300_000))  # 10 MB
+    rows = [(1, one), (2, "x " + " ".join(f"w{i}" for i in range(700_000, 700_040)) + " y"), (3, "short")]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (r["n_words"], r["n_removed"]) for d, r in got.items()} == {1: (1_300_000, 40), 2: (42, 40), 3: (1, 0)}
+    words = one.split()
+    assert got[1]["kept_sha256"] == hashlib.sha256(" ".join(words[:700_000] + words[700_040:]).encode()).hexdigest()

@@ -7,8 +7,9 @@ there is an offset below the period that brings both onto the cover, so two
 equal windows always share an anchor at equal offsets. Windows that hold a
 repeated anchor are then extended to full length and grouped by a 96-bit hash.
 
-Both groupings count rows under one key (combined on the map side), so a
-passage shared by a third of all documents is never gathered or paired.
+Both groupings count rows under one key (combined on the map side), and the
+counts go back to the positions by joins that deal hot keys over many tasks, so
+a passage shared by a third of all documents is never gathered or paired.
 Equal texts are one class: every window of a class of two or more repeats.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stage, mixed, rows_per_batch, slices, stage, text_or_empty
+from tidemark.llm.common import drop_stage, join_dealt, mixed, rows_per_batch, slices, stage, text_or_empty
 
 WINDOW = 35
 #: A perfect difference set; its differences are all residues of the period.
@@ -186,8 +187,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     drop_stage(base)
 
     anchors = classes.select("t", F.posexplode("h").alias("i", "h"))
-    again = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    marks = anchors.join(again, "h").groupBy("t").agg(F.collect_list("i").alias("marks"))
+    again = stage(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    marks = join_dealt(anchors, again, ["h"], "t").groupBy("t").agg(F.collect_list("i").alias("marks"))
     # One row of each class stands for it; the rows of other copies are not read into Python again.
     chosen = keyed.groupBy("t").agg(F.min(row_id).alias("k"))
     marks = stage(marks.join(chosen, "t"))
@@ -196,17 +197,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         texts.join(marks, ["t", "k"]).select("t", "marks", "text").mapInArrow(_windows, "t long, at array<int>, h array<long>, g array<int>")
     )
     each = windows.select("t", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("t", "w.at", "w.h", "w.g")
-    repeated = each.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
+    repeated = stage(each.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"))
     single = classes.where("n = 1").select("t")
-    starts = stage(each.join(repeated, ["h", "g"]).groupBy("t").agg(F.collect_list("at").alias("starts")).join(single, "t").join(chosen, "t"))
+    starts = stage(join_dealt(each, repeated, ["h", "g"], "t").groupBy("t").agg(F.collect_list("at").alias("starts")).join(single, "t").join(chosen, "t"))
     drop_stage(windows)
     cut = stage(texts.join(starts, ["t", "k"]).select("t", "starts", "text").mapInArrow(_cut, "t long, n_removed long, sha string").dropDuplicates(["t"]))
 
     every = (F.col("n") > 1) & (F.col("n_words") >= WINDOW)
     result = classes.drop("h", "x").join(cut.withColumnRenamed("sha", "cut_sha"), "t", "left").select(
         "t",
+        "n",
         "n_words",
         F.when(every, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(every, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )
-    return keyed.select("doc_id", "t").join(result, "t").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return join_dealt(keyed.select("doc_id", "t"), stage(result), ["t"], "doc_id").select("doc_id", "n_words", "n_removed", "kept_sha256")
