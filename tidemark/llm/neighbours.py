@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import join_dealt, stage
 from tidemark.llm.graph import components
 
 THRESHOLD, K, MOST_K = 0.9, 10, 40
@@ -33,6 +33,8 @@ MOST_ROUNDS, GROWTH = 10, 0.001
 SEARCH_BLOCK = 4096
 #: Vectors of the audit, the recall it asks for, and members of a block when links are counted.
 AUDIT, RECALL, BLOCK = 256, 0.95, 512
+#: How far below the threshold a neighbour makes a vector likely to have links.
+NEAR = 0.05
 
 
 def unit_vectors(batches):
@@ -193,8 +195,8 @@ def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     Components are split into blocks by hash; each pair of blocks is one task
     row group of bounded size, and only counts leave it.
     """
-    size = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    put = members.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    size = stage(members.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")))
+    put = join_dealt(members, size, ["component"], "c").withColumn("mine", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int"))
     pairs = put.select("component", "c", "unit", "m", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "component", "c", "unit", "m", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine"
     )
@@ -238,7 +240,8 @@ def _true_links(nodes: DataFrame, sample: list, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding; other columns are ignored):
     vec_id, n_links (other rows at the threshold), component_id (smallest
-    vec_id reachable), kept (vec_id = component_id) and audit_recall.
+    vec_id reachable), kept (vec_id = component_id) and audit_recall (the least
+    of the audits; null if none of the audited vectors has a link).
 
     Vectors that are null, empty or zero, or hold null or non-finite components,
     link with nothing, nor do vectors of different lengths with each other.
@@ -248,7 +251,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
     """
     spark = vectors.sparkSession
     units = stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(unit_vectors, "vec_id long, unit binary"))
-    rows = units.withColumn("c", F.xxhash64("unit"))
+    rows = units.withColumn("c", F.xxhash64("unit")).withColumn("check", F.crc32("unit"))
 
     def narrow(batches):
         for b in batches:
@@ -258,23 +261,32 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
     nodes = stage(
         rows.where("unit is not null")
         .groupBy("c")
-        .agg(F.first("unit").alias("unit"), F.count("*").alias("m"), F.min("vec_id").alias("low"))
+        .agg(
+            F.when(F.min("check") == F.max("check"), F.first("unit")).otherwise(F.raise_error(F.lit("two vectors share a 64-bit hash"))).alias("unit"),
+            F.count("*").alias("m"),
+            F.min("vec_id").alias("low"),
+        )
         .select("c", "unit", (F.length("unit") / 8).cast("int").alias("dim"), "m", "low")
         .mapInArrow(narrow, "c long, unit binary, dim int, m long, low long, small binary")
     )
     n = nodes.count()
     bits = int(min(40, max(1, np.ceil(np.log2(max(2, n) / 8)))))
-    sample = nodes.orderBy(F.xxhash64("c", F.lit(seed))).limit(AUDIT).select("c", "unit").collect()
-    truth = _true_links(nodes, sample, threshold)
+    spread = nodes.orderBy(F.xxhash64("c", F.lit(seed))).limit(AUDIT).select("c", "unit").collect()
+    truth_of_spread = stage(_true_links(nodes, spread, threshold))
 
-    def settled(links):
+    def settled(links, graph):
         comp = stage(components(links).withColumnRenamed("id", "c"))
         counted = stage(count_links(comp.join(nodes.select("c", "unit", "m"), "c"), threshold))
-        each = truth.join(counted, "c", "left").join(nodes.select("c", "m"), "c").select((F.col("truth") - 1).alias("t"), (F.coalesce("links", "m") - 1).alias("f"))
-        got = each.agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.avg(F.try_divide("f", "t")).alias("each")).first()
-        recall = 1.0 if not got["t"] else got["f"] / got["t"]
-        # A large component must not hide vectors of small ones: recall is asked of links and of vectors.
-        return comp, counted, recall, min(recall, 1.0 if got["each"] is None else got["each"]) >= RECALL
+        # Few vectors have links, so the audit also takes some that have a near one.
+        near = graph.where(F.col("s") >= threshold - NEAR).select(F.col("a").alias("c")).distinct()
+        likely = near.join(nodes, "c").orderBy(F.xxhash64("c", F.lit(seed))).limit(AUDIT).select("c", "unit").collect()
+        recalls = []
+        for truth in (truth_of_spread, _true_links(nodes, likely, threshold)):
+            each = truth.join(counted, "c", "left").join(nodes.select("c", "m"), "c").select((F.col("truth") - 1).alias("t"), (F.coalesce("links", "m") - 1).alias("f"))
+            got = each.agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.avg(F.try_divide("f", "t")).alias("each")).first()
+            # A large component must not hide vectors of small ones: recall is asked of links and of vectors.
+            recalls += [got["f"] / got["t"], got["each"]] if got["t"] else []
+        return comp, counted, min(recalls, default=None), min(recalls, default=1.0) >= RECALL
 
     graph = None
     for attempt in range(3):
@@ -291,7 +303,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
         close = graph.where(F.col("s") >= threshold - 1e-4).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         one, two = nodes.select(F.col("c").alias("u"), F.col("unit").alias("pu")), nodes.select(F.col("c").alias("v"), F.col("unit").alias("pv"))
         links = stage(close.join(one, "u").join(two, "v").select("u", "v", "pu", "pv").mapInArrow(_verify, "u long, v long, cos double").where(F.col("cos") >= threshold).select("u", "v"))
-        comp, counted, recall, enough = settled(links)
+        comp, counted, recall, enough = settled(links, graph)
         # Lists without an entry below the threshold, and those that lack links counted in the component, are searched whole.
         ends = links.union(links.select("v", "u")).toDF("c", "o")
         have = ends.join(nodes.select(F.col("c").alias("o"), "m"), "o").groupBy("c").agg(F.sum("m").alias("have"))
@@ -301,11 +313,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
         if not queries.isEmpty():
             more = stage(bridges(nodes, comp, queries, threshold))
             if not more.isEmpty():
-                comp, counted, recall, enough = settled(links.union(more))
+                comp, counted, recall, enough = settled(links.union(more), graph)
         if enough:
             break
     else:
-        comp, counted, recall, _ = settled(links.union(bridges(nodes, comp, nodes.select("c"), threshold)))
+        comp, counted, recall, _ = settled(links.union(bridges(nodes, comp, nodes.select("c"), threshold)), graph)
 
     named = nodes.select("c", "m", "low").join(comp, "c", "left").withColumn("root", F.coalesce("component", "c"))
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -313,5 +325,5 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
     linked = rows.where("unit is not null").select("vec_id", "c").join(result, "c").select("vec_id", "n_links", "component_id")
     alone = rows.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select(
-        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("audit_recall")
+        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall")
     )
