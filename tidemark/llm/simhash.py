@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hidden_names, rows_per_batch, slices, stage
+from tidemark.llm.common import hidden_names, join_dealt, rows_per_batch, slices, stage
 from tidemark.llm.golay import codeword_keys
 from tidemark.llm.graph import components
 
@@ -98,8 +98,8 @@ def golay_keys(words: DataFrame) -> DataFrame:
 def links(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) whose components are those of all links of at most two bits."""
     keys = golay_keys(words)
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    shared = stage(shared)
+    sizes = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stage(join_dealt(keys, sizes, ["key"], "fp"))
     pairs = (
         shared.where(F.col("n") <= bucket)
         .groupBy("key")
