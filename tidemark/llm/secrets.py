@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, text_or_empty
+from tidemark.functions.statistics import erfc
+from tidemark.llm.common import hidden_names, stage, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Whole runs of at least so many characters, as the shorter runs are dropped anyway.
@@ -42,29 +43,84 @@ ENCODINGS = (
 )
 
 
+#: Items of an array that are folded at once, and characters that are looked at one by one at once.
+PART, CHARACTERS = 256, 4096
+_SPAN = "struct<start:int,kind:int,end:int,value:string>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(size: Column, part: int) -> Column:
+    """Where the parts of that many things begin."""
+    return F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(part))
+
+
+def _folded(items: Column, kind: str, step) -> Column:
+    """(at, since, out) after ``step`` over all items; ``out`` is an array of ``kind``, ``at`` starts from 0 and ``since`` from -1.
+
+    Items are folded part by part, so that appending copies a part and not all
+    that came before: linear in the items but for a list of parts.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc, some):
+        folded = F.aggregate(some, F.struct(acc["at"].alias("at"), acc["since"].alias("since"), none.alias("out")), step)
+        return _let(folded, lambda d: F.struct(d["at"].alias("at"), d["since"].alias("since"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("since"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    parts = F.transform(_parts(F.size(items), PART), lambda i: F.slice(items, i + 1, PART))
+    return F.aggregate(parts, start, add, lambda acc: F.struct(acc["at"].alias("at"), acc["since"].alias("since"), F.flatten(acc["out"]).alias("out")))
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """All leftmost non-overlapping matches: array of (start, kind, end, value), in code points."""
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc, m):
         begin = acc["at"] + F.char_length(m["0"])
         end = begin + F.char_length(m["1"])
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["2"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), acc["since"].alias("since"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     matches = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("0"), whole.alias("1"), value.alias("2"))
-    found = F.aggregate(matches, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = _let(matches, lambda m: _folded(m, _SPAN, step)["out"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _chars(v: Column) -> Column:
     return F.regexp_extract_all(v, F.lit("."), F.lit(0))
 
 
+def _symbols(v: Column) -> Column:
+    """The distinct characters of a token; a long one is asked for each that tokens may hold."""
+    alphabet = F.array(*[F.lit(x) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"])
+    return F.when(F.char_length(v) > CHARACTERS, F.filter(alphabet, lambda a: v.contains(a))).otherwise(F.array_distinct(_chars(F.substring(v, 1, CHARACTERS))))
+
+
+def _sums(v: Column) -> Column:
+    """Sum s, sum of squares q and sum of neighbours' products c of a token's character codes; few characters are held at once."""
+    zero = F.lit(0.0)
+
+    def add(acc, i):
+        codes = F.transform(_chars(F.substring(v, i + 1, F.lit(CHARACTERS + 1))), lambda x: F.ascii(x).cast("double"))  # and the next part's first
+        own = lambda c: F.slice(c, 1, CHARACTERS)
+        return _let(
+            codes,
+            lambda c: F.struct(
+                F.aggregate(own(c), acc["s"], lambda a, x: a + x).alias("s"),
+                F.aggregate(own(c), acc["q"], lambda a, x: a + x * x).alias("q"),
+                F.aggregate(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: x * y), acc["c"], lambda a, x: a + x).alias("c"),
+            ),
+        )
+
+    return F.aggregate(_parts(F.char_length(v), CHARACTERS), F.struct(zero.alias("s"), zero.alias("q"), zero.alias("c")), add)
+
+
 def score(v: Column) -> Column:
     """How unlike text a token of ASCII characters is: standard normal for text, strongly negative for random."""
     k = F.lit(64)
@@ -73,8 +129,7 @@ def score(v: Column) -> Column:
         fits = v.rlike(f"^(?:{pattern})$")
         k, uneven = F.when(fits, F.lit(size)).otherwise(k), F.when(fits, F.lit(share)).otherwise(uneven)
     n = F.char_length(v).cast("double")
-    c = _chars(v)
-    squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda a, x: a + F.pow(n - F.char_length(F.replace(v, x, F.lit(""))), 2))
+    squares = F.aggregate(_symbols(v), F.lit(0.0), lambda a, x: a + F.pow(n - F.char_length(F.replace(v, x, F.lit(""))), 2))
     chi = squares * k / n - n
     z_chi = (chi - (k - 1) - n * uneven) / F.sqrt(2 * (k - 1) + 4 * n * uneven)
 
@@ -85,31 +140,18 @@ def score(v: Column) -> Column:
     runs = F.char_length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
     z_runs = (CHANGES * steps - runs) / F.sqrt(steps * CHANGES * (1 - CHANGES))
 
-    codes = F.transform(c, lambda x: F.ascii(x).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x) - n * mean * mean
-    pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda x, y: x * y)
-    cross = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) - n * mean * mean
+    sums = _sums(v)
+    mean = sums["s"] / n
+    spread = sums["q"] - n * mean * mean
+    cross = sums["c"] - n * mean * mean
     serial = F.when(spread > 1e-9, F.least(F.lit(1.0), F.abs(cross / spread))).otherwise(F.lit(1.0))
     z_serial = (serial - ORDERED) * F.sqrt(n)
     return (z_chi + z_runs + z_serial) / F.sqrt(F.lit(3.0))
 
 
-def _normal(z: Column) -> Column:
-    """The normal distribution function: a published rational form of erfc (relative error about 1e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * x)
-    #: Fixed values of that form.
-    poly = F.lit(0.0)
-    for a in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = poly * t + a
-    tail = t * F.exp(-x * x + poly) / 2
-    return F.when(z <= 0, tail).otherwise(1 - tail)
-
-
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` (spans of the patterns) and ``_tokens`` (start, end, bin, class of tested tokens)."""
-    text = text_or_empty()
+    text = text_or_empty(text)
     assign = F.filter(_spans(text, ASSIGN, 0, 2), lambda s: F.char_length(s["value"]) >= VALUE)
     found = docs.withColumn("_base", F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     free = F.filter(_spans(text, TOKEN, 3), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -127,7 +169,7 @@ def thresholds(scanned: DataFrame, rate: float = RATE) -> DataFrame:
     counts = scanned.select(F.explode("_tokens").alias("k")).groupBy(F.col("k.class").alias("class"), F.col("k.bin").alias("bin")).agg(F.count("*").alias("n"))
     up = Window.partitionBy("class").orderBy("bin")
     whole = Window.partitionBy("class")
-    p = _normal((F.col("bin") + 1) / F.lit(float(STEP)))
+    p = 0.5 * erfc(-(F.col("bin") + 1) / F.lit(float(STEP)) / F.sqrt(F.lit(2.0)))  # normal
     ok = counts.withColumn("upto", F.sum("n").over(up)).withColumn("m", F.sum("n").over(whole)).where(p * F.col("m") <= rate * F.col("upto"))
     best = ok.groupBy("class").agg(F.max("bin").alias("limit"))
     return best.agg(F.map_from_entries(F.collect_list(F.struct("class", "limit"))).alias("_limits"))
@@ -174,16 +216,53 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of the text replaced by ``mask``; no row goes. A null text stays null."""
-    small = stage(scan(docs.select("text")).where(F.size("_tokens") > 0).select("_tokens"))
-    df = judged(scan(docs), thresholds(small))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    """``docs`` (text, ...) with every found span of the text replaced by ``mask``, overlapping ones by one; all columns stay, whatever their names.
+
+    No row goes. A null text stays null; texts of any length are scanned whole,
+    once, and a masked one is put together block by block. Repeated rows and
+    null doc_ids are masked like any other; an empty table gives an empty one.
+    """
+    hidden, names = hidden_names(docs)
+    own = f"_c{docs.columns.index('text')}"
+    scanned = stage(scan(hidden, own))
+    df = judged(scanned, thresholds(scanned)).withColumn("_gone", _united(F.col("_spans")))
+    text = F.when(F.size("_gone") > 0, _masked(F.col(own), F.col("_gone"), mask)).otherwise(F.col(own))
+    return df.withColumn(own, text).select(*names)
+
+
+def _united(spans: Column) -> Column:
+    """Spans by start -> their unions (start, end)."""
+    kind = "struct<start:int,end:int>"
+
+    def held(acc):
+        return F.when(acc["since"] < 0, F.array().cast(f"array<{kind}>")).otherwise(F.array(F.struct(acc["since"].alias("start"), acc["at"].alias("end"))))
 
     def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"], F.greatest(s["start"] + 1 - acc["at"], F.lit(0)))
-        out = F.when(s["start"] + 1 >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), out.alias("out"))
+        new = (acc["since"] < 0) | (s["start"] >= acc["at"])
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, s["start"]).otherwise(acc["since"]).alias("since"), F.when(new, F.concat(acc["out"], held(acc))).otherwise(acc["out"]).alias("out")
+        )
+
+    return _let(_folded(spans, kind, step), lambda d: F.concat(d["out"], held(d)))
+
+
+def _masked(text: Column, gone: Column, mask: str, block: int = 1 << 16) -> Column:
+    """The text without the spans ``gone``, each block of it cut on its own, as a place in a long text is found by walking there."""
+
+    def cut(piece, i):
+        lo = i * block
+        inside = F.filter(gone, lambda s: (s["start"] < lo + block) & (s["end"] > lo))
+
+        def before(all_):
+            def one(s, k):
+                begin = F.when(k > 0, F.element_at(all_, F.greatest(k, F.lit(1)))["end"] - lo).otherwise(F.lit(0))  # the span before
+                kept = F.substring(piece, begin + 1, F.greatest(s["start"] - lo - begin, F.lit(0)))
+                return F.concat(kept, F.when(s["start"] >= lo, F.lit(mask)).otherwise(F.lit("")))
+
+            rest = F.when(F.size(all_) > 0, F.substring(piece, F.element_at(all_, -1)["end"] - lo + 1, F.lit(block))).otherwise(piece)
+            return F.concat(F.array_join(F.transform(all_, one), ""), rest)
+
+        return _let(inside, before)
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.char_length("text"))))
-    text = F.when(F.size("_spans") > 0, masked).otherwise(F.col("text")).alias("text")
-    return df.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return F.array_join(F.transform(pieces, cut), "")
