@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import hidden_names, stage
 from tidemark.llm.textmodel import FEATURES, SAMPLE, choose_features, labelled_sample, matrix, minimise, per_document
 
-#: Steps after which a fit that neither meets its targets nor stands still is an error.
+#: Steps after which a fit ends that neither meets its targets nor stands still; what it reached is logged and returned.
 STEPS, TOLERANCE = 300, 1e-4
 #: Movement of a plain gradient step (part of all tokens) at which rates stand still: the targets are out of reach.
 STILL = 1e-7
@@ -155,7 +155,7 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolera
         done.append((momentum, weight @ push))
         age, worst = age + 1, size
     else:
-        raise RuntimeError(f"mixing: rates not settled after {steps} steps; shares wanted {goal.tolist()}, reached {sums[:k].tolist()}")
+        log.warning("mixing: rates not settled after %s steps; shares wanted %s, reached %s", steps, goal.tolist(), sums[:k].tolist())
     out = known.withColumn("rate", _rate(done, k, least))
     out.reached = (sums[:k] * total).tolist()
     return out
@@ -183,15 +183,25 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def repeated_targets(known: DataFrame, targets: dict[str, float]) -> list[float]:
-    """Target tokens of each domain at the smallest corpus that has the target shares and all rows at least once.
+    """Target tokens of each domain, with the target shares, that rates of 1 or more can meet.
 
-    A domain without a share keeps its tokens, as no row goes.
+    Rates 1 + p.c add G c tokens (G the Gram matrix of the posteriors, by
+    tokens); the smallest corpus with c >= 0 is taken. A domain without a share
+    keeps its tokens and what the others' rows bring. Where posteriors tell the
+    domains too badly apart for that, every domain is given at least its tokens.
     """
-    own = known.agg(*[F.sum(F.col("p")[i] * F.col("tokens")) for i in range(len(DOMAINS))]).first()
-    own = [x or 0.0 for x in own]
-    share = sum(targets.values())
-    size = max((n / (targets[d] / share) for d, n in zip(DOMAINS, own) if targets[d] > 0), default=0.0)
-    return [max(n, targets[d] / share * size) for d, n in zip(DOMAINS, own)]
+    k = len(DOMAINS)
+    p, t = [F.col("p")[i] for i in range(k)], F.col("tokens")
+    sums = [x or 0.0 for x in known.agg(*[F.sum(a * t) for a in p], *[F.sum(a * b * t) for a in p for b in p]).first()]
+    own, gram = np.array(sums[:k]), np.array(sums[k:]).reshape(k, k)
+    share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
+    plain = max((n / x for n, x in zip(own, share) if x > 0), default=0.0)
+    wanted = np.flatnonzero(share > 0)
+    inner = np.linalg.pinv(gram[np.ix_(wanted, wanted)], rcond=1e-9, hermitian=True)
+    up, now = inner @ share[wanted], inner @ own[wanted]
+    if own.any() and (up > 0).all() and (size := float((now / up).max())) < 4 * plain:
+        return (own + gram[:, wanted] @ (size * up - now)).tolist()
+    return np.maximum(own, share * plain).tolist()
 
 
 def repeat_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
