@@ -1,4 +1,4 @@
-"""Text, URL and name classifiers as Columns. Word lists and catalogs are parameters."""
+"""Text, URL and name classifiers as Columns. Catalogs and lists are parameters; patterns are the fixed values below."""
 
 from __future__ import annotations
 
