@@ -113,35 +113,53 @@ def first_graph(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFram
     return coded.repartitionByRange("run", "dim", "code", "along").sortWithinPartitions("run", "dim", "code", "along").mapInPandas(runs, "a long, b long, s float")
 
 
-def _top(edges: DataFrame, threshold: float, width: DataFrame | None) -> DataFrame:
-    """The best ``k`` neighbours of each vector (a, b, s, rank, k), and all links found; ``width`` (a, k) names those with longer lists."""
-    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+def _top(edges: DataFrame, threshold: float, width: DataFrame | None, now: int) -> DataFrame:
+    """The best ``k`` neighbours of each vector (a, b, s, rank, k), and all links found; ``width`` (a, k) names those with longer lists.
+
+    ``born`` tells in which round an edge entered its list.
+    """
+    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("born").alias("born"))
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     ranked = one.withColumn("rank", F.row_number().over(order))
     ranked = ranked.withColumn("k", F.lit(K)) if width is None else ranked.join(width, "a", "left").fillna({"k": K})
-    return ranked.where((F.col("rank") <= F.col("k")) | (F.col("s") >= threshold - 1e-4))
+    inside = F.col("rank") <= F.col("k")
+    kept = ranked.where(inside | (F.col("s") >= threshold - 1e-4))
+    return kept.withColumn("born", F.when(inside, F.coalesce("born", F.lit(now))))
+
+
+def _found(edges: DataFrame) -> DataFrame:
+    """Edges that are in no list yet."""
+    return edges.select("a", "b", "s", F.lit(None).cast("int").alias("born"))
 
 
 def _local_join(batches):
+    """Lists (ids, news, units) -> edges of all pairs in them but those of two old neighbours, which have met before."""
     for batch in batches:
-        for ids, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = np.array(ids)
-            x = _matrix(units, np.float32)
+        for ids, news, units in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            c, first, place = np.unique(np.array(ids), return_index=True, return_inverse=True)
+            old = np.bincount(place, np.array(news, dtype=float)) == 0
+            x = _matrix([units[i] for i in first], np.float32)
             s = x @ x.T
+            s[np.ix_(old, old)] = -3.0
             np.fill_diagonal(s, -3.0)
             a, b, v = _best(c, c, s, 6)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v)], names=["a", "b", "s"])
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: every vector compares its neighbours, and those it is a neighbour of, with each other."""
+def descend(graph: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
+    """One round: every vector compares its neighbours, and those it is a neighbour of, with each other.
+
+    Pairs without a neighbour that is new since the last round have met before,
+    so lists without one are not joined with their vectors at all.
+    """
     graph = graph.where("rank <= k")
     order = Window.partitionBy("b").orderBy(F.desc("s"), "a")
-    back = graph.withColumn("r", F.row_number().over(order)).where(F.col("r") <= K).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    around = graph.select("a", "b").union(back).distinct()
-    met = around.join(nodes.select(F.col("c").alias("b"), "dim", "small"), "b")
-    groups = met.groupBy("a", "dim").agg(F.collect_list("b").alias("ids"), F.collect_list("small").alias("units")).where(F.size("ids") > 1)
-    return groups.select("ids", "units").mapInArrow(_local_join, "a long, b long, s float")
+    back = graph.withColumn("r", F.row_number().over(order)).where(F.col("r") <= K).select(F.col("b").alias("a"), F.col("a").alias("b"), "born")
+    around = graph.select("a", "b", "born").union(back)
+    lists = around.groupBy("a").agg(F.collect_set(F.struct("b", (F.col("born") == now).alias("new"))).alias("m")).where(F.exists("m", lambda m: m["new"]))
+    met = lists.select("a", F.explode("m").alias("m")).select("a", "m.b", "m.new").join(nodes.select(F.col("c").alias("b"), "dim", "small"), "b")
+    groups = met.groupBy("a", "dim").agg(F.collect_list("b").alias("ids"), F.collect_list("new").alias("news"), F.collect_list("small").alias("units")).where(F.size("ids") > 1)
+    return groups.select("ids", "news", "units").mapInArrow(_local_join, "a long, b long, s float")
 
 
 def _widths(graph: DataFrame, threshold: float) -> DataFrame:
@@ -288,18 +306,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 7
             recalls += [got["f"] / got["t"], got["each"]] if got["t"] else []
         return comp, counted, min(recalls, default=None), min(recalls, default=1.0) >= RECALL
 
-    graph = None
+    graph, now = None, 0
     for attempt in range(3):
-        new = first_graph(nodes, bits, TABLES << attempt, seed + attempt)
+        new = _found(first_graph(nodes, bits, TABLES << attempt, seed + attempt))
         wide = None if graph is None else _widths(graph, threshold)
-        graph = stage(_top(new if graph is None else new.union(graph.select("a", "b", "s")), threshold, wide))
+        graph = stage(_top(new if graph is None else new.union(graph.select("a", "b", "s", "born")), threshold, wide, now))
         before = 0
         for i in range(MOST_ROUNDS):
-            graph = stage(_top(descend(graph, nodes).union(graph.select("a", "b", "s")), threshold, _widths(graph, threshold)))
+            met = _found(descend(graph, nodes, now))
+            now += 1
+            graph = stage(_top(met.union(graph.select("a", "b", "s", "born")), threshold, _widths(graph, threshold), now))
             found = graph.where(F.col("s") >= threshold - 1e-4).count()
             if i + 1 >= ROUNDS and found - before <= GROWTH * found:
                 break
             before = found
+        now += 1
         close = graph.where(F.col("s") >= threshold - 1e-4).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         one, two = nodes.select(F.col("c").alias("u"), F.col("unit").alias("pu")), nodes.select(F.col("c").alias("v"), F.col("unit").alias("pv"))
         links = stage(close.join(one, "u").join(two, "v").select("u", "v", "pu", "pv").mapInArrow(_verify, "u long, v long, cos double").where(F.col("cos") >= threshold).select("u", "v"))
