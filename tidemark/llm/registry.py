@@ -9,6 +9,8 @@ from tidemark.llm.lempel_ziv import fingerprints
 from tidemark.llm.mixing import mixing_rates
 from tidemark.llm.neighbours import near_vectors
 from tidemark.llm.packing import TOKENIZER, pack_documents
+from tidemark.llm.prefixes import TOKENIZER as BYTE_TOKENIZER
+from tidemark.llm.prefixes import count_tokens
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.substring import remove_repeats
@@ -39,10 +41,10 @@ def op6_dom_boosting(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
-def tokenizer_file():
+def tokenizer_file(name: str = TOKENIZER):
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op7_best_fit_packing(spark, sf_dir):
@@ -61,6 +63,10 @@ def op10_simhash_golay(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER))
+
+
 def queries():
     return {
         "op1_ordinal_toxicity": op1_ordinal_toxicity,
@@ -73,6 +79,7 @@ def queries():
         "op8_randomness_battery": op8_randomness_battery,
         "op9_hilbert_shards": op9_hilbert_shards,
         "op10_simhash_golay": op10_simhash_golay,
+        "op11_prefix_counts": op11_prefix_counts,
     }
 
 
