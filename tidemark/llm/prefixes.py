@@ -12,9 +12,12 @@ in a special string), its count is worked out for the cut it has.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from functools import cache
+from itertools import accumulate
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -34,17 +37,28 @@ _NEVER = sys.maxsize
 #: Contractions of three signs that the pre-tokenizer keeps whole; their first two signs alone are two pieces.
 _LONG_CONTRACTIONS = {"'re", "'ve", "'ll"}
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+#: Plain letters and signs (no apostrophe): a run of these is a piece if nothing that may belong to it follows.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?%&$*#"()\-'
+
+
+def _byte_signs() -> dict[str, str]:
+    """The printable sign that stands for a byte in the vocabulary -> the byte: printable bytes are themselves, others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
 
 
 class PrefixCounter(dict):
-    """Unit of a text (white space and what follows) -> differences of the counts at its prefixes, as 16-bit numbers.
+    """Unit of a text -> differences of the counts at its prefixes, as 16-bit numbers.
 
-    Units are pieces of their own whatever stands around them. The dictionary
-    keeps short ones and forgets everything when full. ``counter`` shares one
-    between the tasks of a worker.
+    A unit is a plain word with the space before it, a run of plain signs, or
+    white space and all that follows up to the next white space; it holds whole
+    pieces whatever stands around it. The dictionary keeps short units and
+    forgets everything when full. ``counter`` shares one between the tasks of a
+    worker.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 700_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -55,35 +69,40 @@ class PrefixCounter(dict):
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in plain["added_tokens"]):
             raise ValueError(f"{file} has added tokens that take signs around them")
         self.most, self.cut = most, Tokenizer.from_file(file).pre_tokenizer.pre_tokenize_str
-        vocabulary = model["vocab"]
+        vocabulary, signs = model["vocab"], _byte_signs()
         self.special = [t["content"] for t in plain["added_tokens"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
-        self.tokens = ahocorasick.Automaton()
-        self.length = {}
-        for t, i in vocabulary.items():
-            if t not in self.special:
-                self.tokens.add_word(t, i)
-                self.length[i] = len(t)
-        self.tokens.make_automaton()
         self.rank, self.parts = {}, {}
         for n, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             pair = vocabulary[a], vocabulary[b]
             self.rank[pair] = n
             self.parts[vocabulary[a + b]] = pair
-        white = "".join(regex.escape(c) for c in _SPACES if len(self.cut(f"!{c}!")) > 1)
-        self.units = regex.compile(f"[{white}]*[^{white}]+|[{white}]+").findall
-        self.white = regex.compile(f"[{white}]*")
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         self.sound: dict[int, bool] = {}
+        self.tokens = ahocorasick.Automaton()
+        for t, i in vocabulary.items():
+            if t not in self.special and self._stands(i):
+                self.tokens.add_word("".join([signs[c] for c in t]), (len(t), i << 32))
+        self.tokens.make_automaton()
+        white = "".join(re.escape(c) for c in _SPACES if len(self.cut(f"!{c}!")) > 1)
+        word, signs = f" ?[{_LETTERS}]+", f"[{_SIGNS}]+"
+        plain = f"{word}(?=[{white}{_SIGNS}'0-9]|\\Z)|{signs}(?=[{white}{_LETTERS}0-9]|\\Z)|\n(?=[{_LETTERS}])"
+        self.units = re.compile(f"{plain}|[{white}]*[^{white}]+|[{white}]+").findall
+        self.plain = re.compile(f"{word}|{signs}|\n").fullmatch
+        self.white = re.compile(f"[{white}]*")
+        self.beside: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The token at an end of a token, from a byte up to the whole, each with the rank of the merge that it enters."""
-        out = [(token, _NEVER)]
-        while pair := self.parts.get(token):
-            out.append((pair[side], self.rank[pair]))
-            token = pair[side]
-        return out[::-1]
+        known = self.edges[side].get(token)
+        if known is None:
+            whole, known = token, [(token, _NEVER)]
+            while pair := self.parts.get(token):
+                known.append((pair[side], self.rank[pair]))
+                token = pair[side]
+            known = self.edges[side][whole] = known[::-1]
+        return known
 
     def _met(self, a: int, b: int) -> tuple[int, int] | None:
         """What is merged first over the boundary of two tokens; None if nothing ever is.
@@ -92,9 +111,10 @@ class PrefixCounter(dict):
         boundary comes after one of the same rank in ``a``.
         """
         left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
+        rank = self.rank.get
         while True:
             (x, grows), (y, other) = left[i], right[j]
-            over = self.rank.get((x, y), _NEVER)
+            over = rank((x, y), _NEVER)
             if over < grows and over <= other:
                 return x, y
             if grows == other == _NEVER:
@@ -104,14 +124,6 @@ class PrefixCounter(dict):
             else:
                 j += 1
 
-    def _apart(self, a: int, b: int) -> bool:
-        found = self.beside.get((a, b))
-        if found is None:
-            if len(self.beside) > self.most:
-                self.beside.clear()
-            found = self.beside[a, b] = self._met(a, b) is None
-        return found
-
     def _stands(self, token: int) -> bool:
         """Whether the bytes of a token are encoded as that token."""
         found = self.sound.get(token)
@@ -121,38 +133,46 @@ class PrefixCounter(dict):
         return found
 
     def counts(self, piece: str) -> list[int]:
-        """The count at every prefix of a piece (a sign a byte), that of no byte first."""
-        count, last = [0] * (len(piece) + 1), [0] * (len(piece) + 1)
-        for at, token in self.tokens.iter(piece):
+        """The count at every prefix of a piece, in code points."""
+        data = piece if piece.isascii() else piece.encode().decode("latin-1")
+        count, last, beside = [0] * (len(data) + 1), [0] * (len(data) + 1), self.beside
+        for at, (n, token) in self.tokens.iter(data):
             end = at + 1
-            start = end - self.length[token]
-            if not count[end] and self._stands(token) and (not start or self._apart(last[start], token)):
-                count[end], last[end] = count[start] + 1, token
-        return count
+            if count[end]:
+                continue
+            start = end - n
+            if start:
+                pair = last[start] | token
+                apart = beside.get(pair)
+                if apart is None:
+                    if len(beside) >= self.most:
+                        beside.clear()
+                    apart = beside[pair] = self._met(last[start], token >> 32) is None
+                if not apart:
+                    continue
+            count[end], last[end] = count[start] + 1, token >> 32
+        if len(data) == len(piece):
+            return count[1:]
+        return [count[e] for e in accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in piece)]
 
     def _counted(self, unit: str) -> list[int]:
         """The count at every prefix of a unit, in code points."""
+        if self.plain(unit):
+            return self.counts(unit)
         out, base = [], 0
-        for piece, (start, end) in self.cut(unit):
-            count = self.counts(piece)
-            if len(piece) == end - start:
-                out += [base + n for n in count[1:]] if base else count[1:]
-            else:
-                at = 0
-                for c in unit[start:end]:
-                    at += 1 + (c > "\x7f") + (c > "߿") + (c > "￿")
-                    out.append(base + count[at])
+        for _, (start, end) in self.cut(unit):
+            out += [base + n for n in self.counts(unit[start:end])]
             if unit[start:end] in _LONG_CONTRACTIONS:
-                out[start + 1] = base + 2
-            base += count[-1]
+                out[-2] = base + 2
+            base = out[-1]
         n = self.white.match(unit).end()
         if 1 < n < len(unit):  # the last white sign goes with the word only once there is a word
-            out[n - 1] = self.counts(self.cut(unit[:n])[0][0])[-1]
+            out[n - 1] = self.counts(unit[:n])[-1]
         return out
 
     def __missing__(self, unit: str) -> bytes:
         count = self._counted(unit)
-        made = array("h", [b - a for a, b in zip([0, *count], count)]).tobytes()
+        made = array("h", map(sub, count, [0, *count])).tobytes()
         if len(unit) <= 40:
             if len(self) >= self.most:
                 self.clear()
@@ -173,7 +193,7 @@ class PrefixCounter(dict):
                 cut = self._counted(tail + special)[len(tail) : -1]
                 whole = sum(array("h", self[tail])) if tail else 0
                 run = [whole, *cut, whole + 1]
-                out.append(array("h", [b - a for a, b in zip(run, run[1:])]).tobytes())
+                out.append(array("h", map(sub, run[1:], run)).tobytes())
         return np.frombuffer(b"".join(out), np.int16)
 
 
