@@ -41,7 +41,7 @@ _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,;:!?%&$*#"()\-'
 
 
-def _byte_signs() -> dict[str, str]:
+def byte_signs() -> dict[str, str]:
     """The printable sign that stands for a byte in the vocabulary -> the byte: printable bytes are themselves, others follow from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in shown]
@@ -69,7 +69,7 @@ class PrefixCounter(dict):
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in plain["added_tokens"]):
             raise ValueError(f"{file} has added tokens that take signs around them")
         self.most, self.cut = most, Tokenizer.from_file(file).pre_tokenizer.pre_tokenize_str
-        vocabulary, signs = model["vocab"], _byte_signs()
+        vocabulary, signs = model["vocab"], byte_signs()
         self.special = [t["content"] for t in plain["added_tokens"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
         self.rank, self.parts = {}, {}

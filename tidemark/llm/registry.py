@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.alignment import LEFT, RIGHT, align_tokenizers
 from tidemark.llm.common import table
 from tidemark.llm.hilbert import hilbert_shards
 from tidemark.llm.html import extract
@@ -67,6 +68,10 @@ def op11_prefix_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file(LEFT), tokenizer_file(RIGHT))
+
+
 def queries():
     return {
         "op1_ordinal_toxicity": op1_ordinal_toxicity,
@@ -80,6 +85,7 @@ def queries():
         "op9_hilbert_shards": op9_hilbert_shards,
         "op10_simhash_golay": op10_simhash_golay,
         "op11_prefix_counts": op11_prefix_counts,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
