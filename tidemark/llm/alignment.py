@@ -36,6 +36,14 @@ _SPACE = "▁"
 _RIGHT = np.uint32(1 << 31)
 
 
+def _interleaved(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The parts that ``i`` and ``j`` cut (from 0 to the lengths), each part of ``left`` before that of ``right``."""
+    out = np.empty(len(left) + len(right), left.dtype)
+    out[np.arange(len(left)) + np.repeat(j[:-1], np.diff(i))] = left
+    out[np.arange(len(right)) + np.repeat(i[1:], np.diff(j))] = right
+    return out
+
+
 class Aligner:
     """Both tokenizers, the ids of units and the alignments of windows seen so far. ``aligner`` shares one between tasks.
 
@@ -44,7 +52,7 @@ class Aligner:
     the text. Full dictionaries forget everything.
     """
 
-    def __init__(self, left: str, right: str, most: int = 150_000):
+    def __init__(self, left: str, right: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -62,7 +70,9 @@ class Aligner:
         white = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
         # Spaces and other white space, then no white space; again as long as white space that is no space follows.
         self.units = re.compile(f"[ {white}]*[^ {white}]+(?:[{white}][ {white}]*[^ {white}]+)*(?:[ {white}]+\\Z)?|[ {white}]+").findall
-        self.ids: dict[str, tuple[bytes, bytes] | None] = {}
+        # Ids written: those of the first tokenizer before a comma or the group's bar, those of the second before a comma or its end.
+        self.written = pa.array([f"{i}{end}" for sizes, ends in zip(self.sizes, (",|", ",;")) for end in ends for i in range(len(sizes))], pa.large_binary())
+        self.ids: dict[str, bytes | None] = {}
         self.windows: dict[bytes, tuple[bytes, int, bytes]] = {}
 
     @staticmethod
@@ -83,41 +93,50 @@ class Aligner:
 
     def _keep(self, units: list[str], data: list[bytes], left: list[int], right: list[int]) -> None:
         cuts = np.cumsum([0, *map(len, data)])
-        out = []
-        for ids, sizes in ((left, self.sizes[0]), (right, self.sizes[1])):
+        both, at = [], []
+        for ids, sizes, mark in ((left, self.sizes[0], 0), (right, self.sizes[1], _RIGHT)):
             ids = np.array(ids, np.uint32)
             ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-            at = np.searchsorted(ends, cuts)
-            if ends[-1] != cuts[-1] or (ends[at] != cuts).any():
+            found = np.searchsorted(ends, cuts)
+            if ends[-1] != cuts[-1] or (ends[found] != cuts).any():
                 break
-            raw = ids.tobytes()
-            out.append([raw[4 * a : 4 * b] for a, b in zip(at.tolist(), at[1:].tolist())])
-        if len(out) == 2 and b"".join([self.bytes_right[i] for i in right]) == b"".join(data):
-            self.ids.update(zip(units, zip(*out)))
+            both.append(ids | np.uint32(mark))
+            at.append(found)
+        if len(both) == 2 and b"".join([self.bytes_right[i] for i in right]) == b"".join(data):
+            raw, ends = _interleaved(*both, *at).tobytes(), (4 * (at[0] + at[1])).tolist()
+            self.ids.update(zip(units, [raw[x:y] for x, y in zip(ends, ends[1:])]))
         elif len(units) > 1:
             for u, d in zip(units, data):
                 self._keep([u], [d], self.left.encode(u, add_special_tokens=False).ids, self.right.encode(u[1:]))
         else:
             self.ids[units[0]] = None
 
-    def align(self, window: bytes) -> tuple[bytes, int, bytes]:
-        """A window's groups as text (each ends with a semicolon), their number, and its links as pairs of 32-bit ids."""
-        ids = np.frombuffer(window, np.uint32)
-        n = int((ids < _RIGHT).sum())
-        left, right = ids[:n].tolist(), (ids[n:] ^ _RIGHT).tolist()
-        a, b = self.sizes[0][left].cumsum().tolist(), self.sizes[1][right].cumsum().tolist()
-        groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-        while i < n:
-            links += (left[i], right[j])
-            x, y = a[i], b[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-            if x == y:
-                groups.append(f"{','.join(map(str, left[i0:i]))}|{','.join(map(str, right[j0:j]))};")
-                i0, j0 = i, j
-        return "".join(groups).encode(), len(groups), np.array(links, np.uint32).tobytes()
+    def align(self, new: list[bytes]) -> None:
+        """Keeps for each window its groups as text (each ends with a semicolon), their number, and its links as pairs of 32-bit ids."""
+        ids = np.frombuffer(b"".join(new), np.uint32)
+        second = ids >= _RIGHT
+        ends_of = np.cumsum([len(w) // 4 for w in new])  # in ids of both
+        left, right = ids[~second], ids[second] ^ _RIGHT
+        a, b = np.cumsum(self.sizes[0][left]), np.cumsum(self.sizes[1][right])
+        # Between two neighbouring ends, one token of each side lies: that is a link.
+        segments = np.union1d(a, b)
+        i, j = np.searchsorted(a, segments), np.searchsorted(b, segments)
+        links = np.stack([left[i], right[j]], 1).astype(np.uint32).tobytes()
+        shared = (a[i] == segments) & (b[j] == segments)
+        i1, j1 = i[shared] + 1, j[shared] + 1  # ends of groups
+        last = [np.zeros(len(left), bool), np.zeros(len(right), bool)]
+        last[0][i1 - 1], last[1][j1 - 1] = True, True
+        n, m = map(len, self.sizes)
+        # A group's ids of the first side stand before those of the second.
+        names = _interleaved(left + n * last[0], right + 2 * n + m * last[1], np.concatenate([[0], i1]), np.concatenate([[0], j1]))
+        text = self.written.take(pa.array(names.astype(np.int64)))
+        spelled, cuts = text.buffers()[2].to_pybytes(), np.frombuffer(text.buffers()[1], np.int64)[: len(names) + 1]
+        stops = cuts[ends_of].tolist()
+        window_end = np.cumsum(self.sizes[0][left])[np.cumsum(~second)[ends_of - 1] - 1]  # in bytes
+        link_stops = np.searchsorted(segments, window_end, side="right").tolist()
+        groups = np.cumsum(shared)[np.array(link_stops) - 1].tolist()
+        for w, x, y, u, v, g, h in zip(new, [0, *stops], stops, [0, *link_stops], link_stops, [0, *groups], groups):
+            self.windows[w] = spelled[x:y], h - g, links[8 * u : 8 * v]
 
     def block(self, texts: list[str | None]):
         """The texts of a block aligned: their numbers, groups, and links by the place of their id pair among the block's."""
@@ -139,13 +158,12 @@ class Aligner:
         bad[text_of[np.array([x is None for x in ids], bool)[codes]]] = True
         codes, text_of = codes[~bad[text_of]], text_of[~bad[text_of]]
 
-        sides, ends, counts = [], [], []
-        for side in (0, 1):
-            table = pa.array([b"" if x is None else x[side] for x in ids], pa.large_binary())
-            sides.append(np.frombuffer(table.take(pa.array(codes)).buffers()[2] or b"", np.uint32))
-            per = np.array([0 if x is None else len(x[side]) // 4 for x in ids], np.int64)[codes]
-            counts.append(np.bincount(text_of, per, len(texts)).astype(np.int64))
-            ends.append(np.cumsum(self.sizes[side][sides[side]]))
+        flat = np.frombuffer(pa.array([x or b"" for x in ids], pa.large_binary()).take(pa.array(codes)).buffers()[2] or b"", np.uint32)
+        second = flat >= _RIGHT
+        text_of = np.repeat(text_of, np.array([len(x or b"") // 4 for x in ids], np.int64)[codes])
+        sides = flat[~second], flat[second] ^ _RIGHT
+        counts = [np.bincount(t, minlength=len(texts)) for t in (text_of[~second], text_of[second])]
+        ends = [np.cumsum(sizes[x]) for sizes, x in zip(self.sizes, sides)]
         window_text, codes, table = self._windows(sides, ends, counts)
         known = [self.windows[w] for w in table]
         return counts, window_text, codes, known
@@ -159,19 +177,17 @@ class Aligner:
         starts = [np.append(self.spaced[k][sides[k]], True) for k in (0, 1)]
         anchor = starts[0][i + 1] & starts[1][j + 1]
         i, j = i[anchor] + 1, j[anchor] + 1  # ends of windows
-        i0, j0 = np.concatenate([[0], i[:-1]]), np.concatenate([[0], j[:-1]])
-        keys = np.empty(len(left) + len(right), np.uint32)
-        keys[np.arange(len(left)) + np.repeat(j0[: len(i)], i - i0[: len(i)])] = left
-        keys[np.arange(len(right)) + np.repeat(i, j - j0[: len(j)])] = right | _RIGHT
-        offsets = np.concatenate([[0], 4 * (i + j)]).astype(np.int64)
+        i0, j0 = np.concatenate([[0], i]), np.concatenate([[0], j])
+        keys = _interleaved(left, right | _RIGHT, i0, j0)
+        offsets = (4 * (i0 + j0)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(offsets), pa.py_buffer(keys)]).dictionary_encode()
         table = coded.dictionary.to_pylist()
         new = [w for w in table if w not in self.windows]
         if len(self.windows) + len(new) > self.most:
             self.windows.clear()
             new = table
-        for w in new:
-            self.windows[w] = self.align(w)
+        if new:
+            self.align(new)
         text = np.searchsorted(np.cumsum(counts[0]), i - 1, side="right")
         return text, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), table
 
