@@ -16,6 +16,7 @@ from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.substring import remove_repeats
 from tidemark.llm.toxicity import severity
+from tidemark.llm.variants import spelling_variants
 
 
 def op1_ordinal_toxicity(spark, sf_dir):
@@ -68,6 +69,10 @@ def op11_prefix_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER))
 
 
+def op12_spelling_trie(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark, sf_dir):
     return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file(LEFT), tokenizer_file(RIGHT))
 
@@ -85,6 +90,7 @@ def queries():
         "op9_hilbert_shards": op9_hilbert_shards,
         "op10_simhash_golay": op10_simhash_golay,
         "op11_prefix_counts": op11_prefix_counts,
+        "op12_spelling_trie": op12_spelling_trie,
         "op13_token_alignment": op13_token_alignment,
     }
 
