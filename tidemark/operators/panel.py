@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join, trailing_sums
+from tidemark.operators.dominance import dominance_sums
 
 HOUR, DAY = 3600, 86400
 #: Anchor, label and offset in seconds of the registered decision points.
@@ -210,12 +211,11 @@ def paper_fills(orders: DataFrame, prints: DataFrame, share: float = 0.5) -> Dat
     """Estimated fills of resting NO orders: YES aggressors at or over the order's YES price since it was placed.
 
     A pure function of orders and prints, so running it again changes nothing.
+    Prints are summed in slots of a cent, so neither side is paired with the other.
     """
-    p = prints.where("taker_side = 'yes'").select("ticker", F.col("created_time").alias("_t"), F.col("yes_price_cents").alias("_p"), F.col("count").alias("_c"))
-    hit = orders.select("order_id", "ticker", "price_c", "placed_ts").join(p, "ticker").where("_t >= placed_ts and _p <= 100 - price_c")
-    sums = hit.groupBy("order_id").agg(F.sum("_c").alias("_printed"))
-    df = orders.join(sums, "order_id", "left")
-    df = df.withColumn("filled_qty", F.least(F.col("qty").cast("long"), F.floor(F.coalesce("_printed", F.lit(0)) * F.lit(share)).cast("long"))).drop("_printed")
+    yes = prints.where("taker_side = 'yes'")
+    df = dominance_sums(orders, yes, ["ticker"], "placed_ts", "created_time", 100 - F.col("price_c"), F.col("yes_price_cents"), F.col("count"), "_printed")
+    df = df.withColumn("filled_qty", F.least(F.col("qty").cast("long"), F.floor(F.col("_printed") * F.lit(share)).cast("long"))).drop("_printed")
     return df.withColumn("state", F.when(F.col("filled_qty") <= 0, "resting").when(F.col("filled_qty") < F.col("qty"), "partial").otherwise("filled"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.operators import panel as P
 from tidemark.operators.asof import asof_join, trailing_sums
+from tidemark.operators.dominance import dominance_sums
 from tidemark.sources import tables as S
 
 HORIZONS = (1, 3, 7, 14)
@@ -226,6 +227,20 @@ def coherence(spark, d):
     return df.select("event_ticker", "decision_label", "contracts", "yes_price_sum_cents", "dislocation_cents", "dislocation_side", F.round("multi_leg_return_proxy", 6).alias("proxy"))
 
 
+@query(
+    "j21_order_prints",
+    f"""with {S.TRADES}, o as (select trade_id, ticker, yes_price_cents, created_time from trades where is_block_trade)
+    select o.trade_id as order_id, cast(coalesce(sum(t.count), 0) as bigint) as printed from o left join trades t on t.ticker = o.ticker and t.taker_side = 'yes' and t.created_time >= o.created_time and t.yes_price_cents <= o.yes_price_cents group by o.trade_id""",
+)
+def order_prints(spark, d):
+    """What was bought since each order at its price or below."""
+    t = S.trades(spark, d)
+    orders = t.where("is_block_trade").select(F.col("trade_id").alias("order_id"), "ticker", "yes_price_cents", "created_time")
+    yes = t.where("taker_side = 'yes'")
+    got = dominance_sums(orders, yes, ["ticker"], "created_time", "created_time", F.col("yes_price_cents"), F.col("yes_price_cents"), F.col("count"), "printed")
+    return got.select("order_id", "printed")
+
+
 @query(
     "x24_paper_orders",
     f"""with {S.TRADES}, {S.MARKETS}, o as (select trade_id as order_id, ticker, 100 - yes_price_cents as price_c, 5 + trade_id % 50 as qty, created_time as placed_ts from trades where is_block_trade),

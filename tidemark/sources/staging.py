@@ -22,6 +22,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{root}/{context.applicationId}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder and read again: what follows doesn't depend on the executors that made it."""
+    path = f"{new_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all that has landed: in complete mode the last batch, else all batches."""
     spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
