@@ -44,15 +44,23 @@ def _interleaved(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarr
     return out
 
 
+def _unknown(wanted, young: dict, old: dict) -> list:
+    """What is in neither; what is in ``old`` alone moves to ``young``."""
+    lacking = [x for x in wanted if x not in young]
+    young.update({x: old[x] for x in lacking if x in old})
+    return [x for x in lacking if x not in young]
+
+
 class Aligner:
     """Both tokenizers, the ids of units and the alignments of windows seen so far. ``aligner`` shares one between tasks.
 
     A unit starts with spaces behind another sign; neither tokenizer has a token
     over such a place (checked for ``right``), so ids of units join to those of
-    the text. Full dictionaries forget everything.
+    the text. What is remembered stands in two generations of at most ``most``
+    entries (and those of a block): a full young one becomes the old one.
     """
 
-    def __init__(self, left: str, right: str, most: int = 400_000):
+    def __init__(self, left: str, right: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -74,6 +82,7 @@ class Aligner:
         self.written = pa.array([f"{i}{end}" for sizes, ends in zip(self.sizes, (",|", ",;")) for end in ends for i in range(len(sizes))], pa.large_binary())
         self.ids: dict[str, bytes | None] = {}
         self.windows: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.old_ids, self.old_windows = {}, {}
 
     @staticmethod
     def _table(values: dict[int, bytes], f, kind) -> np.ndarray:
@@ -145,10 +154,9 @@ class Aligner:
         lens = np.array([len(u) for u in units], np.int64)
         flat = [u for per in units for u in per]
         place: dict[str, int] = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-        new = [u for u in place if u not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            new = list(place)
+        if len(self.ids) > self.most:
+            self.ids, self.old_ids = {}, self.ids
+        new = _unknown(place, self.ids, self.old_ids)
         if new:
             self.learn(new)
         ids = [self.ids[u] for u in place]
@@ -182,10 +190,9 @@ class Aligner:
         offsets = (4 * (i0 + j0)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(offsets), pa.py_buffer(keys)]).dictionary_encode()
         table = coded.dictionary.to_pylist()
-        new = [w for w in table if w not in self.windows]
-        if len(self.windows) + len(new) > self.most:
-            self.windows.clear()
-            new = table
+        if len(self.windows) > self.most:
+            self.windows, self.old_windows = {}, self.windows
+        new = _unknown(table, self.windows, self.old_windows)
         if new:
             self.align(new)
         text = np.searchsorted(np.cumsum(counts[0]), i - 1, side="right")
