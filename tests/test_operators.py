@@ -212,3 +212,26 @@ def test_shock_gate_needs_every_metric_in_both_periods(spark):
     assert verdict([good["discovery"], ["confirmation", 200, None, 0.05, 0.2, 0.05]]) == ("RED", "confirmation: return")
     assert verdict([good["discovery"]]) == ("RED", "confirmation: support")
     assert verdict([]) == ("RED", "confirmation: support; discovery: support")
+
+
+def test_asof_reads_each_side_once(spark, tmp_path):
+    """Rows and carry come from one exchange; nulls in keys and times match nothing, days are bridged."""
+    from tidemark.operators.asof import trailing_sums
+
+    at = dt.datetime(2026, 1, 1)
+    tape = [("a", at, 1, "x"), ("a", at + dt.timedelta(days=3), 2, "y"), (None, at, 7, "z"), ("b", None, 7, "z"), ("b", at + dt.timedelta(hours=1), 4, "w")]
+    points = [(1, "a", at + dt.timedelta(days=2)), (2, "a", at + dt.timedelta(days=9)), (3, None, at + dt.timedelta(days=2)), (4, "b", None), (5, "b", at), (6, "b", at + dt.timedelta(hours=2))]
+    spark.createDataFrame(tape, "k string, rts timestamp_ntz, v long, note string").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame(points, "id int, k string, ts timestamp_ntz").write.parquet(str(tmp_path / "l"))
+    left, right = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r"))
+    joined = asof_join(left, right, ["k"], "ts", "rts", ["v"], running={"total": F.col("v")})
+    flow = trailing_sums(left, right, ["k"], "ts", "rts", 48, {"flow": F.col("v")})
+    assert {r["id"]: (r["v"], r["total"]) for r in joined.collect()} == {1: (1, 1), 2: (2, 3), 3: (None, None), 4: (None, None), 5: (None, None), 6: (4, 4)}
+    assert {r["id"]: r["flow"] for r in flow.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 4}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (joined.select("id", "v"), flow.select("id", "flow")):
+            plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 2 and plan.count("ReusedExchange") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
