@@ -28,17 +28,17 @@ def _carried(both: DataFrame, by: list[str], bucket: str, running: list[str], re
     inside = order.rowsBetween(Window.unboundedPreceding, 0)
     matched = {"_match": F.last("_right", ignorenulls=True).over(inside)} if record else {}
     end = {"_end": F.lead(F.lit(1)).over(order).isNull()} if bucketed else {}
-    # The row itself goes through the window too, so that no field of it is pruned from one branch only.
-    left = {"_left": F.first("_left").over(order.rowsBetween(0, 0))}
-    seen = rows.withColumns(matched | {c: F.sum(c).over(inside) for c in sums} | end | left)
+    # The row itself goes through the window too, so that nothing of it is pruned from one branch only.
+    row = {"_row": F.first(F.struct("_left", *["_right"] * record, *sums)).over(order.rowsBetween(0, 0))}
+    seen = rows.withColumns(matched | {c: F.sum(c).over(inside) for c in sums} | end | row).drop("_left")
     if not bucketed:
         return seen
     past = Window.partitionBy("_by").orderBy("_bucket")
     so_far = past.rowsBetween(Window.unboundedPreceding, 0)
     state = ([F.last("_match", ignorenulls=True).over(so_far).alias("_match")] if record else []) + [F.sum(c).over(so_far).alias(c) for c in sums]
-    last = seen.where("_end").select("_key", F.col("_key.key").alias("_by"), F.col("_key.bucket").alias("_bucket"), *["_match"] * record, *sums, "_left")
-    ends = last.select("_key", "_by", "_bucket", *state, "_left")
-    carry = ends.select("_key", F.lag(F.struct(*["_match"] * record, *sums, "_left")).over(past).alias("_past"))
+    last = seen.where("_end").select("_key", F.col("_key.key").alias("_by"), F.col("_key.bucket").alias("_bucket"), *["_match"] * record, *sums, "_row")
+    ends = last.select("_key", "_by", "_bucket", *state, "_row")
+    carry = ends.select("_key", F.lag(F.struct(*["_match"] * record, *sums, "_row")).over(past).alias("_past"))
     out = seen.join(carry, "_key", "left")
     if record:
         out = out.withColumn("_match", F.coalesce("_match", F.col("_past._match")))
@@ -91,7 +91,7 @@ def asof_join(
     out = out.withColumn("_match", match)
     if inner:
         out = out.where("_match is not null")
-    return out.select(*[F.col(f"_left.`{c}`").alias(c) for c in tail], *[F.col(f"_match.`{c}`").alias(prefix + c) for c in columns], *[F.when(F.col("_match").isNotNull(), F.col(f"_run_{n}")).alias(n) for n in running])
+    return out.select(*[F.col(f"_row._left.`{c}`").alias(c) for c in tail], *[F.col(f"_match.`{c}`").alias(prefix + c) for c in columns], *[F.when(F.col("_match").isNotNull(), F.col(f"_run_{n}")).alias(n) for n in running])
 
 
 def trailing_sums(points: DataFrame, tape: DataFrame, by: list[str], point_ts: str, tape_ts: str, hours: int, sums: dict[str, Column], bucket: str = "day") -> DataFrame:
@@ -108,4 +108,4 @@ def trailing_sums(points: DataFrame, tape: DataFrame, by: list[str], point_ts: s
     l = points.select(*by, F.col(point_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).alias("_tie"), *[F.lit(None).cast(k).alias(f"_run_{n}") for n, k in kinds.items()], F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_left"))
     both = r.withColumn("_left", F.lit(None).cast(l.schema["_left"].dataType)).unionByName(l)
     out = _carried(both, by, bucket, list(sums), False).where("_side = 1")
-    return out.select(*[F.col(f"_left.`{c}`").alias(c) for c in points.columns], *[F.coalesce(F.col(f"_run_{n}"), F.lit(0)).cast(k).alias(n) for n, k in kinds.items()])
+    return out.select(*[F.col(f"_row._left.`{c}`").alias(c) for c in points.columns], *[F.coalesce(F.col(f"_run_{n}"), F.lit(0)).cast(k).alias(n) for n, k in kinds.items()])
