@@ -230,8 +230,8 @@ def test_asof_reads_each_side_once(spark, tmp_path):
     assert {r["id"]: r["flow"] for r in flow.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 4}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for df in (joined.select("id", "v"), flow.select("id", "flow")):
-            plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+        for df in (joined.select("id", "v", "total"), flow.select("id", "flow")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
             assert plan.count("FileScan") == 2 and plan.count("ReusedExchange") == 1, plan
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
