@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import bars, select_shocks, shock_features
+from tidemark.sources import store
 from tidemark.sources.tables import trades
 from tidemark.streaming import jobs
 
@@ -77,7 +78,7 @@ def test_running_extremes_and_late_features(spark, tmp_path):
         spark.createDataFrame([r], names).select([F.col(f.name).cast(f.dataType) for f in FEATURES.fields]).write.mode("append").parquet(str(tmp_path / "f"))
         q = jobs.feature_append(spark.readStream.schema(FEATURES).parquet(str(tmp_path / "f")), str(tmp_path / "t"), str(tmp_path / "c"))
         q.awaitTermination(120)
-    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["again", "new"]
+    assert sorted(r["value"] for r in store.read(spark, str(tmp_path / "t")).collect()) == ["again", "new"]
 
 
 def test_rebuild_runs_in_order_and_refuses_gaps(spark):
@@ -97,3 +98,46 @@ def test_rebuild_runs_in_order_and_refuses_gaps(spark):
     assert [n for n, _ in seen] == ["decision_points", "outcomes", "relations", "families", "survivors"] and set(out) == {n for n, _ in seen}
     with pytest.raises(RuntimeError, match="incomplete"):
         rebuild({}, keys, keys.limit(1), "ticker", lambda name, df: df)
+
+
+def test_ingest_of_overlapping_and_late_pieces(spark, tmp_path):
+    at = lambda d, h=0: dt.datetime(2026, 1, 1) + dt.timedelta(days=d, hours=h)
+    pieces = [
+        [(i, at(i)) for i in range(0, 40) if i != 38],
+        [(i, at(i)) for i in range(38, 70)],  # 38 comes late, 39 again
+        [(i, at(i)) for i in range(68, 90)] + [(3, at(3))],  # 3 is older than the overlap: it was taken long ago
+    ]
+    kind, touched = "k long, at timestamp", []
+    for n, piece in enumerate(pieces):
+        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("_part=2026-01/*.parquet")}
+        spark.createDataFrame(piece, kind).repartition(2).write.mode("append").parquet(str(tmp_path / "landed"))
+        for _ in range(2):  # the second run finds nothing new
+            rows = spark.readStream.schema(kind).parquet(str(tmp_path / "landed"))
+            jobs.incremental_ingest(rows, str(tmp_path / "t"), str(tmp_path / "log"), ["k", "at"], "at", F.date_format("at", "yyyy-MM")).awaitTermination()
+        if n == 2:
+            assert before and {f: f.stat().st_mtime_ns for f in before} == before
+    assert sorted(r["k"] for r in store.read(spark, str(tmp_path / "t")).collect()) == list(range(90))
+    assert set(store.current(spark, str(tmp_path / "t")).parts) == {"2026-01", "2026-02", "2026-03"}
+
+
+def test_shocks_from_trades_out_of_order(spark, tape, tmp_path):
+    """Files whose trades are mixed within the watermark, in several runs, give the shocks of the batch form."""
+    rule = dict(volume=4, multiple=0.5, share=0.5, jump=1, gap_hours=1000)
+    schema, path = tape
+    t = spark.read.parquet(path)
+    low, high = t.agg(F.min("created_time"), F.max("created_time")).first()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = []
+    keep = lambda b, _: rows.extend(b.collect())
+    for part in range(3):
+        cut = lambda k: low + (high - low) * k / 3
+        late = F.col("created_time") - F.expr("interval 20 minutes") * F.pmod("trade_id", F.lit(3))  # up to 40 minutes later than its time
+        piece = t.where((late >= F.lit(cut(part))) & (late < F.lit(cut(part + 1)))) if part else t.where(late < F.lit(cut(1)))
+        piece = piece if part < 2 else t.where(late >= F.lit(cut(2)))
+        piece.repartition(2).write.mode("append").parquet(str(tmp_path / "landed"))
+        stream = jobs.tape_shocks(spark.readStream.schema(schema).parquet(str(tmp_path / "landed")), detector=jobs.ShockDetector(least=3, **rule))
+        stream.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    batch = select_shocks(shock_features(bars(t), least=3), **rule)
+    closed = high - dt.timedelta(hours=2)
+    want = {(r["ticker"], r["hour"]) for r in batch.collect() if r["hour"] <= closed}
+    assert want and {(r["ticker"], r["hour"].replace(tzinfo=None)) for r in rows} == want

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog import query
 from tidemark.sources import landed as D
+from tidemark.plans.panels import BARS, BLOCKLESS, RULE, SHOCKS
+from tidemark.sources import store
 from tidemark.sources import tables as S
 from tidemark.sources.staging import drained, new_folder
 from tidemark.streaming import jobs
@@ -58,8 +62,8 @@ _LAST_FEATURES = "select cast(user_id as varchar) as entity, event_type as metri
 def feature_partitions(spark, d):
     """Features written in two overlapping parts: writing again what is there changes nothing."""
     path, e = f"{new_folder(spark)}/features", S.table(spark, d, "events")
-    D.write_features(_features(e.where("event_id % 3 <> 0")), path)
-    return D.write_features(_features(e.where("event_id % 2 <> 0 or event_id % 3 = 0")), path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
+    D.store_features(_features(e.where("event_id % 3 <> 0")), path)
+    return D.store_features(_features(e.where("event_id % 2 <> 0 or event_id % 3 = 0")), path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
 
 
 @query("s20_state_export", "select c_custkey, c_name, case when c_acctbal > 0 then c_acctbal end as c_acctbal from customer")
@@ -71,10 +75,20 @@ def state_export(spark, d):
 
 @query("r01_incremental_upsert", "select o_orderkey, max(o_orderdate) as o_orderdate from orders group by o_orderkey")
 def upsert(spark, d):
-    path, log = f"{new_folder(spark)}/orders", f"{new_folder(spark)}/log"
-    rows = stream(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    jobs.incremental_upsert(rows, path, log, ["o_orderkey"], "o_orderdate").awaitTermination()
-    return spark.read.parquet(path)
+    """Orders landed in three pieces, each reaching 48 hours back and the second with rows that the first lacked, ingested as they land."""
+    orders = S.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    low, high = orders.agg(F.min("at"), F.max("at")).first()
+    third, back = (high - low) / 3, dt.timedelta(hours=48)
+    first, second = low + third, low + 2 * third
+    late = (F.col("at") >= F.lit(first - back)) & (F.pmod("o_orderkey", F.lit(5)) == 0)
+    pieces = [orders.where((F.col("at") < F.lit(first)) & ~late), orders.where((F.col("at") >= F.lit(first - back)) & (F.col("at") < F.lit(second))), orders.where(F.col("at") >= F.lit(second - back))]
+    folder = new_folder(spark)
+    for piece in pieces:
+        piece.write.mode("append").parquet(f"{folder}/landed")
+        rows = spark.readStream.schema(orders.schema).parquet(f"{folder}/landed")
+        jobs.incremental_ingest(rows, f"{folder}/orders", f"{folder}/log", ["o_orderkey", "at"], "at", F.date_format("at", "yyyy-MM")).awaitTermination()
+    kind = S.table(spark, d, "orders").schema["o_orderdate"].dataType
+    return store.read(spark, f"{folder}/orders").select("o_orderkey", F.col("at").cast(kind).alias("o_orderdate"))
 
 
 @query("r02_latest_books", "select cast(user_id as varchar) as ticker, max(cast(event_id as varchar)) as ts from events group by 1")
@@ -96,7 +110,7 @@ def feature_append(spark, d):
     path, log = f"{new_folder(spark)}/features", f"{new_folder(spark)}/log"
     e = stream(spark, d, "events")
     jobs.feature_append(_features(e), path, log).awaitTermination()
-    return spark.read.parquet(path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
+    return store.read(spark, path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
 
 
 @query(
@@ -108,3 +122,15 @@ def streamed_bars(spark, d):
     """Bars of the hours that the watermark has closed."""
     t = S.trades_of(stream(spark, d, "events")).withColumn("created_time", F.col("created_time").cast("timestamp"))
     return drained(jobs.hourly_bars(t), "append").select("ticker", F.col("hour").cast("timestamp_ntz").alias("hour"), "total_volume", "yes_volume")
+
+
+@query(
+    "r04_streamed_shocks",
+    f"""with {BLOCKLESS}, {BARS}, {SHOCKS}, m as (select max(created_time) as top from trades)
+    select ticker, hour, cast(yes_close as double) as shock_price, cast(yes_volume as double) as yes_volume, prior_yes_median from shocks, m where hour + interval 1 hour <= top - interval 1 hour""",
+)
+def streamed_shocks(spark, d):
+    """The first shock of each ticker, found by the stream itself from the trades, in the hours that the watermark has closed."""
+    t = S.trades_of(stream(spark, d, "events")).where("not is_block_trade").withColumn("created_time", F.col("created_time").cast("timestamp"))
+    got = drained(jobs.tape_shocks(t, detector=jobs.ShockDetector(**RULE)), "append")
+    return got.withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.landed import overwrite
 
 _own: dict[str, str] = {}
+_STATES = "spark.sql.streaming.stateStore.providerClass"
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -40,6 +41,11 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
         else:
             batch.write.mode("append").parquet(path)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    before = spark.conf.get(_STATES)
+    spark.conf.set(_STATES, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the only one for processors with state
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STATES, before)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

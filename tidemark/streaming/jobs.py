@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.sources.landed import FEATURE_KEY, merge_partition, normalise_features
+from tidemark.sources import store
+from tidemark.sources.landed import merge_partition, store_features
 
 
 def incremental_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, partition: str | None = None):
@@ -22,6 +24,20 @@ def incremental_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def incremental_ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, partition: Column, overlap: str = "48 hours", name: str = "ingest"):
+    """Rows with event times that land in overlapping pieces, each once, into a ``store`` by ``partition`` (a function of ``keys``).
+
+    The watermark stays ``overlap`` behind the newest time: a row that comes again
+    or late within it is recognised or still taken, an older one is not (it has
+    been taken, as every piece reaches ``overlap`` back); state is dropped behind
+    it. A batch that is run again after a crash has been merged or not, by its
+    number in the store, and the merge goes by key, so each row is there once.
+    """
+    once = stream.withWatermark(ts, overlap).dropDuplicatesWithinWatermark(keys)
+    sink = lambda df, batch: store.merge(df, path, keys, [F.desc(ts)], partition, name, batch)
+    return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_books(stream: DataFrame) -> DataFrame:
     """The newest book of each ticker (update mode)."""
     return stream.groupBy("ticker").agg(F.max_by(F.struct("ts", "yes", "no"), "ts").alias("book")).select("ticker", "book.*")
@@ -42,7 +58,7 @@ def hourly_bars(trades: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 class ShockDetector(StatefulProcessor):
-    """Keeps the last bars of a ticker and whether it has fired; bars must come in order of time."""
+    """Keeps the last bars of a ticker and whether it has fired; later batches must bring later bars, as ``hourly_bars`` does."""
 
     def __init__(self, prior: int = 20, least: int = 10, volume: float = 200, multiple: float = 5, share: float = 0.7, jump: float = 2, gap_hours: float = 24):
         self.p = (prior, least, volume, multiple, share, jump, gap_hours)
@@ -57,7 +73,7 @@ class ShockDetector(StatefulProcessor):
         out = []
         for r in pd.concat(list(rows)).sort_values("hour").itertuples():
             if not fired and len(volumes) >= least and close is not None and r.yes_close == r.yes_close and r.yes_close is not None:
-                median = float(pd.Series(volumes[-prior:]).median())
+                median = float(np.median(volumes[-prior:]))
                 gap = (r.hour - pd.Timestamp(hour)).total_seconds() / 3600
                 if median > 0 and r.yes_volume >= volume and r.yes_volume >= multiple * median and r.yes_volume >= share * r.total_volume and r.yes_close - close >= jump and gap <= gap_hours:
                     fired = True
@@ -77,13 +93,23 @@ def shocks(bars: DataFrame, detector: ShockDetector | None = None) -> DataFrame:
     return bars.groupBy("ticker").transformWithStateInPandas(detector or ShockDetector(), f"ticker {kind}, hour timestamp, shock_price double, yes_volume double, prior_yes_median double", "Append", "None")
 
 
+def tape_shocks(trades: DataFrame, late: str = "1 hour", detector: ShockDetector | None = None) -> DataFrame:
+    """Shocks straight from the tape: two stateful operators in one stream.
+
+    In append mode the bars of an hour leave the first when the watermark has
+    passed it, whatever order the trades came in, so the second gets each
+    ticker's bars in order and needs no timer of its own.
+    """
+    return shocks(hourly_bars(trades, late), detector)
+
+
 def running_extremes(readings: DataFrame) -> DataFrame:
     """Daily maximum and minimum so far of each station (update mode); known an hour after the last reading."""
     g = readings.groupBy("station", F.to_date("local_time").alias("local_date"))
     return g.agg(F.max("value").alias("max_so_far"), F.min("value").alias("min_so_far"), (F.max("ts") + F.expr("interval 1 hour")).alias("available_at"))
 
 
-def feature_append(stream: DataFrame, path: str, checkpoint: str):
-    """Point-in-time features, idempotent by key; a row lands however late it is, without changing past decisions."""
-    sink = lambda df, _: merge_partition(normalise_features(df), path, FEATURE_KEY, [F.desc("retrieved_at"), F.desc("value")])
+def feature_append(stream: DataFrame, path: str, checkpoint: str, name: str = "features"):
+    """Point-in-time features, idempotent by key; a row lands however late it is, without changing past decisions. Only the months of a batch are written."""
+    sink = lambda df, batch: store_features(df, path, name, batch)
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
