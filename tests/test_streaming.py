@@ -81,25 +81,6 @@ def test_running_extremes_and_late_features(spark, tmp_path):
     assert sorted(r["value"] for r in store.read(spark, str(tmp_path / "t")).collect()) == ["again", "new"]
 
 
-def test_rebuild_runs_in_order_and_refuses_gaps(spark):
-    from tidemark.plans.composites import rebuild
-
-    keys = spark.createDataFrame([(1,), (2,)], "ticker int")
-    seen = []
-
-    def step(name):
-        def run(done):
-            seen.append((name, sorted(done)))
-            return keys
-
-        return run
-
-    out = rebuild({n: step(n) for n in ("survivors", "families", "relations", "outcomes", "decision_points")}, keys, keys, "ticker", lambda name, df: df)
-    assert [n for n, _ in seen] == ["decision_points", "outcomes", "relations", "families", "survivors"] and set(out) == {n for n, _ in seen}
-    with pytest.raises(RuntimeError, match="incomplete"):
-        rebuild({}, keys, keys.limit(1), "ticker", lambda name, df: df)
-
-
 def test_ingest_of_overlapping_and_late_pieces(spark, tmp_path):
     at = lambda d, h=0: dt.datetime(2026, 1, 1) + dt.timedelta(days=d, hours=h)
     pieces = [

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,27 +252,3 @@ def cadence(spark, d):
 def fold_shares(spark, d):
     e = S.fills(spark, d).groupBy("period", "event_ticker").agg(F.count(F.lit(1)).alias("n"))
     return e.groupBy("period").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("largest_share"))
-
-
-#: The rebuild order: each step names the steps whose tables it reads.
-STEPS: dict[str, tuple[str, ...]] = {
-    "snapshots": (), "corpus_audit": (), "decision_points": (), "outcomes": (), "relations": (),
-    "atlas": ("decision_points", "outcomes"), "families": ("decision_points", "outcomes", "relations"), "ladders": ("decision_points",), "coherence": ("decision_points", "outcomes"), "survivors": ("families",),
-}
-
-
-def rebuild(steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], expected: DataFrame, done: DataFrame, key: str, write: Callable[[str, DataFrame], DataFrame], order=STEPS) -> dict[str, DataFrame]:
-    """Runs ``steps`` in dependency order, each written once and read by the next; refuses while metadata keys are missing."""
-    from tidemark.operators.tables import missing_keys
-
-    if not missing_keys(expected, done, key).isEmpty():
-        raise RuntimeError("metadata is incomplete")
-    out: dict[str, DataFrame] = {}
-    for name, needs in order.items():
-        if name in steps:
-            lacking = [n for n in needs if n not in out and n in steps]
-            if lacking:
-                raise RuntimeError(f"{name} needs {lacking}")
-            out[name] = write(name, steps[name](out))
-    return out
-
