@@ -9,8 +9,11 @@ from tidemark.catalog import query
 from tidemark.functions import economics as E
 from tidemark.functions import text as T
 from tidemark.operators import tables as O
+from tidemark.operators.mentions import mention_features, mentions
 from tidemark.sources import landed as D
 from tidemark.sources import tables as S
+from tidemark.sources.landed import asof_features, store_features
+from tidemark.sources.staging import new_folder
 
 
 @query("s03_lazy_scan", "select event_id, user_id, value from events where event_type = 'purchase' and value >= 50")
@@ -330,10 +333,42 @@ def atlas(spark, d):
     return s.select("l_suppkey", F.round(E.geometric_mean(scores), 6).alias("rank_score"))
 
 
-@query("x25_mentions")
-def mentions(spark, d):
-    """Entities against every whole document: the list of entities is bounded and named by the caller."""
-    names = spark.createDataFrame([("The and",), ("Is on",), ("Nobody Here",), ("Re",)], "entity string")
-    docs = S.table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.crossJoin(F.broadcast(names)).select("doc_id", "entity", T.mention_signal(F.col("entity"), F.col("text")).alias("signal"))
-    return hits.where("signal <> 'CLEAR'")
+SECTION = "the "
+NAME = r"^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)"
+_EDGE, _SIDE = r"(?:^|[^\p{L}\p{Nd}_])", r"(?:$|[^\p{L}\p{Nd}_])"
+# Where the library has a word boundary, the SQL spells out what stands beside a word.
+MENTIONS = rf"""names as (select distinct first || ' ' || last as entity, '\Q' || first || '\E' as f, '\Q' || last || '\E' as l, first = last as same from
+  (select regexp_extract(text, '{NAME}', 1) as first, regexp_extract(text, '{NAME}', 2) as last from benchmark) where last <> ''),
+ texts as (select doc_id, text, case when contains(lower(text), '{SECTION}') then substr(text, position('{SECTION}' in lower(text)), 4000) end as section from documents where text <> ''),
+ judged as (select doc_id, entity, case when regexp_matches(text, case when same then '{_EDGE}' || l || '{_SIDE}' else '{_EDGE}' || f || '(?:[^\p{{L}}\p{{Nd}}_]|[^\p{{L}}\p{{Nd}}_][\s\S]{{0,38}}?[^\p{{L}}\p{{Nd}}_])' || l || '{_SIDE}' end)
+  then case when coalesce(regexp_matches(section, '{_EDGE}' || l || '{_SIDE}'), false) then 'HOT' else 'WARM' end
+  when regexp_matches(text, '{_EDGE}' || l || '{_SIDE}') then 'UNKNOWN' else 'CLEAR' end as signal from texts, names)"""
+
+
+def named(spark, d):
+    """The first two words of each benchmark text, as names to look for."""
+    first, last = (F.regexp_extract("text", NAME, i) for i in (1, 2))
+    return S.table(spark, d, "benchmark").where(last != "").select(F.concat_ws(" ", first, last).alias("entity"))
+
+
+def found_mentions(spark, d):
+    return mentions(S.table(spark, d, "documents"), named(spark, d), section_word=SECTION)
+
+
+@query("x25_mentions", f"with {MENTIONS} select doc_id, entity, signal from judged where signal <> 'CLEAR'")
+def mentioned(spark, d):
+    """Names from a table against every whole document."""
+    return found_mentions(spark, d)
+
+
+@query(
+    "x25_mention_features",
+    f"""with {MENTIONS}, r as (select entity, doc_id, signal, row_number() over (partition by entity order by case signal when 'HOT' then 1 when 'WARM' then 2 when 'UNKNOWN' then 3 else 4 end, doc_id) as k from judged)
+    select entity, signal as value, case when signal = 'CLEAR' then '' else cast(doc_id as varchar) end as evidence from r where k = 1""",
+)
+def mention_store(spark, d):
+    """The same as point-in-time features in their store, read from it as of a later decision."""
+    checked = F.lit("2024-02-01 00:00:00")
+    features = store_features(mention_features(found_mentions(spark, d), named(spark, d), checked), f"{new_folder(spark)}/features")
+    points = named(spark, d).distinct().withColumn("decision_time", F.lit("2024-02-02 00:00:00").cast("timestamp"))
+    return asof_features(points, features, "mention").select("entity", F.col("feature_value").alias("value"), F.col("feature_evidence").alias("evidence"))
