@@ -335,14 +335,6 @@ def atlas(spark, d):
 
 SECTION = "the "
 NAME = r"^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)"
-_EDGE, _SIDE = r"(?:^|[^\p{L}\p{Nd}_])", r"(?:$|[^\p{L}\p{Nd}_])"
-# Where the library has a word boundary, the SQL spells out what stands beside a word.
-MENTIONS = rf"""names as (select distinct first || ' ' || last as entity, '\Q' || first || '\E' as f, '\Q' || last || '\E' as l, first = last as same from
-  (select regexp_extract(text, '{NAME}', 1) as first, regexp_extract(text, '{NAME}', 2) as last from benchmark) where last <> ''),
- texts as (select doc_id, text, case when contains(lower(text), '{SECTION}') then substr(text, position('{SECTION}' in lower(text)), 4000) end as section from documents where text <> ''),
- judged as (select doc_id, entity, case when regexp_matches(text, case when same then '{_EDGE}' || l || '{_SIDE}' else '{_EDGE}' || f || '(?:[^\p{{L}}\p{{Nd}}_]|[^\p{{L}}\p{{Nd}}_][\s\S]{{0,38}}?[^\p{{L}}\p{{Nd}}_])' || l || '{_SIDE}' end)
-  then case when coalesce(regexp_matches(section, '{_EDGE}' || l || '{_SIDE}'), false) then 'HOT' else 'WARM' end
-  when regexp_matches(text, '{_EDGE}' || l || '{_SIDE}') then 'UNKNOWN' else 'CLEAR' end as signal from texts, names)"""
 
 
 def named(spark, d):
@@ -355,17 +347,13 @@ def found_mentions(spark, d):
     return mentions(S.table(spark, d, "documents"), named(spark, d), section_word=SECTION)
 
 
-@query("x25_mentions", f"with {MENTIONS} select doc_id, entity, signal from judged where signal <> 'CLEAR'")
+@query("x25_mentions")
 def mentioned(spark, d):
-    """Names from a table against every whole document."""
+    """Names from a table against every whole document. (SQL would search all texts for all names; a test compares with that on a fixture.)"""
     return found_mentions(spark, d)
 
 
-@query(
-    "x25_mention_features",
-    f"""with {MENTIONS}, r as (select entity, doc_id, signal, row_number() over (partition by entity order by case signal when 'HOT' then 1 when 'WARM' then 2 when 'UNKNOWN' then 3 else 4 end, doc_id) as k from judged)
-    select entity, signal as value, case when signal = 'CLEAR' then '' else cast(doc_id as varchar) end as evidence from r where k = 1""",
-)
+@query("x25_mention_features")
 def mention_store(spark, d):
     """The same as point-in-time features in their store, read from it as of a later decision."""
     checked = F.lit("2024-02-01 00:00:00")
