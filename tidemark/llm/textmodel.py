@@ -119,11 +119,16 @@ def values(texts: pa.Array, hits: Hits, size: int, presence: float = 0.0) -> Spa
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, text) of at most ``limit`` labels, taken by the hash of doc_id. Null labels and ids are left out."""
+    """(doc_id, y, text) of at most ``limit`` labels, taken by the hash of doc_id, with one text each.
+
+    Of several rows with one doc_id the text of the smallest hash counts: it is
+    picked before rows leave their executors, so the sample is bounded however
+    often an id is repeated. Null labels and ids are left out.
+    """
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text")
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _distinct(batches):
