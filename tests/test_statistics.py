@@ -15,6 +15,27 @@ def test_ranges_give_the_same_values(spark):
         assert {r["i"]: r["q"] for r in S.benjamini_hochberg_ranges(some).collect()} == want
 
 
+def test_ranges_within_groups(spark):
+    """One group holds most rows and is split over the ranges; a null group is a group."""
+    rng = random.Random(11)
+    rows = [(i, "big" if rng.random() < 0.8 else rng.choice(["a", "b", None]), rng.choice([None, 1.0, 1.0, round(rng.random() ** 3, 3)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, f string, p double")
+    for some in (df, df.where("i < 5"), df.where("i < 0")):
+        want = {r["i"]: r["q"] for r in S.benjamini_hochberg(some, by=["f"]).collect()}
+        found = S.benjamini_hochberg_ranges(some, by=["f"])
+        assert found.columns == ["i", "f", "p", "q"] and {r["i"]: r["q"] for r in found.collect()} == want
+
+
+def test_the_suite_holds_fifteen_families(spark):
+    from tidemark.plans import mechanisms as M
+
+    d = "/root/testdata/sf0.01"
+    rows = M.suite_rows(M.points(spark, d), M.S.markets(spark, d), M.fill_returns(spark, d))
+    per = {r["family_id"]: (r["n"], r["matched"]) for r in rows.groupBy("family_id").agg(F.count("*").alias("n"), F.count("incremental").alias("matched")).collect()}
+    assert len(per) == 15
+    assert {f for f, (n, m) in per.items() if m == 0} == {"close", "listing", "maker"} and all(m in (0, n) for n, m in per.values())
+
+
 def test_no_task_ranks_the_whole_table(spark, tmp_path):
     spark.range(4000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     plan = suites.false_discovery(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()

@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import composites, families, forecasts, labels, landing, lookups, panels, rebuild, screens, suites  # noqa: F401
+    from tidemark.plans import composites, families, forecasts, labels, landing, lookups, mechanisms, panels, rebuild, screens, suites  # noqa: F401

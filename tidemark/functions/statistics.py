@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,31 +70,37 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", q: str = "q", by: list[str]
     return ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(from_last))).drop("_rank", "_m")
 
 
-def benjamini_hochberg_ranges(df: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
-    """The same values over all rows of a table of any size, with no task over all of it.
+def benjamini_hochberg_ranges(df: DataFrame, p: str = "p", q: str = "q", by: list[str] | None = None) -> DataFrame:
+    """The same values for a table of any size, within ``by`` (or over all rows), with no task over all rows or over a whole group.
 
     Equal p have equal q, so distinct values are ranked, in ranges between
     quantiles (as many as shuffle partitions); only counts and least values of
-    the ranges are brought together. A null p ranks first and has no say in
-    others' values. Values are told apart by the quantiles alone, so that every
-    evaluation deals them alike.
+    the ranges of a group are brought together. A null p ranks first and has no
+    say in others' values. Values are told apart by the quantiles alone, so that
+    every evaluation deals them alike. ``df`` is read three times.
     """
+    by = by or []
+    names = [f"_by{i}" for i in range(len(by))]
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    distinct = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     bounds = sorted(set(distinct.select(F.col("_p").cast("double").alias("_p")).approxQuantile("_p", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     limits = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
     dealt = distinct.withColumn("_range", F.when(F.col("_p").isNull(), -1).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("_p").cast("double")))))
-    # One row a range.
-    counts = dealt.groupBy("_range").agg(F.sum("_n").alias("_k"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    counts = counts.select("_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_m"))
-    upto = Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.join(F.broadcast(counts), "_range").withColumn("_rank", F.col("_before") + F.sum("_n").over(upto))
+    # One row a group and range; null group values are groups too.
+    group = names or [F.lit(1)]
+    counts = dealt.groupBy(*names, "_range").agg(F.sum("_n").alias("_k"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*names, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy(*group)).alias("_m"))
+    same = lambda a, b, keys: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    keys = [*names, "_range"]
+    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.alias("d").join(counts.alias("c"), same("d", "c", keys)).select("d.*", "_before", "_m").withColumn("_rank", F.col("_before") + F.sum("_n").over(upto))
     ranked = ranked.withColumn("_value", F.col("_p") * F.col("_m") / F.col("_rank"))
-    least = ranked.groupBy("_range").agg(F.min("_value").alias("_least"))
-    after = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    least = least.select("_range", F.min("_least").over(after).alias("_after"))
-    down = Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    found = ranked.join(F.broadcast(least), "_range").select("_p", F.least(F.lit(1.0), F.min("_value").over(down), F.col("_after")).alias(q))
-    return df.join(found, F.col(p).eqNullSafe(F.col("_p"))).drop("_p")
+    least = ranked.groupBy(*keys).agg(F.min("_value").alias("_least"))
+    after = Window.partitionBy(*group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(*keys, F.min("_least").over(after).alias("_after"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranked.alias("d").join(least.alias("c"), same("d", "c", keys)).select("d.*", "_after")
+    found = found.select(*names, "_p", F.least(F.lit(1.0), F.min("_value").over(down), F.col("_after")).alias(q))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip([*by, p], [*names, "_p"])])
+    return df.join(found, on).drop(*names, "_p")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import benjamini_hochberg, p_value
+from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value
+from tidemark.sources.staging import written
 
 
 def cell_stats(df: DataFrame, keys: list[str], values: list[str], cluster: str = "event_ticker", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -59,13 +60,13 @@ def top_share(df: DataFrame, keys: list[str], cluster: str = "event_ticker", k:
 
 def evaluate_cells(df: DataFrame, value: str, minimum_events: int, hurdle: float, z: float, keys=("family_id", "cell_id"), incremental: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(period rows, cell rows): a cell passes if every observed period has the
-    support and clears the hurdle (and zero, for the incremental value) at ``z`` errors."""
+    support and clears the hurdle (and zero, for the incremental value where there is one) at ``z`` errors."""
     values = [value] + ([incremental] if incremental else [])
     s = cell_stats(df, [*keys, "period"], values)
     low = F.col(f"{value}_mean") - z * F.col(f"{value}_se")
     ok = (F.col("n_events") >= minimum_events) & (low > hurdle)
     if incremental:
-        ok = ok & (F.col(f"{incremental}_mean") - z * F.col(f"{incremental}_se") > 0)
+        ok = ok & (F.col(f"{incremental}_mean").isNull() | (F.col(f"{incremental}_mean") - z * F.col(f"{incremental}_se") > 0))
     rows = s.withColumn("lower_bound", low).withColumn("p", p_value(F.col(f"{value}_mean"), F.col(f"{value}_se"), hurdle)).withColumn("passes", F.coalesce(ok, F.lit(False)))
     cells = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_periods"),
@@ -78,12 +79,19 @@ def evaluate_cells(df: DataFrame, value: str, minimum_events: int, hurdle: float
     return rows, cells
 
 
-def search_correction(cells: DataFrame, minimum_events: int, periods: int, alpha: float = 0.05) -> DataFrame:
-    """Family-wise and suite-wise q values; thin or partly observed cells count with p = 1."""
+def search_correction(cells: DataFrame, minimum_events: int, periods: int, alpha: float = 0.05, ranged: bool = False) -> DataFrame:
+    """Family-wise and suite-wise q values; thin or partly observed cells count with p = 1.
+
+    ``ranged`` ranks in ranges of p, for suites of any number of cells; the table is written for that, as it is read several times.
+    """
     thin = (F.col("min_events") < minimum_events) | (F.col("n_periods") < periods)
     df = cells.withColumn("search_p", F.when(thin, F.lit(1.0)).otherwise(F.col("max_p")))
-    df = benjamini_hochberg(df, "search_p", "family_q", ["family_id"])
-    df = benjamini_hochberg(df, "search_p", "suite_q")
+    if ranged:
+        df = benjamini_hochberg_ranges(written(df), "search_p", "family_q", ["family_id"])
+        df = benjamini_hochberg_ranges(written(df), "search_p", "suite_q")
+    else:
+        df = benjamini_hochberg(df, "search_p", "family_q", ["family_id"])
+        df = benjamini_hochberg(df, "search_p", "suite_q")
     fold = F.col("all_pass") & (F.col("n_periods") >= periods)
     return df.withColumn("qualified", fold & (F.col("family_q") <= alpha) & (F.col("suite_q") <= alpha))
 

@@ -14,10 +14,12 @@ from tidemark.operators import cells as C
 from tidemark.operators import panel as P
 from tidemark.operators.tables import pick
 from tidemark.plans.forecasts import DAILY, FORECASTS, forecasts, observations
+from tidemark.plans.labels import ranges_sql
 from tidemark.plans.panels import BARS, BLOCKLESS, POINTS, RULE, SHOCKS, points, shaped
 from tidemark.plans.screens import FILL_RETURNS, fill_returns, rounded, stats_sql
 from tidemark.plans.suites import SIDES, side_panel
 from tidemark.sources import tables as S
+from tidemark.sources.staging import written
 
 
 def registry_filter(spec: dict) -> Column:
@@ -162,22 +164,31 @@ def family_labels(spark, d):
 RULES = """rules as (select ticker, case when ticker % 4 = 0 then 'as deemed by' when ticker % 4 = 1 then 'signed into law' when ticker % 4 = 2 then 'the price is 5' else 'else' end as rules,
  case ticker % 4 when 0 then 'judgment_or_attribution' when 1 then 'official_act' when 2 then 'numeric_objective' else 'unclassified' end as rule_class from markets)"""
 
+RULE_CELLS = f"select rule_class || '|' || e.label || '|' || {ranges_sql('yes_price_cents')} || '|' || side as cell_id, period, event_ticker, ann, ann - avg(ann) over (partition by category, e.label, {ranges_sql('yes_price_cents')}, side) as incremental from econ e join rules using (ticker)"
+
+
+def rule_rows(panel: DataFrame, classes: DataFrame) -> DataFrame:
+    """Both sides of the panel in the cells of their rules' class. The baseline leaves the period out on purpose, unlike that of the other families."""
+    r = panel.join(classes, "ticker").withColumn("bucket", L.suite_bucket(F.col("yes_price_cents")))
+    r = C.residualise(r, ["category", "decision_label", "bucket", "side"], "ann", "incremental")
+    return r.select(L.cell_key(F.col("rule_class"), F.col("decision_label"), F.col("bucket"), F.col("side")).alias("cell_id"), "period", "event_ticker", "ann", "incremental")
+
+
+def rule_classes(markets: DataFrame) -> DataFrame:
+    k = F.pmod("ticker", F.lit(4))
+    rules = F.when(k == 0, "as deemed by").when(k == 1, "signed into law").when(k == 2, "the price is 5").otherwise("else")
+    none = F.lit(None).cast("double")
+    return markets.select("ticker", T.rule_class(rules, none, none, F.lit(None).cast("string")).alias("rule_class"))
+
 
 @query(
     "x16_rule_objectivity",
-    f"""with {S.TRADES}, {S.MARKETS}, {POINTS}, {SIDES}, {RULES}, r as (select e.label || '|' || side || '|' || rule_class as cell_id, period, event_ticker, ann, ann - avg(ann) over (partition by e.label, side) as incremental from econ e join rules using (ticker))
+    f"""with {S.TRADES}, {S.MARKETS}, {POINTS}, {SIDES}, {RULES}, r as ({RULE_CELLS})
     {stats_sql('r', 'cell_id, period', ['ann', 'incremental'], digits=4)}""",
 )
 def rule_objectivity(spark, d):
-    m = S.markets(spark, d)
-    k = F.pmod("ticker", F.lit(4))
-    rules = F.when(k == 0, "as deemed by").when(k == 1, "signed into law").when(k == 2, "the price is 5").otherwise("else")
-    none = F.lit(None).cast("double")
-    classes = m.select("ticker", T.rule_class(rules, none, none, F.lit(None).cast("string")).alias("rule_class"))
-    # The baseline leaves the period out on purpose, unlike that of the other families.
-    r = C.residualise(side_panel(spark, d).join(classes, "ticker"), ["decision_label", "side"], "ann", "incremental")
-    r = r.withColumn("cell_id", L.cell_key(F.col("decision_label"), F.col("side"), F.col("rule_class")))
-    return rounded(C.cell_stats(r, ["cell_id", "period"], ["ann", "incremental"]), 4)
+    rows = rule_rows(written(side_panel(spark, d)), rule_classes(S.markets(spark, d)))
+    return rounded(C.cell_stats(rows, ["cell_id", "period"], ["ann", "incremental"]), 4)
 
 
 def forecast_panel(calibrated: DataFrame, contracts: DataFrame, reserve: int = 2) -> DataFrame:

@@ -18,10 +18,9 @@ from tidemark.operators import panel as P
 from tidemark.plans.labels import bins_sql, edges_sql, ranges_sql
 from tidemark.plans.panels import PAIRS, POINTS, points
 from tidemark.plans.screens import FILL_RETURNS, LEVELS, fill_returns, rounded, stats_sql
-from tidemark.plans.suites import SIDES, side_economics
+from tidemark.plans.suites import MATCH, SIDES, side_economics
 from tidemark.sources import tables as S
 
-MATCH = ["period", "category", "decision_label", "bucket", "side"]
 MOVES = ((-100, -20), (-20, -5), (-5, 5), (5, 20), (20, 100))
 SIZES = ((1, 2), (2, 5), (5, 20), (20, 10**6))
 OPENING = ("O+1d", "O+7d")

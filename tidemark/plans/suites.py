@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -14,6 +17,7 @@ from tidemark.plans.labels import FEE, bins_sql, period_sql, ranges_sql
 from tidemark.plans.panels import PAIRS, PATHS, POINTS, points
 from tidemark.plans.screens import FILL_RETURNS, fill_returns, rounded, stats_sql
 from tidemark.sources import tables as S
+from tidemark.sources.staging import written
 
 BUCKETS = ((1, 10), (11, 30), (31, 60), (61, 99), (1, 50))
 BANDS = ("a 1-7d", "b 7-30d", "c 30-90d", "d 90-180d", "e 180d+")
@@ -115,33 +119,70 @@ def side_economics(p: DataFrame, folds=S.FOLDS) -> DataFrame:
     return df.withColumn("hold_return", hold).withColumn("ann", E.annualised_seconds(F.col("hold_return"), F.col("scheduled_hold_seconds")))
 
 
-STALE = ((0, 3600), (3600, 21600), (21600, 86400), (86400, 10**9))
+#: What a conditional return is measured against: the mean of the rows that are equal in these.
+MATCH = ["period", "category", "decision_label", "bucket", "side"]
+STALE, SHARE = ((0, 0.02), (0.02, 0.1), (0.1, 0.2), (0.2, 1)), ((0, 0.3), (0.3, 0.7), (0.7, 1.01))
 VOLUME = ((0, 1), (1, 20), (20, 60), (60, 10**9))
+_STALENESS, _HOLD = "date_diff('second', trade_time, decision_time)", "date_diff('second', decision_time, close_time)"
+
+
+def _stale():
+    return L.fixed_bin(F.col("staleness_seconds") / F.col("scheduled_hold_seconds"), STALE)
+
+
+def _label():
+    return F.col("decision_label")
+
+
+class Family(NamedTuple):
+    """``keep``: its rows; ``cell``: what its cells are told apart by, beside price bucket and side; each as a Column and as SQL."""
+
+    keep: Callable[[], Column]
+    keep_sql: str
+    cell: Callable[[], list[Column]]
+    cell_sql: str
+    matched: bool = True
+
+
+_ALL = (lambda: F.lit(True), "true")
 FAMILIES = {
-    # name: (condition column, its SQL, columns matched for the baseline; empty for none)
-    "close": (lambda: F.lit("all"), "'all'", []),
-    "staleness": (lambda: L.fixed_bin(F.col("staleness_seconds"), STALE), bins_sql("date_diff('second', trade_time, decision_time)", STALE), ["period", "decision_label", "side"]),
-    "activity": (lambda: L.fixed_bin(F.col("volume_24h"), VOLUME), bins_sql("volume_24h", VOLUME), ["period", "decision_label", "side"]),
-    "aggressor": (lambda: F.when(F.col("yes_volume_24h") * 2 > F.col("volume_24h"), "yes").otherwise("no"), "case when yes_volume_24h * 2 > volume_24h then 'yes' else 'no' end", ["period", "decision_label", "side"]),
-    "series": (lambda: F.col("series_ticker").cast("string"), "cast(series_ticker as varchar)", ["period", "decision_label", "side"]),
-    "weekday": (lambda: (F.weekday("decision_time") + 1).cast("string"), "cast(isodow(decision_time) as varchar)", ["period", "decision_label", "side"]),
-    "early-close": (lambda: F.col("can_close_early").cast("string"), "case when can_close_early then 'true' else 'false' end", ["period", "decision_label", "side"]),
+    "close": Family(lambda: F.col("staleness_seconds") <= 0.2 * F.col("scheduled_hold_seconds"), f"{_STALENESS} <= 0.2 * {_HOLD}", lambda: [F.col("category"), _label()], "category || '|' || label", False),
+    "staleness": Family(lambda: _stale() != "out", f"{bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)} <> 'out'", lambda: [_label(), _stale()], f"label || '|' || {bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)}"),
+    "aggressor": Family(lambda: F.col("volume_24h") >= 20, "volume_24h >= 20", lambda: [_label(), L.fixed_bin(F.try_divide(F.col("yes_volume_24h"), F.col("volume_24h")), SHARE)], f"label || '|' || {bins_sql('(yes_volume_24h * 1.0 / volume_24h)', SHARE)}"),
+    "activity": Family(*_ALL, lambda: [_label(), L.fixed_bin(F.col("volume_24h"), VOLUME)], f"label || '|' || {bins_sql('volume_24h', VOLUME)}"),
+    "series": Family(*_ALL, lambda: [F.col("series_ticker"), _label()], "series_ticker || '|' || label"),
+    "weekday": Family(*_ALL, lambda: [_label(), F.weekday("decision_time") + 1], "label || '|' || isodow(decision_time)"),
+    "early-close": Family(*_ALL, lambda: [_label(), F.col("can_close_early")], "label || '|' || case when can_close_early then 'true' else 'false' end"),
 }
 
 
-def family_rows(panel: DataFrame, families=FAMILIES) -> DataFrame:
-    """All families in one frame: each row of the panel is exploded to its cells. The baseline of a
-    family is the mean over equal match columns; families here share one, so it is computed once."""
-    base = panel.withColumn("bucket", L.suite_bucket(F.col("yes_price_cents")))
-    matched = C.residualise(base, ["period", "decision_label", "side"], "ann", "incremental")
-    cells = F.array(*[F.struct(F.lit(n).alias("family_id"), L.cell_key(F.col("decision_label"), F.col("side"), make()).alias("cell_id"), F.lit(bool(match)).alias("_matched")) for n, (make, _, match) in families.items()])
-    rows = matched.withColumn("_c", F.explode(cells))
-    return rows.select("_c.family_id", "_c.cell_id", "period", "event_ticker", "ann", "hold_return", F.when(F.col("_c._matched"), F.col("incremental")).alias("incremental"))
-
+def family_rows(panel: DataFrame, families: dict[str, Family] = FAMILIES) -> DataFrame:
+    """All families in one frame: each row of the panel is exploded to its cells.
 
-FAMILY_ROWS = f"""flows as (select p.ticker, p.label, coalesce(sum(t.count), 0) as volume_24h, coalesce(sum(case when taker_side = 'yes' then t.count else 0 end), 0) as yes_volume_24h from points p left join trades t on t.ticker = p.ticker and t.created_time > p.decision_time - interval 24 hour and t.created_time <= p.decision_time group by all),
- resid as (select e.*, volume_24h, yes_volume_24h, ann - avg(ann) over (partition by period, e.label, side) as incremental from econ e join flows f on e.ticker = f.ticker and e.label = f.label),
- cells as ({' union all '.join(f"select '{n}' as family_id, label || '|' || side || '|' || {sql} as cell_id, period, event_ticker, ann, incremental from resid" for n, (_, sql, _) in FAMILIES.items())}),
+    A family's baseline is the mean over its own rows with equal ``MATCH``
+    columns; the means of all families come from one aggregation.
+    """
+    base = panel.withColumn("bucket", L.suite_bucket(F.col("yes_price_cents")))
+    kept = dict.fromkeys(f.keep_sql for f in families.values() if f.matched)
+    base = base.withColumns({f"_keep{i}": next(f.keep() for f in families.values() if f.keep_sql == k) for i, k in enumerate(kept)})
+    means = base.groupBy(*MATCH).agg(*[F.avg(F.when(F.col(f"_keep{i}"), F.col("ann"))).alias(f"_base{i}") for i in range(len(kept))])
+    rows = base.join(means, MATCH, "left")
+    over = lambda f: F.col("ann") - F.col(f"_base{list(kept).index(f.keep_sql)}") if f.matched else F.lit(None).cast("double")
+    cells = F.array(*[F.when(f.keep(), F.struct(F.lit(n).alias("family_id"), L.cell_key(*f.cell(), F.col("bucket"), F.col("side")).alias("cell_id"), over(f).alias("incremental"))) for n, f in families.items()])
+    each = rows.withColumn("_c", F.explode(F.filter(cells, lambda c: c.isNotNull())))
+    return each.select("_c.family_id", "_c.cell_id", "period", "event_ticker", "ann", "hold_return", "_c.incremental")
+
+
+def _family_sql(name: str, f: Family) -> str:
+    bucket = ranges_sql("yes_price_cents")
+    over = f"ann - avg(ann) over (partition by period, category, label, {bucket}, side)" if f.matched else "cast(null as double)"
+    return f"select '{name}' as family_id, {f.cell_sql} || '|' || {bucket} || '|' || side as cell_id, period, event_ticker, ann, {over} as incremental from flowing where {f.keep_sql}"
+
+
+FAMILY_CELLS = f"""flows as (select p.ticker, p.label, coalesce(sum(t.count), 0) as volume_24h, coalesce(sum(case when taker_side = 'yes' then t.count else 0 end), 0) as yes_volume_24h from points p left join trades t on t.ticker = p.ticker and t.created_time > p.decision_time - interval 24 hour and t.created_time <= p.decision_time group by all),
+ flowing as (select e.*, volume_24h, yes_volume_24h from econ e join flows f on e.ticker = f.ticker and e.label = f.label),
+ cells as ({' union all '.join(_family_sql(n, f) for n, f in FAMILIES.items())})"""
+FAMILY_ROWS = f"""{FAMILY_CELLS},
  st as ({stats_sql('cells', 'family_id, cell_id, period', ['ann', 'incremental'], digits=9)})"""
 
 
@@ -150,8 +191,9 @@ FAMILY_ROWS = f"""flows as (select p.ticker, p.label, coalesce(sum(t.count), 0)
     f"with {S.TRADES}, {S.MARKETS}, {POINTS}, {SIDES}, {FAMILY_ROWS} select family_id, cell_id, period, n, n_events, round(ann_mean, 4) as ann_mean, round(ann_se, 4) as ann_se, case when family_id <> 'close' then round(incremental_mean, 4) + 0.0 end as incremental_mean from st",
 )
 def family_periods(spark, d):
-    s = C.cell_stats(family_rows(side_panel(spark, d)), ["family_id", "cell_id", "period"], ["ann", "incremental"])
-    return s.select("family_id", "cell_id", "period", "n", "n_events", F.round("ann_mean", 4).alias("ann_mean"), F.round("ann_se", 4).alias("ann_se"), (F.round("incremental_mean", 4) + 0.0).alias("incremental_mean"))
+    s = C.cell_stats(family_rows(written(side_panel(spark, d))), ["family_id", "cell_id", "period"], ["ann", "incremental"])
+    four = lambda c: F.round(F.round(c, 9), 4)
+    return s.select("family_id", "cell_id", "period", "n", "n_events", four("ann_mean").alias("ann_mean"), four("ann_se").alias("ann_se"), (four("incremental_mean") + 0.0).alias("incremental_mean"))
 
 
 @query(
