@@ -122,3 +122,39 @@ def test_shocks_from_trades_out_of_order(spark, tape, tmp_path):
     closed = high - dt.timedelta(hours=2)
     want = {(r["ticker"], r["hour"]) for r in batch.collect() if r["hour"] <= closed}
     assert want and {(r["ticker"], r["hour"].replace(tzinfo=None)) for r in rows} == want
+
+
+def test_chunks_after_a_kill(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+    from pyspark.errors import StreamingQueryException
+    from pyspark.sql import DataFrameWriter
+
+    rows = spark.range(900).union(spark.range(5))
+    rows.repartition(6).write.parquet(str(tmp_path / "landed"))
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "landed"))
+        jobs.chunked_flush(stream, str(tmp_path / "t"), str(tmp_path / "log"), ["id"], 100).awaitTermination(120)
+
+    write = DataFrameWriter.parquet
+
+    def killed(self, path, *a, **k):
+        if path.endswith("chunk-00000001"):
+            write(self, path, *a, **k)
+            (tmp_path / "t" / "chunk-00000001" / "_SUCCESS").unlink()  # as if killed before all of it was written
+            raise RuntimeError("killed")
+        write(self, path, *a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", killed)
+        with pytest.raises(StreamingQueryException):
+            run()
+    first = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "chunk-00000000").glob("*.parquet")}
+    assert first and jobs.flushed(spark, str(tmp_path / "t"), rows.schema).count() < 400
+    run()
+    got = jobs.flushed(spark, str(tmp_path / "t"), rows.schema)
+    assert {r["id"] for r in got.collect()} == set(range(900)) and got.count() <= 905
+    assert {f: f.stat().st_mtime_ns for f in first} == first
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "t").rglob("*.parquet")]
+    assert max(sizes) <= 100 and len(list((tmp_path / "t").iterdir())) == 3
+    assert jobs.flushed(spark, str(tmp_path / "none"), rows.schema).count() == 0

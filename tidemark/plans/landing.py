@@ -66,6 +66,17 @@ def feature_partitions(spark, d):
     return D.store_features(_features(e.where("event_id % 2 <> 0 or event_id % 3 = 0")), path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
 
 
+@query("s18_chunked_flush", "select event_id, user_id, value from events")
+def chunks(spark, d):
+    """Events landed in several files, two a micro-batch, flushed in files of at most 5,000 rows."""
+    folder = new_folder(spark)
+    e = S.table(spark, d, "events").select("event_id", "user_id", "value")
+    e.repartition(5).write.parquet(f"{folder}/landed")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landed")
+    jobs.chunked_flush(rows, f"{folder}/chunks", f"{folder}/log", ["event_id"], 5000).awaitTermination()
+    return jobs.flushed(spark, f"{folder}/chunks", e.schema)
+
+
 @query("s20_state_export", "select c_custkey, c_name, case when c_acctbal > 0 then c_acctbal end as c_acctbal from customer")
 def state_export(spark, d):
     path = f"{new_folder(spark)}/state"

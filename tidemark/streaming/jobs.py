@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tidemark.sources import store
 from tidemark.sources.landed import merge_partition, store_features
@@ -38,6 +39,29 @@ def incremental_ingest(stream: DataFrame, path: str, checkpoint: str, keys: list
     return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def chunked_flush(stream: DataFrame, path: str, checkpoint: str, keys: list[str], rows_per_file: int = 100_000):
+    """Landed files flushed in chunks: a micro-batch (its size is the source's ``maxFilesPerTrigger``) becomes one folder of bounded files.
+
+    The checkpoint's commit log is the list of what is done: a run that was
+    killed goes on with the batch that it lacks, over the same files, and writes
+    its folder anew. Within a batch each key is kept once. Read with ``flushed``.
+    """
+
+    def flush(batch: DataFrame, n: int) -> None:
+        batch.dropDuplicates(keys).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/chunk-{n:08d}")
+
+    return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flushed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The chunks of ``chunked_flush`` that are whole; one that a killed run left unfinished has no mark and is left out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    chunks = [c.getPath() for c in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = sorted(c.toString() for c in chunks if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(c, "_SUCCESS")))
+    return spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
+
+
 def latest_books(stream: DataFrame) -> DataFrame:
     """The newest book of each ticker (update mode)."""
     return stream.groupBy("ticker").agg(F.max_by(F.struct("ts", "yes", "no"), "ts").alias("book")).select("ticker", "book.*")
