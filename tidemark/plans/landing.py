@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,31 @@ def feature_partitions(spark, d):
     return D.store_features(_features(e.where("event_id % 2 <> 0 or event_id % 3 = 0")), path).select("entity", "metric", F.col("available_at").cast("timestamp_ntz").alias("available_at"), "value")
 
 
+@query(
+    "s13_s19_book_history",
+    "select cast(user_id as varchar) as ticker, cast(event_id as varchar) as ts, cast(value as varchar) as best, cast(event_id % 7 as varchar) as size, event_id % 3 > 0 as has_no from events",
+)
+def book_history(spark, d):
+    """Books of every event appended to a history of JSON lines in two goes and read back by the capture source."""
+    path = f"{new_folder(spark)}/books"
+    text = lambda c: F.col(c).cast("string")
+    level = F.array(F.array(text("value"), F.pmod("event_id", F.lit(7)).cast("string")))
+    none = F.array().cast("array<array<string>>")
+    books = S.table(spark, d, "events").select(text("event_id").alias("ts"), text("user_id").alias("ticker"), level.alias("yes"), F.when(F.pmod("event_id", F.lit(3)) > 0, level).otherwise(none).alias("no"), F.pmod("event_id", F.lit(2)).alias("half"))
+    for half in (0, 1):
+        D.append_history(books.where(F.col("half") == half).drop("half"), path)
+    got = D.book_capture(spark, path)
+    return got.select("ticker", "ts", F.col("yes")[0][0].alias("best"), F.col("yes")[0][1].alias("size"), (F.size("no") > 0).alias("has_no"))
+
+
+@query("s21_content_fingerprint")
+def fingerprints(spark, d):
+    """One digest of the bytes of each given table. (SQL sees no files; a test changes one.)"""
+    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+    each = [D.fingerprint(spark, f"{d}/{n}.parquet").select(F.lit(n).alias("table"), "sha256", "files") for n in names]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("s18_chunked_flush", "select event_id, user_id, value from events")
 def chunks(spark, d):
     """Events landed in several files, two a micro-batch, flushed in files of at most 5,000 rows."""
