@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -67,3 +68,25 @@ def test_long_page_with_clashing_columns(spark, model):
     df = spark.createDataFrame([(1, "u", f"<html><body><article><h1>Title</h1>{body}</article></body></html>", "t", 0)], "page_id long, url string, html string, text string, n_chars long")
     got = extract(df, model).collect()
     assert got[0]["text"] == "Title " + " ".join(["Some long text, with commas and stops. It goes on for a while."] * 160_000)
+
+
+@pytest.mark.parametrize("name", "template object svg math canvas audio video".split())
+def test_nested_raw_elements_end_with_the_outer_one(name):
+    assert [s for _, s in Page(f"<p>x</p><{name}><{name} a=b></{name}>in<{name}/></{name}>out").runs] == ["x", "out"]
+    assert [s for _, s in Page(f"<p>x</p><{name}><{name}>in</{name}>rest of the page").runs] == ["x", "rest of the page"]
+
+
+def test_quotes_and_comments_in_tags():
+    assert [s for _, s in Page("""<p title="a > b" class='"'>x</p><p title="y>z</p><!-- <p> > --> w <b <i>v</b> <!-- u""").runs] == ["x", "z", "w v"]
+    assert [s for _, s in Page("a < b <3 <!-- c --> d <e").runs] == ["a < b <3 d <e"]
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<b " * 3_400_000, "<b " * 3_400_000 + ">", "<p>" + "<div>" * 200_000, "<div>" * 200_000 + "</div>" * 200_000, '<b ">"' * 500_000 + "' >", "<svg><svg></svg>" * 200_000, "<li><ul>" * 100_000, "<!-" * 1_000_000 + ">", "<svg>" * 300_000],
+    ids=["open", "one end", "in a paragraph", "nested", "quotes", "half nested", "lists", "no comment", "never closed"],
+)
+def test_broken_markup_takes_linear_time(html):
+    began = time.process_time()
+    Page(html)
+    assert time.process_time() - began < 20  # seconds; by the square, each would take many minutes

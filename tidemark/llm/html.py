@@ -26,9 +26,9 @@ from tidemark.llm.common import rows_per_batch, slices
 
 PAGES = 800
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)([^>]*+)>""", re.DOTALL
-)
+#: A tag up to its end, or else up to its first quote.
+_HEAD = re.compile(r"""<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s>/]*+)([^>"']*+)(>)?)""")
+_MARK = re.compile(r"""["'>]""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|style|hidden|data-y)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -42,7 +42,13 @@ RAW = frozenset("script style noscript template textarea title iframe object svg
 #: Without an end tag, these last to the end of the page; of the others only the tag goes.
 TO_END = frozenset("script style textarea title".split())
 _CLOSE = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*>?", re.IGNORECASE) for name in RAW}
+#: Of the raw elements, those that may hold their own kind.
+NESTED = frozenset("template object svg math canvas audio video".split())
+_BOTH = {name: re.compile(rf"<(/?){name}(?![^\s/>])([^>]*)>?", re.IGNORECASE) for name in NESTED}
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
+#: A paragraph ends before a block, unless one of these stands between; a list item or cell ends at its like inside the same list or table.
+HOLDS = ("td", "th", "li", "div", "section")
+LISTS = ("ul", "ol", "dl", "table", "menu")
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 # Words of class, id and role attributes by what they usually mark.
@@ -63,8 +69,41 @@ GROUP_OF = {w: i for i, g in enumerate(WORDS) for w in g.split()}
 N_WORDS, N_TAGS = len(WORDS), len(GROUPS)
 
 
+def _tag_end(html: str, at: int, lost: set[int]) -> int:
+    """The place of the ``>`` that ends a tag, past closed quotes; where quotes stay open, that of the next ``>``.
+
+    ``lost`` holds the opening quotes found to lead to no end; none is followed twice, so all tags of a page together take linear time.
+    """
+    followed = []
+    i = at
+    while m := _MARK.search(html, i):
+        if m[0] == ">":
+            return m.start()
+        followed.append(m.start())
+        if m.start() in lost or (i := html.find(m[0], m.end()) + 1) == 0:
+            break
+    lost.update(followed)
+    return html.find(">", at)
+
+
+def _nested_ends(html: str, name: str) -> dict[int, int]:
+    """Where each element of this name ends, by where it starts; elements without an end tag of their own are left out."""
+    ends: dict[int, int] = {}
+    waiting: list[int] = []
+    for m in _BOTH[name].finditer(html):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                waiting.append(m.start())
+        elif waiting:
+            ends[waiting.pop()] = m.end()
+    return ends
+
+
 class Page:
-    """Block nodes in document order, with the runs of text that stand directly in each."""
+    """Block nodes in document order, with the runs of text that stand directly in each.
+
+    Time and memory are linear in the html, whatever its markup.
+    """
 
     __slots__ = ("parent", "tag", "words", "end", "label", "runs", "links", "hidden")
 
@@ -73,10 +112,13 @@ class Page:
         self.runs: list[tuple[int, str]] = []  # node, text
         self.links: list[int] = []  # characters of each run inside links
         stack, names = [0], ["html"]
+        places: dict[str, list[int]] = {t: [] for t in BLOCKS}  # where each name stands in the stack, the root aside
         text: list[str] = []
         linked = link_chars = 0
-        at, size = 0, len(html)
+        at, last = 0, html.rfind(">")
         never_closed: set[str] = set()
+        nested: dict[str, dict[int, int]] = {}
+        lost: set[int] = set()
 
         def flush():
             nonlocal link_chars
@@ -93,38 +135,53 @@ class Page:
             nonlocal linked
             while len(stack) > to:
                 self.end[stack.pop()] = len(self.parent)
-                names.pop()
+                name = names.pop()
+                if stack:
+                    places[name].pop()
             linked = 0
 
-        while at < size:
-            m = _TAG.search(html, at)
-            if m is None:
-                text.append(html[at:])
+        def top(of) -> int:
+            return max((places[n][-1] for n in of if places[n]), default=0)
+
+        while at < len(html):
+            m = _HEAD.search(html, at, last + 1) if at <= last else None
+            if m is None:  # no tag can end any more; a comment can still begin
+                tail = html.find("<!--", at)
+                text.append(html[at:] if tail < 0 else html[at:tail])
                 break
             if m.start() > at:
                 piece = html[at : m.start()]
                 text.append(piece)
                 if linked:
                     link_chars += len(piece)
-            at = m.end()
             if m[1]:
-                name = m[1].lower()
+                at = html.find("-->", m.end()) + 3
+                if at < 3:
+                    break
+                continue
+            if not m[3] or m[2]:
+                at = m.end() if m[5] else html.find(">", m.end()) + 1
+                if not m[3]:
+                    continue
+                name = m[3].lower()
                 if name == "a":
                     linked = 0
-                elif name in BLOCKS and name in names[1:]:
-                    flush()
-                    pop(len(names) - 1 - names[::-1].index(name))
                 elif name in BLOCKS:
                     flush()
+                    if places[name]:
+                        pop(places[name][-1])
                 continue
-            name = m[2] or m[4]
-            if not name:
-                continue
-            name, attributes = name.lower(), m[3] or m[5] or ""
+            name, attributes, at = m[3].lower(), m[4], m.end()
+            if not m[5]:
+                end = _tag_end(html, at, lost)
+                attributes, at = html[m.start(4) : end], end + 1
             if name in RAW:
                 if not attributes.endswith("/") and name not in never_closed:
-                    close = _CLOSE[name].search(html, at)
-                    if close:
+                    if name in NESTED and name not in nested:
+                        nested[name] = _nested_ends(html, name)
+                    if name in NESTED and m.start() in nested[name]:
+                        at = max(at, nested[name][m.start()])
+                    elif close := _CLOSE[name].search(html, at):
                         at = close.end()
                     elif name in TO_END:
                         break
@@ -143,18 +200,10 @@ class Page:
                 continue
             if name == "hr":
                 continue
-            if "p" in names:
-                at_p = len(names) - 1 - names[::-1].index("p")
-                if not any(n in ("td", "th", "li", "div", "section") for n in names[at_p + 1 :]):
-                    pop(at_p)
-            if name in CLOSES:
-                closes = CLOSES[name].split()
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in closes:
-                        pop(i)
-                        break
-                    if names[i] in ("ul", "ol", "dl", "table", "menu"):
-                        break
+            if places["p"] and top(HOLDS) < places["p"][-1]:
+                pop(places["p"][-1])
+            if name in CLOSES and (like := top(CLOSES[name].split())) > top(LISTS):
+                pop(like)
             i = len(self.parent)
             self.parent.append(stack[-1])
             self.tag.append(BLOCKS[name])
@@ -164,6 +213,7 @@ class Page:
             self.hidden.append(self.hidden[stack[-1]])
             if attributes:
                 self._read(i, attributes)
+            places[name].append(len(stack))
             stack.append(i)
             names.append(name)
             linked = 0
@@ -364,8 +414,9 @@ def extract(pages: DataFrame, model=None) -> DataFrame:
 
     A null or empty html, or one without text, gives an empty text; html without
     any element is judged as one block. Broken markup is read leniently, pages
-    of any length whole: an element that is never closed loses its tag only
-    (script, style, textarea and title last to the end, as browsers have it).
+    of any length whole and in linear time: an element that is never closed loses
+    its tag only (script, style, textarea and title last to the end, as browsers
+    have it), nested drawings and the like end where the outer one does.
     Repeated rows and null ids are extracted like any other; an empty table
     gives an empty one.
     """
