@@ -44,6 +44,16 @@ def test_rates_of_skewed_domains(spark):
         assert np.allclose(np.array(fitted.reached) / 400_000, reached, atol=1e-6)
 
 
+def test_reached_belongs_to_the_rates_when_steps_run_out(spark):
+    p = [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]]
+    df = spark.createDataFrame([(1000 * (i + 1), x) for i, x in enumerate(p)], "tokens long, p array<double>")
+    for steps in (1, 2):
+        fitted = fit_rates(df, [1000.0, 3000.0, 2000.0], steps=steps)
+        rows = fitted.collect()
+        true = sum(x["tokens"] * x["rate"] * np.array(x["p"]) for x in rows)
+        assert np.allclose(fitted.reached, true)
+
+
 def test_targets_out_of_reach_are_told(spark, caplog):
     df = spark.createDataFrame([(100, [0.6, 0.4, 0.0])] * 50, "tokens long, p array<double>")
     fitted = fit_rates(df, [0.0, 5000.0, 0.0])

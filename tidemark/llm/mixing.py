@@ -155,7 +155,9 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = STEPS, tolera
         done.append((momentum, weight @ push))
         age, worst = age + 1, size
     else:
-        log.warning("mixing: rates not settled after %s steps; shares wanted %s, reached %s", steps, goal.tolist(), sums[:k].tolist())
+        steps_done = tuple(done)
+        sums = summed(lambda t, p: (t * _fold(p, steps_done, least)[0]) @ p, k) / total
+        log.warning("mixing: rates not settled after %s steps; shares wanted %s, reached %s", steps, goal.tolist(), sums.tolist())
     out = known.withColumn("rate", _rate(done, k, least))
     out.reached = (sums[:k] * total).tolist()
     return out
@@ -173,7 +175,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     tokens, a posterior p_<domain> for each domain, and rate.
 
     Null and empty texts have no tokens; their rate follows their posterior.
-    Repeated rows get equal rates; null doc_ids are mixed but never trained on.
+    Texts of any length are read whole. Repeated rows get equal rates; null doc_ids are mixed but never trained on.
     An empty ``labels`` gives equal posteriors, an empty table an empty one.
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
