@@ -2,7 +2,10 @@ import random
 import zlib
 from collections import Counter
 
-from tidemark.llm.hilbert import curve, hilbert_shards
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import row_tie, stage
+from tidemark.llm.hilbert import curve, hilbert_shards, range_ranks
 
 
 def test_neighbours_on_the_curve_are_neighbours_in_space(spark):
@@ -75,6 +78,18 @@ def test_cells_against_brute_force(spark):
     assert read(place.get) < 0.75 * read(lambda d: d * 24 // len(rows))
 
 
+def test_rows_without_an_id_are_spread_over_ranges(spark):
+    docs = spark.range(12_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), "id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    base = stage(docs)
+    tied = base.withColumn("tie", row_tie())
+    sizes = [r["count"] for r in tied.repartitionByRange(8, "doc_id", "tie").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3500
+    ranked = range_ranks(tied.withColumn("_n", F.lit(1).cast("long")), "doc_id", "tie")
+    assert sorted(r["_before"] for r in ranked.collect()) == list(range(12_000))
+    got = hilbert_shards(docs).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("s"), F.max("slot").alias("m")).collect()
+    assert [(r["n"], r["s"], r["m"]) for r in got] == [(500, 500, 499)] * 24
+
+
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "é" * 6_000_000, "en", "a"), (2, "b", "en", "a")], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in hilbert_shards(df).collect()}

@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -42,6 +42,11 @@ def _remove(spark: SparkSession, app: str) -> None:
         pass
 
 
+def row_tie() -> Column:
+    """A number of its own for each row of a written table, the same whenever it is read: equal rows spread over ranges by it."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes a table written by ``stage`` that no later plan reads."""
     spark, path = df.sparkSession, getattr(df, "_stage_path", None)

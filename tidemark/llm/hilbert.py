@@ -4,9 +4,10 @@ DataFrame functions only. Every dimension is quantised to ``BITS`` bits by rank,
 so that cells hold near equal rows whatever the values look like; a dimension's
 cells are known by at most 2 ** ``BITS`` values that they begin with. The curve
 index of all cells is a table made by Spark (2 ** (BITS * 3) rows, whatever the
-corpus holds) and broadcast. Rows are range-sorted by curve index and doc_id, so
-a cell that holds a third of all rows is split over as many ranges as it needs;
-ranks come from the row counts of the ranges.
+corpus holds) and broadcast. Rows are range-sorted by curve index and doc_id, ties
+by a number of each row, so a cell, an id or a text that holds a third of all rows
+is split over as many ranges as it needs; ranks come from the row counts of the
+ranges.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, text_or_empty
+from tidemark.llm.common import row_tie, stage, text_or_empty
 
 SHARDS, BITS = 24, 5
 
@@ -89,7 +90,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
 
     Dimensions: lang, source and the length of the text (of any length, whole),
     each by rank. Null dimensions take the lowest cell, a null text is empty.
-    Ties in the curve go by doc_id; repeated rows and null doc_ids (first in
+    Ties in the curve go by doc_id, then by text; repeated rows and null doc_ids (first in
     their cell) take slots of their own. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -108,8 +109,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     cell = F.lit(0).cast("long")
     for d in dims:
         cell = F.shiftleft(cell, bits).bitwiseOR(quantised(base, d, bits))
-    keyed = base.withColumn("cell", cell).join(F.broadcast(curve(spark, len(dims), bits)), "cell")
-    ordered = range_ranks(keyed.select("doc_id", "size", "text_crc32", "h", F.lit(1).cast("long").alias("_n")), "h", "doc_id")
+    keyed = base.withColumn("tie", row_tie()).withColumn("cell", cell).join(F.broadcast(curve(spark, len(dims), bits)), "cell")
+    ordered = range_ranks(keyed.select("doc_id", "size", "text_crc32", "h", "tie", F.lit(1).cast("long").alias("_n")), "h", "doc_id", "text_crc32", "tie")
     placed = ordered.withColumnsRenamed({"_before": "_rank", "_total": "total"}).withColumn("shard", F.expr(f"cast((_rank * {shards}) div total as int)"))
     return placed.select(
         "doc_id",

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import coded, drop_stage, listed, only_word_cache, rows_per_batch, slices, stage
+from tidemark.llm.common import coded, drop_stage, listed, only_word_cache, row_tie, rows_per_batch, slices, stage
 
 LENGTH, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
@@ -374,7 +374,7 @@ def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = found.sparkSession
     taken = stage(found)
-    ranked = _sorted_by(taken, "length", "doc_id", "piece")
+    ranked = _sorted_by(taken.withColumn("tie", row_tie()), "length", "doc_id", "piece", "tie")
     drop_stage(taken)
     ranks = _ranks(ranked, "length")
     left, used = dict(ranks.counts), {}
