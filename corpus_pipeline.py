@@ -26,7 +26,8 @@ def toxicity(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles stays: the
-    smallest doc_id, of ties one row; texts without words, null ones too, are one group."""
+    smallest doc_id, of ties one row; texts without words, null ones too, are one group. Links are looked for by
+    SimHashes with Golay keys and, as two bits reach few of them, by min-hash bands; all are verified."""
     return keep_first(docs, text_classes)
 
 

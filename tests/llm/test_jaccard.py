@@ -3,7 +3,9 @@ import random
 import pytest
 
 import corpus_pipeline
+from tidemark.llm import jaccard
 from tidemark.llm.jaccard import similar_components
+from tidemark.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -64,5 +66,24 @@ def test_pipeline_stage_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(lowest(texts).values()))
 
 
+def test_golay_keys_link_without_bands(spark):
+    rng = random.Random(3)
+    texts = {}
+    for i in range(0, 200, 2):
+        w = [f"word{rng.randrange(500)}" for _ in range(rng.randint(150, 400))]
+        texts[i], texts[i + 1] = " ".join(w), " ".join(w[: -1 - i % 3])  # a word or a few less
+    line = " ".join(f"often{i}" for i in range(12))
+    texts |= {1000 + i: " ".join([line] * 300 + [f"tail{i}x{j}" for j in range(40)]) for i in range(6)}  # near in bits, not in sets
+    texts |= {2000: "Two \n words", 2001: "two words"}
+    bits = {i: fingerprint(t.encode(), 5) for i, t in texts.items()}
+    close = {(a, b) for a in texts for b in texts if a > b and (bits[a] ^ bits[b]).bit_count() <= 2}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {(a, b) for a, b in close if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    signed = {i: f - (1 << 64) if f >> 63 else f for i, f in bits.items()}
+    classes = spark.createDataFrame([(i, signed[i], [i]) for i in texts], "t long, fp long, bands array<long>")  # no band is shared
+    got = jaccard.links(classes, spark.createDataFrame(list(texts.items()), "t long, text string")).collect()
+    assert {(r["u"], r["v"]) for r in got} == want and len(want) > 10 and len(close) > len(want)
+
+
 def test_empty(spark):
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,9 +1,11 @@
 """Near-duplicate texts by the exact Jaccard similarity of their word shingles.
 
-At a similarity of 0.8, 64-bit SimHashes differ in about ten bits, often in more
-than 16, where segments cut by pigeonhole are too short to select anything.
-Candidates therefore share one of ``BANDS`` bands of ``ROWS`` min-hashes (missed
-at 0.8 with a chance of 0.0002); each is verified on the shingle sets themselves.
+Candidates are first the texts whose SimHashes of these shingles are at most two
+bits apart, found by ``simhash.links`` (Golay keys). At a similarity of 0.8,
+64-bit SimHashes differ in about ten bits, often in more than 16, where segments
+cut by pigeonhole are too short to select anything. Those that share one of
+``BANDS`` bands of ``ROWS`` min-hashes (missed at 0.8 with a chance of 0.0002) are
+therefore candidates too. Each is verified on the shingle sets themselves.
 
 The members of a bucket are compared with a few centres first, which is linear
 and joins most of them. Members that stay in different components are compared
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_dealt, rows_per_batch, slices, stage
 from tidemark.llm.graph import components
-from tidemark.llm.simhash import shingle_hashes, text_hash
+from tidemark.llm.simhash import links as fingerprint_links
+from tidemark.llm.simhash import majority, shingle_hashes, text_hash
 
 #: Words of a shingle; similarity as a fraction of whole numbers, so that it is compared exactly.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -54,20 +57,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, h, t, bands): h and t name equal texts; texts without words are one t, 0, and have no bands."""
+    """(doc_id, text) -> (doc_id, h, t, fp, bands): h and t name equal texts, fp is the SimHash; texts without words are one t, 0, and have no bands."""
     rows_per_batch(docs.sparkSession)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 2):
-                names, keys = [], []
+                names, fps, keys = [], [], []
                 for t, text in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                     h = shingle_hashes(text or b"", SHINGLE)
                     names.append(t if len(h) else 0)
+                    fps.append(majority(h))
                     keys.append(bands(h).tolist() if len(h) else [])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "t", "bands"])
+                fp = np.array(fps, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "t", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, t long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, t long, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -81,6 +86,16 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "t long, grams binary")
 
 
+def near_fingerprints(classes: DataFrame) -> DataFrame:
+    """(t, fp, bands) -> candidates (u, v), u > v: texts of one fingerprint meet its first, and first texts those at most two bits away."""
+    worded = classes.where(F.size("bands") > 0).select("t", "fp")
+    words = stage(worded.groupBy("fp").agg(F.min("t").alias("first"), F.count("*").alias("n")))
+    same = join_dealt(worded, words.where("n > 1"), ["fp"], "t").where("t <> first").select(F.col("t").alias("u"), F.col("first").alias("v"))
+    first = lambda end: words.select(F.col("fp").alias(end), F.col("first").alias(f"text_{end}"))
+    other = fingerprint_links(words).distinct().join(first("u"), "u").join(first("v"), "v")
+    return same.union(other.select(F.greatest("text_u", "text_v").alias("u"), F.least("text_u", "text_v").alias("v")))
+
+
 def _verify(batches):
     """(u, v, gu, gv) -> (u, v) of similar sets."""
     for b in batches:
@@ -112,13 +127,15 @@ def _compare(batches):
 
 
 def links(classes: DataFrame, texts: DataFrame, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
-    """(t, bands) and (t, text) -> (u, v), whose components are those of all similar pairs that share a band."""
+    """(t, fp, bands) and (t, text) -> (u, v) of similar texts, whose components join all similar pairs that share a band and those of ``near_fingerprints``."""
+    close = stage(near_fingerprints(classes))
     keys = classes.select("t", F.explode("bands").alias("key"))
     order = [F.min(F.struct(F.xxhash64("t", F.lit(i)), "t"))["t"] for i in range(centres)]
     buckets = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*order)).alias("centres")).where("n > 1"))
     shared = stage(join_dealt(keys, buckets, ["key"], "t"))
-    grams = stage(shingle_sets(texts.join(shared.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]).select("t", "text")))
-    pairs = shared.select("t", F.explode("centres").alias("o")).where("t <> o").select(F.greatest("t", "o").alias("u"), F.least("t", "o").alias("v")).distinct()
+    met = shared.select("t").union(close.select("u")).union(close.select("v")).distinct()
+    grams = stage(shingle_sets(texts.join(met, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")))
+    pairs = shared.select("t", F.explode("centres").alias("o")).where("t <> o").select(F.greatest("t", "o").alias("u"), F.least("t", "o").alias("v")).union(close).distinct()
     gu, gv = grams.select(F.col("t").alias("u"), F.col("grams").alias("gu")), grams.select(F.col("t").alias("v"), F.col("grams").alias("gv"))
     near = stage(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(_verify, "u long, v long"))
 
@@ -141,7 +158,7 @@ def links(classes: DataFrame, texts: DataFrame, centres: int = CENTRES, block: i
 
 def _rooted(rows: DataFrame, docs: DataFrame, centres: int, block: int) -> DataFrame:
     """``sketches`` -> (t, low, root): the smallest doc_id of each text and its class."""
-    classes = stage(rows.groupBy("t").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
+    classes = stage(rows.groupBy("t").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     texts = docs.select(text_hash().alias("t"), "text")
     found = components(links(classes, texts, centres, block)).withColumnRenamed("id", "t")
     return classes.select("t", "low").join(found, "t", "left").select("t", "low", F.coalesce("component", "t").alias("root"))

@@ -47,7 +47,11 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of UTF-8 bytes as an unsigned number; 0 if there are no words."""
-    h = shingle_hashes(text, shingle, seed)
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes, as an unsigned number; 0 if there are none."""
     if not len(h):
         return 0
     octets = h.view(np.uint8).reshape(-1, 8) + _LANES
