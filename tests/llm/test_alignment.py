@@ -88,3 +88,20 @@ def test_long_text_and_empty_table(spark):
         assert (got[i]["n_a"], got[i]["n_b"]) == (len(a.encode(" " + t, add_special_tokens=False).ids), len(b.encode(t)))
     assert got[1]["groups_sha256"] == got[3]["groups_sha256"] != ""
     assert align_tokenizers(docs.limit(0), LEFT, RIGHT).count() == 0
+
+
+def test_units_are_encoded_without_offsets_in_short_strings():
+    known, sent = Aligner(LEFT, RIGHT), []
+    plain, units = known.left, [f" unit{i}x{i * i}" for i in range(3000)] + [" <|endoftext|>", " naïve\n", " 中文"]
+
+    class Recorded:
+        def encode_batch_fast(self, strings, **options):
+            sent.extend(strings)
+            return plain.encode_batch_fast(strings, **options)
+
+    known.left = Recorded()
+    known.learn(units)
+    assert "".join(sent) == "".join(units) and max(len(s.encode()) for s in sent) < 4096 + 64
+    for u in units:
+        left, right = plain.encode(u, add_special_tokens=False).ids, known.right.encode(u[1:])
+        assert known.ids[u] == b"".join(i.to_bytes(4, "little") for i in [*left, *((1 << 31) + i for i in right)])

@@ -30,7 +30,7 @@ from tidemark.llm.prefixes import byte_signs
 
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and in a string that is encoded at once.
-BLOCK, STRETCH = 2 << 20, 1 << 14
+BLOCK, STRETCH = 2 << 20, 1 << 12
 
 _SPACE = "▁"
 _RIGHT = np.uint32(1 << 31)
@@ -91,13 +91,13 @@ class Aligner:
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Ids of units, encoded together; None for one whose bytes the second tokenizer changes."""
+        """Ids of units, encoded together (without offsets, which cost much); None for one whose bytes the second tokenizer changes."""
         data = [u.encode() for u in new]
         ends = np.cumsum([len(d) for d in data])
         cuts = [0, *(np.flatnonzero(np.diff(ends // STRETCH)) + 1).tolist(), len(new)]
         parts = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
         strings = ["".join(new[a:b]) for a, b in parts]
-        for (a, b), x, y in zip(parts, self.left.encode_batch(strings, add_special_tokens=False), self.right.encode([s[1:] for s in strings], num_threads=1)):
+        for (a, b), x, y in zip(parts, self.left.encode_batch_fast(strings, add_special_tokens=False), self.right.encode([s[1:] for s in strings], num_threads=1)):
             self._keep(new[a:b], data[a:b], x.ids, y)
 
     def _keep(self, units: list[str], data: list[bytes], left: list[int], right: list[int]) -> None:
