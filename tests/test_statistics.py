@@ -1,7 +1,13 @@
+import datetime as dt
+import os
 import random
 
+import duckdb
+import pytest
+from oracle import connect, difference
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import statistics as S
 from tidemark.plans import suites
 
@@ -40,3 +46,34 @@ def test_no_task_ranks_the_whole_table(spark, tmp_path):
     spark.range(4000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     plan = suites.false_discovery(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "_range" in plan and "row_number" not in plan
+
+
+@pytest.fixture(scope="module")
+def fractions(spark, tmp_path_factory):
+    """The smallest tables with events half a second beside the edges of staleness bins and of the listing."""
+    given, d = "/root/testdata/sf0.001", tmp_path_factory.mktemp("fractions")
+    for f in os.listdir(given):
+        if f != "events.parquet":
+            (d / f).symlink_to(f"{given}/{f}")
+    rows = []
+    for user in range(3, 700):
+        start, end = dt.datetime(2024, 1, 1) + dt.timedelta(days=user % 10), dt.datetime(2024, 1, 31) - dt.timedelta(days=user % 7)
+        before, share = ((3600, 0.02), (3600, 0.1), (3600, 0.2), (86400, 0.1), (7 * 86400, 0.2))[user // 14 % 5]
+        rows.append((len(rows), user, end - dt.timedelta(seconds=before * (1 + share) + (0.5 if user % 2 else -0.5)), "view", user / 7))
+        rows.append((len(rows), user, start - dt.timedelta(seconds=0.5), "click", user / 3))
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{d}/events.parquet")
+    (d / "events.parquet").rename(d / "rows")
+    next((d / "rows").glob("*.parquet")).rename(d / "events.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["x14_family_periods"])
+def test_fractions_of_a_second_count_as_in_sql(spark, fractions, name):
+    assert difference(catalog.QUERIES[name](spark, fractions), connect(fractions), catalog.ORACLES[name]) is None
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    values = [3013.56375, -3013.56375, 1.00005, 2.5, 0.12345, 0.00005, 1e300, None, float("nan")] + [i + k / 1e5 for i in range(300) for k in (5, 15, 12345)]
+    want = duckdb.connect().execute("select round(v, 4) from (select unnest(?::double[]) as v)", [values]).fetchall()
+    got = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(S.sql_round(F.col("v"), 4)).collect()
+    assert [repr(r[0]) for r in got] == [repr(r[0]) for r in want]

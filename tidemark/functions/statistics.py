@@ -31,6 +31,15 @@ def erfc_sql(x: str) -> str:
     return f"(case when ({x}) >= 0 then {tail} else 2.0 - {tail} end)"
 
 
+def sql_round(c: Column, digits: int) -> Column:
+    """A double rounded as SQL on doubles does it: scaled, to the nearest whole number, scaled back.
+
+    ``F.round`` goes by the decimal digits, so the two differ where these end in a 5 that the scaling misses by a bit.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(c * scale) / scale
+
+
 def p_value(mean: Column, se: Column, hurdle: float) -> Column:
     """One-sided normal p of mean over hurdle; 1 where unknown, 0 or 1 where the error is zero."""
     z = F.try_divide(mean - hurdle, se) / F.sqrt(F.lit(2.0))

@@ -20,6 +20,12 @@ def seconds(a: Column, b: Column) -> Column:
     return F.timestamp_diff("SECOND", a, b)
 
 
+def clock_seconds(a: Column, b: Column) -> Column:
+    """Seconds from ``a`` to ``b`` as SQL's ``date_diff`` counts them: both are cut to the whole second first."""
+    past = F.lit("0001-01-01").cast("timestamp_ntz")
+    return seconds(past, b) - seconds(past, a)
+
+
 def parse_times(markets: DataFrame, columns=("open_time", "close_time", "expiration_time", "settled_time")) -> DataFrame:
     """ISO strings (or timestamps) to timestamps, null where malformed, and the scheduled end."""
     kinds = dict(markets.dtypes)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions import economics as E
 from tidemark.functions import labels as L
-from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value, p_value_sql
+from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value, p_value_sql, sql_round
 from tidemark.operators import cells as C
+from tidemark.operators import panel as P
 from tidemark.plans.labels import FEE, bins_sql, period_sql, ranges_sql
 from tidemark.plans.panels import PAIRS, PATHS, POINTS, points
 from tidemark.plans.screens import FILL_RETURNS, fill_returns, rounded, stats_sql
@@ -126,8 +127,13 @@ VOLUME = ((0, 1), (1, 20), (20, 60), (60, 10**9))
 _STALENESS, _HOLD = "date_diff('second', trade_time, decision_time)", "date_diff('second', decision_time, close_time)"
 
 
+def _staleness():
+    """As its SQL counts it; the panel's ``staleness_seconds`` are whole seconds passed, one less where a trade has a fraction of a second."""
+    return P.clock_seconds(F.col("trade_time"), F.col("decision_time"))
+
+
 def _stale():
-    return L.fixed_bin(F.col("staleness_seconds") / F.col("scheduled_hold_seconds"), STALE)
+    return L.fixed_bin(_staleness() / F.col("scheduled_hold_seconds"), STALE)
 
 
 def _label():
@@ -146,7 +152,7 @@ class Family(NamedTuple):
 
 _ALL = (lambda: F.lit(True), "true")
 FAMILIES = {
-    "close": Family(lambda: F.col("staleness_seconds") <= 0.2 * F.col("scheduled_hold_seconds"), f"{_STALENESS} <= 0.2 * {_HOLD}", lambda: [F.col("category"), _label()], "category || '|' || label", False),
+    "close": Family(lambda: _staleness() <= 0.2 * F.col("scheduled_hold_seconds"), f"{_STALENESS} <= 0.2 * {_HOLD}", lambda: [F.col("category"), _label()], "category || '|' || label", False),
     "staleness": Family(lambda: _stale() != "out", f"{bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)} <> 'out'", lambda: [_label(), _stale()], f"label || '|' || {bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)}"),
     "aggressor": Family(lambda: F.col("volume_24h") >= 20, "volume_24h >= 20", lambda: [_label(), L.fixed_bin(F.try_divide(F.col("yes_volume_24h"), F.col("volume_24h")), SHARE)], f"label || '|' || {bins_sql('(yes_volume_24h * 1.0 / volume_24h)', SHARE)}"),
     "activity": Family(*_ALL, lambda: [_label(), L.fixed_bin(F.col("volume_24h"), VOLUME)], f"label || '|' || {bins_sql('volume_24h', VOLUME)}"),
@@ -192,7 +198,7 @@ FAMILY_ROWS = f"""{FAMILY_CELLS},
 )
 def family_periods(spark, d):
     s = C.cell_stats(family_rows(written(side_panel(spark, d))), ["family_id", "cell_id", "period"], ["ann", "incremental"])
-    four = lambda c: F.round(F.round(c, 9), 4)
+    four = lambda c: sql_round(sql_round(F.col(c), 9), 4)
     return s.select("family_id", "cell_id", "period", "n", "n_events", four("ann_mean").alias("ann_mean"), four("ann_se").alias("ann_se"), (four("incremental_mean") + 0.0).alias("incremental_mean"))
 
 
