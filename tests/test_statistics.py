@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import statistics as S
+from tidemark.operators import cells as C
 from tidemark.plans import suites
 
+catalog.load()
+
 
 def test_ranges_give_the_same_values(spark):
     rng = random.Random(9)
@@ -67,7 +70,7 @@ def fractions(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["x14_family_periods"])
+@pytest.mark.parametrize("name", ["x14_family_periods", "x14_suite_correction"])
 def test_fractions_of_a_second_count_as_in_sql(spark, fractions, name):
     assert difference(catalog.QUERIES[name](spark, fractions), connect(fractions), catalog.ORACLES[name]) is None
 
@@ -77,3 +80,9 @@ def test_halves_are_rounded_as_in_sql(spark):
     want = duckdb.connect().execute("select round(v, 4) from (select unnest(?::double[]) as v)", [values]).fetchall()
     got = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(S.sql_round(F.col("v"), 4)).collect()
     assert [repr(r[0]) for r in got] == [repr(r[0]) for r in want]
+
+
+def test_a_mean_that_is_zero_but_for_its_sum_has_not_passed(spark):
+    rows = [("f", "c", "early", i, 1.0, x) for i, x in enumerate((1e-16, 2e-17, 5e-17, 6e-17, 7e-17, 8e-17))]
+    df = spark.createDataFrame(rows, "family_id string, cell_id string, period string, event_ticker int, ann double, incremental double")
+    assert [C.evaluate_cells(df, "ann", 5, 0.0, 1.0, incremental="incremental", digits=n)[1].first()["all_pass"] for n in (None, 12)] == [True, False]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value
+from tidemark.functions.statistics import benjamini_hochberg, benjamini_hochberg_ranges, p_value, sql_round
 from tidemark.sources.staging import written
 
 
@@ -58,11 +58,15 @@ def top_share(df: DataFrame, keys: list[str], cluster: str = "event_ticker", k:
     return ranked.groupBy(*keys).agg((F.sum(F.when(F.col("_r") <= k, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("top_share"))
 
 
-def evaluate_cells(df: DataFrame, value: str, minimum_events: int, hurdle: float, z: float, keys=("family_id", "cell_id"), incremental: str | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate_cells(df: DataFrame, value: str, minimum_events: int, hurdle: float, z: float, keys=("family_id", "cell_id"), incremental: str | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(period rows, cell rows): a cell passes if every observed period has the
-    support and clears the hurdle (and zero, for the incremental value where there is one) at ``z`` errors."""
+    support and clears the hurdle (and zero, for the incremental value where there is one) at ``z`` errors.
+
+    With ``digits`` the statistics are rounded first, so that a mean of zero is not judged by what is left over from the order of its sum."""
     values = [value] + ([incremental] if incremental else [])
     s = cell_stats(df, [*keys, "period"], values)
+    if digits is not None:
+        s = s.withColumns({c: sql_round(F.col(c), digits) for v in values for c in (f"{v}_mean", f"{v}_se")})
     low = F.col(f"{value}_mean") - z * F.col(f"{value}_se")
     ok = (F.col("n_events") >= minimum_events) & (low > hurdle)
     if incremental:

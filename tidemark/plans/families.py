@@ -18,7 +18,7 @@ from tidemark.operators import panel as P
 from tidemark.plans.labels import bins_sql, edges_sql, ranges_sql
 from tidemark.plans.panels import PAIRS, POINTS, points
 from tidemark.plans.screens import FILL_RETURNS, LEVELS, fill_returns, rounded, stats_sql
-from tidemark.plans.suites import MATCH, SIDES, side_economics
+from tidemark.plans.suites import MATCH, SIDES, side_economics, staleness
 from tidemark.sources import tables as S
 
 MOVES = ((-100, -20), (-20, -5), (-5, 5), (5, 20), (20, 100))
@@ -45,7 +45,7 @@ def conditional_cells(rows: DataFrame, family: str, condition, match: list[str]
 def more_family_rows(panel: DataFrame, relations: DataFrame, classes: DataFrame, pairs=PAIRS) -> DataFrame:
     """Listing-age, path, sibling, month, event-size and source cells of the decision panel."""
     label = F.col("decision_label")
-    listing = panel.where(label.isin(*OPENING) & (F.col("staleness_seconds") <= F.col("listing_age_seconds")))
+    listing = panel.where(label.isin(*OPENING) & (staleness() <= F.col("listing_age_seconds")))
     moved = P.path_rows(panel, pairs).withColumn("bin", L.fixed_bin(F.col("price_move_cents"), MOVES)).where("bin <> 'out'")
     siblings = P.sibling_rows(panel, pairs).withColumn("bin", L.fixed_bin(F.col("sibling_move_cents"), MOVES)).where("bin <> 'out'")
     sized = panel.join(relations.select("ticker", "event_group_size"), "ticker").withColumn("bin", L.fixed_bin(F.col("event_group_size"), SIZES))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.functions import labels as L
-from tidemark.functions.statistics import p_value_sql
+from tidemark.functions.statistics import p_value_sql, sql_round
 from tidemark.operators import cells as C
 from tidemark.operators import panel as P
 from tidemark.plans.composites import RULE_CELLS, RULES, rule_classes, rule_rows
@@ -68,6 +68,6 @@ SUITE = f"""suite as (select * from cells union all select * from more union all
 def suite(spark, d):
     """Fifteen families, each cell gated in every period, corrected in its family and over the suite."""
     rows = suite_rows(points(spark, d), S.markets(spark, d), fill_returns(spark, d))
-    _, cells = C.evaluate_cells(rows, "ann", EVENTS, HURDLE, Z, incremental="incremental")
+    _, cells = C.evaluate_cells(rows, "ann", EVENTS, HURDLE, Z, incremental="incremental", digits=12)
     q = C.search_correction(cells, EVENTS, len(PERIODS), ranged=True)
-    return q.select("family_id", "cell_id", "n", "n_periods", "all_pass", F.round("family_q", 4).alias("family_q"), F.round("suite_q", 4).alias("suite_q"))
+    return q.select("family_id", "cell_id", "n", "n_periods", "all_pass", sql_round(F.col("family_q"), 4).alias("family_q"), sql_round(F.col("suite_q"), 4).alias("suite_q"))

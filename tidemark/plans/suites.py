@@ -127,13 +127,13 @@ VOLUME = ((0, 1), (1, 20), (20, 60), (60, 10**9))
 _STALENESS, _HOLD = "date_diff('second', trade_time, decision_time)", "date_diff('second', decision_time, close_time)"
 
 
-def _staleness():
+def staleness():
     """As its SQL counts it; the panel's ``staleness_seconds`` are whole seconds passed, one less where a trade has a fraction of a second."""
     return P.clock_seconds(F.col("trade_time"), F.col("decision_time"))
 
 
 def _stale():
-    return L.fixed_bin(_staleness() / F.col("scheduled_hold_seconds"), STALE)
+    return L.fixed_bin(staleness() / F.col("scheduled_hold_seconds"), STALE)
 
 
 def _label():
@@ -152,7 +152,7 @@ class Family(NamedTuple):
 
 _ALL = (lambda: F.lit(True), "true")
 FAMILIES = {
-    "close": Family(lambda: _staleness() <= 0.2 * F.col("scheduled_hold_seconds"), f"{_STALENESS} <= 0.2 * {_HOLD}", lambda: [F.col("category"), _label()], "category || '|' || label", False),
+    "close": Family(lambda: staleness() <= 0.2 * F.col("scheduled_hold_seconds"), f"{_STALENESS} <= 0.2 * {_HOLD}", lambda: [F.col("category"), _label()], "category || '|' || label", False),
     "staleness": Family(lambda: _stale() != "out", f"{bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)} <> 'out'", lambda: [_label(), _stale()], f"label || '|' || {bins_sql(f'({_STALENESS} * 1.0 / {_HOLD})', STALE)}"),
     "aggressor": Family(lambda: F.col("volume_24h") >= 20, "volume_24h >= 20", lambda: [_label(), L.fixed_bin(F.try_divide(F.col("yes_volume_24h"), F.col("volume_24h")), SHARE)], f"label || '|' || {bins_sql('(yes_volume_24h * 1.0 / volume_24h)', SHARE)}"),
     "activity": Family(*_ALL, lambda: [_label(), L.fixed_bin(F.col("volume_24h"), VOLUME)], f"label || '|' || {bins_sql('volume_24h', VOLUME)}"),
