@@ -70,7 +70,7 @@ def fractions(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["x14_family_periods", "x14_suite_correction"])
+@pytest.mark.parametrize("name", ["x14_family_periods", "x14_suite_correction", "x26_rebuild"])
 def test_fractions_of_a_second_count_as_in_sql(spark, fractions, name):
     assert difference(catalog.QUERIES[name](spark, fractions), connect(fractions), catalog.ORACLES[name]) is None
 

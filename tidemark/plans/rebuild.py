@@ -65,7 +65,7 @@ STEPS = {
     "paths": Step(("decision_points",), paths, {"pairs": panels.PAIRS}),
     "ladders": Step(("decision_points", "markets"), ladders),
     "coherence": Step(("decision_points", "groups"), coherence),
-    "families": Step(("decision_points", "outcomes"), families),
+    "families": Step(("decision_points", "outcomes"), families, version=2),
     "survivors": Step(("paths", "trades"), survivors),
 }
 #: The query whose SQL counts the rows of a step.
