@@ -106,6 +106,12 @@ def last_name(name: Column, suffixes=("jr", "jr.", "sr", "sr.", "ii", "iii", "iv
     return F.when(F.size(kept) > 0, F.element_at(kept, -1)).otherwise(F.element_at(words, -1))
 
 
+def marked_section(text: Column, section_word: str, span: int) -> Column:
+    """The ``span`` characters from the first ``section_word`` on, whatever its case; null without one."""
+    at = F.locate(section_word, F.lower(text))
+    return F.when(at > 0, F.substring(text, at, F.lit(span)))
+
+
 def mention_signal(entity: Column, text: Column, section_word: str = "cloture", span: int = 4000, near: int = 40) -> Column:
     """HOT (full name, and the surname in the marked section), WARM (full name), CLEAR (no unexplained mention) or UNKNOWN."""
     first, last = F.split(F.trim(entity), r"\s+")[0], last_name(entity)
@@ -115,8 +121,7 @@ def mention_signal(entity: Column, text: Column, section_word: str = "cloture",
 
     word = F.concat(F.lit(r"\b"), quote(last), F.lit(r"\b"))
     full = F.when(first == last, word).otherwise(F.concat(F.lit(r"\b"), quote(first), F.lit(rf"\b[\s\S]{{0,{near}}}?"), word))
-    at = F.locate(section_word, F.lower(text))
-    section = F.when(at > 0, F.substring(text, at, F.lit(span)))
+    section = marked_section(text, section_word, span)
     explained = F.concat(F.lit(r"(?:\bvice\b[\s\S]{0,40}|\b(?:Mr|Mrs|Ms|Messrs|Mses)\.\s{0,3})"), word)
     left = F.regexp_replace(text, explained, F.lit(" "))
     known = entity.isNotNull() & (F.trim(entity) != "") & text.isNotNull() & (text != "")
